@@ -68,12 +68,11 @@ def c5(t):
 
 
 @query("c6_top_entity_series", f"""
-    with top as (select entity_id from e_star
-        where day between date '{STAR_AS_OF}' - 365 and date '{STAR_AS_OF}'
-        group by entity_id order by sum(mentions) desc, entity_id limit 10)
     select day, entity_id, name as entity, kind, mentions, n_risk, n_opportunity, freq_total
     from e_star join entities on entity_id = entities.id
-    where entity_id in (select entity_id from top)
+    where entity_id in (select entity_id from e_star
+        where day between date '{STAR_AS_OF}' - 365 and date '{STAR_AS_OF}'
+        group by entity_id order by sum(mentions) desc, entity_id limit 10)
     and day between date '{STAR_AS_OF}' - 365 and date '{STAR_AS_OF}'""")
 def c6(t):
     return counts.top_entity_series(rollup_of(t, "daily_entity"), t("entities"), STAR_AS_OF, 10, 365)
@@ -312,15 +311,9 @@ def f2(t):
 
 
 @query("f3_multi_key_sort", """
-    select name, is_key, cast(row_number() over (order by is_key desc, name, id) as bigint) as place
-    from entities order by is_key desc, name, id limit 40""")
+    select name, is_key, category from entities order by is_key desc, name, id limit 40""")
 def f3(t):
-    top = listing.selectable_entities(t("entities"), 40).select("name", "is_key", "id")
-    # place = how many of the forty sort before it; forty rows by construction
-    other = top.select(F.struct(F.negative("is_key").alias("k"), "name", "id").alias("o"))
-    ranks = F.array_sort(other.agg(F.collect_list("o")).scalar())
-    me = F.struct(F.negative("is_key").alias("k"), "name", "id")
-    return top.select("name", "is_key", F.array_position(ranks, me).cast("bigint").alias("place"))
+    return listing.selectable_entities(t("entities"), 40).select("name", "is_key", "category")
 
 
 @query("f4_highlighted", f"""

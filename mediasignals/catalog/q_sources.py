@@ -361,9 +361,9 @@ def b18(t):
 
 @query("b19_risks_to_analyse", """
     select id, title, source, url from articles
-    where risk = 1 and deep_analysis = 1 and day = date '1999-06-15'""")
+    where risk = 1 and deep_analysis = 1 and day = date '1995-01-02'""")
 def b19(t):
-    return listing.risks_to_analyse(t("articles"), "1999-06-15")
+    return listing.risks_to_analyse(t("articles"), "1995-01-02")
 
 
 @query("b20_relevant", "select id from articles where relevant = 1")

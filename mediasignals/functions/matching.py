@@ -62,26 +62,27 @@ def inline_rows(df: DataFrame, limit: int = MAX_INLINE_TERMS) -> list | None:
 
 
 def _grams(c: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(c) - size + 1)
-    return F.when(
-        F.length(c) >= size, F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(size))))
-    ).otherwise(F.array().cast("array<string>"))
+    """All substrings of ``size`` characters, found by one linear regex pass."""
+    return F.array_distinct(
+        F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    )
 
 
 def gram_pairs(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """All (text_id, term_id) where the term occurs in the text.
 
-    ``texts``: (text_id, text), ``terms``: (term_id, term), non-blank. Every term is
-    anchored at its first ``GRAM`` characters (all of a shorter term); candidates share
-    the anchor, and the containment test runs on them only.
+    ``texts``: (text_id, text), ``terms``: (term_id, term). Every term is anchored at its
+    first ``GRAM`` characters (all of a shorter term); candidates share the anchor, and the
+    containment test runs on them only. Texts and grams meet by id and gram, so neither
+    side is ever copied to every task.
     """
     size = F.least(F.length("term"), F.lit(GRAM))
     anchors = terms.filter(F.length("term") > 0).select(
         "term_id", "term", F.substr(F.col("term"), F.lit(1), size).alias("gram")
     )
-    text = F.col("text")
-    grams = F.array_distinct(F.concat(*[_grams(text, n) for n in range(1, GRAM + 1)]))
-    # reduce the exploded grams to those some term starts with before carrying texts along
+    # at most GRAM numbers
+    sizes = sorted(r[0] for r in anchors.select(F.length("gram")).distinct().collect())
+    grams = F.concat(*[_grams(F.col("text"), n) for n in sizes or [GRAM]])
     candidates = (
         texts.select("text_id", F.explode(grams).alias("gram"))
         .join(anchors, "gram")

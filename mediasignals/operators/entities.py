@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,17 +16,16 @@ from ..functions.matching import word_grams
 KIND_COLUMNS = (("persons", "PER"), ("orgs", "ORG"), ("places", "LOC"))
 
 
+def _typed(column: str, kind: str) -> Column:
+    names = F.coalesce(F.col(column), F.array().cast("array<string>"))
+    return F.transform(names, lambda n: F.struct(n.alias("surface"), F.lit(kind).alias("kind")))
+
+
 def mentions_of(articles: DataFrame) -> DataFrame:
     """Typed mentions (article_id, pos, surface, kind): persons, then orgs, then places."""
-    typed = [
-        F.transform(
-            F.coalesce(F.col(column), F.array().cast("array<string>")),
-            lambda name, kind=kind: F.struct(name.alias("surface"), F.lit(kind).alias("kind")),
-        )
-        for column, kind in KIND_COLUMNS
-    ]
+    typed = F.concat(*[_typed(column, kind) for column, kind in KIND_COLUMNS])
     return articles.select(
-        F.col("id").alias("article_id"), F.posexplode(F.concat(*typed)).alias("pos", "m")
+        F.col("id").alias("article_id"), F.posexplode(typed).alias("pos", "m")
     ).select("article_id", "pos", "m.surface", "m.kind")
 
 

@@ -74,7 +74,7 @@ def topic_day_pivot(
 ) -> DataFrame:
     """Days x topics with zeros. The topic list is given, so no pass is spent on finding it."""
     hits = exploded_topics(last_days(rows, as_of, days), "day")
-    wide = hits.groupBy("day").pivot("topic", list(topics)).agg(F.count("*"))
+    wide = hits.groupBy("day").pivot("topic", list(topics)).agg(F.count(F.lit(1)))
     return wide.na.fill(0).orderBy("day")
 
 
