@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import classify, entities, frames, rollup
 from ..plans import daily, report
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources import tables
 from ..streaming import jobs
 from .frames_of import export_frame, local_frame, rollup_of
@@ -100,7 +100,7 @@ def k3b(t):
 
 @query("k4_sliding_weeks", f"""
     select d - 6 as start_day, d as end_day, {_TOTALS} from (
-        select event_type, value, unnest(generate_series(0, 6)) + cast(ts as date) as d from events) w
+        select event_type, value, cast(ts as date) + cast(unnest(generate_series(0, 6)) as int) as d from events) w
     group by d""")
 def k4(t):
     totals = jobs.sliding_weeks(_signals(_stream(t, "events")), "ts", "3 days")
@@ -231,10 +231,10 @@ def _run(t) -> str:
         F.col("description").alias("summary"), F.lit(None).cast("string").alias("description"),
         F.date_format("day", "EEE, dd MMM yyyy 00:00:00 'GMT'").alias("published"))
     gazetteer = t.sql("select distinct source as surface, 'ORG' as kind from documents")
-    regions = t("regions")
+    topics = written(_news_topic_table(t), "topics")
     root = shared_dir(t.spark, "run")
     rules = daily.Rules(NEWS_TOPICS, NEWS_RISK, NEWS_OPPORTUNITY)
-    daily.run_daily(t.spark, entries, root, NEWS_AS_OF, gazetteer, _news_topic_table(t), regions, rules)
+    daily.run_daily(t.spark, entries, root, NEWS_AS_OF, gazetteer, topics, t("regions"), rules)
     return root
 
 

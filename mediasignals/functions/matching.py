@@ -113,24 +113,21 @@ def matching_terms(
 
 
 def word_grams(c: str | Column, max_words: int) -> Column:
-    """Distinct word n-grams of a text with the position of their first word.
+    """Word n-grams of a text with the position of their first word.
 
     array<struct<gram, pos>>, n from 1 to ``max_words``; words are runs of word characters.
+    Each size extends the one before by the shifted word list, in linear time.
     """
-    words = F.filter(
-        F.split(_col(c), r"[^\p{L}\p{N}_]+"), lambda w: w != ""
-    )
-
-    def of_size(words_col: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words_col) - n + 1)
-        return F.when(
-            F.size(words_col) >= n,
-            F.transform(
-                starts,
-                lambda i: F.struct(
-                    F.array_join(F.slice(words_col, i, n), " ").alias("gram"), i.alias("pos")
-                ),
-            ),
-        ).otherwise(F.array().cast("array<struct<gram:string,pos:int>>"))
-
-    return F.concat(*[of_size(words, n) for n in range(1, max_words + 1)])
+    words = F.filter(F.split(_col(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    total = F.size(words)
+    grams, parts = words, []
+    for n in range(1, max_words + 1):
+        if n > 1:
+            left = F.greatest(total - n + 1, F.lit(0))
+            grams = F.zip_with(
+                F.slice(grams, 1, left), F.slice(words, n, left), lambda a, b: F.concat_ws(" ", a, b)
+            )
+        parts.append(
+            F.transform(grams, lambda g, i: F.struct(g.alias("gram"), (i + 1).alias("pos")))
+        )
+    return F.concat(*parts)

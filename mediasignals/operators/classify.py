@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..functions import text
 from ..functions.matching import contains_any, matching_terms
+from ..functions.once import computed_once
 from .ingest import first_per_key
 
 Topics = Mapping[str, Sequence[str]]
@@ -24,6 +25,24 @@ def topic_array(normalized: str | Column, topics: Topics, match: str = "substrin
     return F.array_compact(F.array(*hits))
 
 
+def _flags(risk_hit: Column, opportunity_hit: Column) -> dict[str, Column]:
+    """Only relevant rows are evaluated; the others keep 0."""
+    relevant = F.col("relevant") == 1
+    return {
+        "risk": F.when(relevant & risk_hit, 1).otherwise(0),
+        "opportunity": F.when(relevant & opportunity_hit, 1).otherwise(0),
+    }
+
+
+def _scores() -> dict[str, Column]:
+    score = F.size("topics")
+    return {"score": score, "relevant": (score > 0).cast("int")}
+
+
+def _lowered(terms: Sequence[str]) -> list[str]:
+    return [t.lower() for t in terms]
+
+
 def classify_topics(
     articles: DataFrame,
     topics: Topics = lexicon.TOPICS,
@@ -36,21 +55,8 @@ def classify_topics(
     prepared = articles.withColumn(
         "_text", text.normalize_text(text.classification_text("title", "description"))
     )
-    return _score(prepared.withColumn("topics", topic_array("_text", topics, match))).drop("_text")
-
-
-def _score(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.size("topics")).withColumn(
-        "relevant", (F.col("score") > 0).cast("int")
-    )
-
-
-def _flag(hit: Column) -> Column:
-    return F.when((F.col("relevant") == 1) & hit, 1).otherwise(0)
-
-
-def _lowered(terms: Sequence[str]) -> list[str]:
-    return [t.lower() for t in terms]
+    matched = computed_once(prepared, topics=topic_array("_text", topics, match))
+    return matched.withColumns(_scores()).drop("_text")
 
 
 def classify_signals(
@@ -61,11 +67,14 @@ def classify_signals(
 ) -> DataFrame:
     """Adds ``risk`` and ``opportunity``; only relevant rows are evaluated, others are 0."""
     prepared = articles.withColumn("_text", text.fold(text.risk_text("title", "description")))
-    return (
-        prepared.withColumn("risk", _flag(contains_any("_text", _lowered(risk), match)))
-        .withColumn("opportunity", _flag(contains_any("_text", _lowered(opportunity), match)))
-        .drop("_text")
+    matched = computed_once(
+        prepared,
+        **_flags(
+            contains_any("_text", _lowered(risk), match),
+            contains_any("_text", _lowered(opportunity), match),
+        ),
     )
+    return matched.drop("_text")
 
 
 def classify(
@@ -86,13 +95,16 @@ def classify(
         ).alias("_topic_text"),
         text.risk_text("_title", "_description").alias("_signal_text"),
     )
-    scored = _score(prepared.withColumn("topics", topic_array("_topic_text", topics, match)))
-    return (
-        scored.withColumn("risk", _flag(contains_any("_signal_text", _lowered(risk), match)))
-        .withColumn(
-            "opportunity", _flag(contains_any("_signal_text", _lowered(opportunity), match))
-        )
-        .drop("_title", "_description", "_topic_text", "_signal_text")
+    matched = computed_once(
+        prepared,
+        topics=topic_array("_topic_text", topics, match),
+        _risk=contains_any("_signal_text", _lowered(risk), match),
+        _opportunity=contains_any("_signal_text", _lowered(opportunity), match),
+    )
+    scored = matched.withColumns(_scores())
+    flagged = scored.withColumns(_flags(F.col("_risk"), F.col("_opportunity")))
+    return flagged.drop(
+        "_title", "_description", "_topic_text", "_signal_text", "_risk", "_opportunity"
     )
 
 

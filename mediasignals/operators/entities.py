@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .. import lexicon
 from ..functions import text
 from ..functions.matching import word_grams
+from ..functions.once import computed_once
 
 KIND_COLUMNS = (("persons", "PER"), ("orgs", "ORG"), ("places", "LOC"))
 
@@ -59,12 +60,9 @@ def extract_by_gazetteer(articles: DataFrame, gazetteer: DataFrame) -> DataFrame
         .distinct()
     )
     longest = names.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
-    grams = (
-        folded.select("article_id", F.explode(word_grams("_text", longest)).alias("g"))
-        .groupBy("article_id", "g.gram")
-        .agg(F.min("g.pos").alias("pos"))
-    )
-    return grams.join(names, "gram").select("article_id", "surface", "kind", "pos")
+    grams = folded.select("article_id", F.explode(word_grams("_text", longest)).alias("g"))
+    hits = grams.select("article_id", "g.gram", "g.pos").join(names, "gram")
+    return hits.groupBy("article_id", "surface", "kind").agg(F.min("pos").alias("pos"))
 
 
 def mention_arrays(mentions: DataFrame) -> DataFrame:
@@ -138,7 +136,7 @@ def resolve_keys(mentions: DataFrame, aliases: DataFrame, entities: DataFrame) -
     key once, however often it is mentioned. New ids are hashes of the key.
     """
     first = (
-        mentions.withColumn("key", text.normalize_key("surface"))
+        computed_once(mentions, key=text.normalize_key("surface"))
         .filter("key <> ''")
         .groupBy("key")
         .agg(F.min(F.struct("article_id", "pos", "surface", "kind")).alias("f"))

@@ -16,6 +16,7 @@ from ..functions.matching import (
     gram_pairs,
     inline_rows,
 )
+from ..functions.once import computed_once
 
 FOREIGN = [c for c in lexicon.COUNTRIES if c != lexicon.HOME_COUNTRY]
 
@@ -123,7 +124,7 @@ def source_municipality(
     Exact key first, else the first municipality (file order) that contains the place part
     or is contained in it. Works on distinct names, never on articles.
     """
-    parts = sources.select("source").distinct().select("source", text.source_place("source").alias("part"))
+    parts = computed_once(sources.select("source").distinct(), part=text.source_place("source"))
     parts = parts.filter(F.col("part").isNotNull())
     dim = municipality_keys(municipalities)
     rows = inline_rows(dim, inline_limit)
@@ -134,7 +135,7 @@ def source_municipality(
         near = F.get(
             F.filter(table, lambda m: F.contains(part, m["key"]) | F.contains(m["key"], part)), 0
         )
-        hit = parts.select("source", F.coalesce(exact, near).alias("m"))
+        hit = computed_once(parts, m=F.coalesce(exact, near))
         return hit.filter("m is not null").select("source", "m.municipality", "m.subregion")
     names = parts.select("part").distinct()
     inside = gram_pairs(
@@ -180,9 +181,8 @@ def title_municipality(
                 "id", F.lit("").alias("municipality"), F.lit("").alias("subregion")
             )
         table = _literal_dim(sorted(rows, key=lambda r: (-len(r["key"]), r["ord"])))
-        hit = titles.select(
-            "id", F.get(F.filter(table, lambda m: F.contains(F.col("text"), m["key"])), 0).alias("m")
-        )
+        named = F.filter(table, lambda m: F.contains(F.col("text"), m["key"]))
+        hit = computed_once(titles, m=F.get(named, 0))
         return hit.filter("m is not null").select("id", "m.municipality", "m.subregion")
     pairs = gram_pairs(
         titles.withColumnRenamed("id", "text_id"),
@@ -264,7 +264,7 @@ def with_subregion(
         named = [
             F.when(contains_any("_where", keys), F.lit(name)) for name, keys in by_region.items()
         ]
-        return folded.withColumn("subregion", F.coalesce(*named, mining)).drop("_title", "_where")
+        return computed_once(folded, subregion=F.coalesce(*named, mining)).drop("_title", "_where")
     pairs = gram_pairs(
         folded.select(F.col("id").alias("text_id"), F.col("_where").alias("text")),
         variants.select(F.col("key").alias("term_id"), F.col("key").alias("term")).distinct(),

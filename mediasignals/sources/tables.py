@@ -36,9 +36,10 @@ def replace_days(
     if requested is not None:
         # computed once: it is both written and compared with the requested days
         rollup = written(rollup, "rollup")
-    rollup.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "day"
-    ).parquet(path)
+    # rows of a day meet before the write (adaptively split if large): few files per day
+    rollup.hint("rebalance", "day").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("day").parquet(path)
     if requested is not None:
         stored = rollup.sparkSession.read.schema(rollup.schema).parquet(path)
         stale = (
