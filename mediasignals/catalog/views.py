@@ -10,13 +10,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import tune
+from ..session import spread, tune
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+# tables whose queries spend their time on long texts
+TEXT_TABLES = ("documents", "pages")
+
 STAR_AS_OF = "2001-08-01"
 SERIES_AS_OF = "2024-01-30"
 NEWS_AS_OF = "2024-02-29"
@@ -192,7 +195,8 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in BASE:
-                self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._made[name] = spread(table) if name in TEXT_TABLES else table
             else:
                 self._made[name] = self.sql(VIEWS[name])
         return self._made[name]

@@ -21,9 +21,15 @@ from ..functions.once import computed_once
 FOREIGN = [c for c in lexicon.COUNTRIES if c != lexicon.HOME_COUNTRY]
 
 
+_BREAK = "\x00"
+
+
 def _keys(items: str | Column) -> Column:
-    items = F.col(items) if isinstance(items, str) else items
-    return F.transform(F.coalesce(items, F.array().cast("array<string>")), text.normalize_key)
+    """Lookup keys of the items. All are folded as one string: code inside a lambda is
+    interpreted, so only the trimming stays there."""
+    joined = F.array_join(F.col(items) if isinstance(items, str) else items, _BREAK)
+    parts = F.split(text.fold(F.coalesce(joined, F.lit(""))), _BREAK)
+    return F.transform(parts, text.strip_space)
 
 
 def geo_level(

@@ -80,8 +80,12 @@ ROLLUP_SCHEMAS = {
 def classified_articles(
     rows: DataFrame, gazetteer: DataFrame, regions: DataFrame, rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
-    """New article rows -> topics, signals, names, geography; relevant rows get names."""
-    scored = classify.classify(rows, rules.topics, rules.risk, rules.opportunity)
+    """New article rows -> topics, signals, names, geography; relevant rows get names.
+
+    The scored rows are needed twice, so they are written once: otherwise deduplication and
+    matching would run for each use.
+    """
+    scored = written(classify.classify(rows, rules.topics, rules.risk, rules.opportunity), "scored")
     found = entities.mention_arrays(
         entities.extract_by_gazetteer(scored.filter("relevant = 1"), gazetteer)
     ).withColumnRenamed("article_id", "id")

@@ -49,6 +49,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy text work at least one partition per core.
+
+    Only inputs with fewer splits than cores are redistributed (a single small file, an
+    unsplittable archive); a large table already has more and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a shared table and read it back: lineage ends at durable files.
 
