@@ -100,16 +100,21 @@ def d10(t):
     return counts.top_entities(t("articles"), t("article_entity"), t("entities"), "ORG", 20, _A, _B)
 
 
-_NAME = "blue bolt #2"
+# the entity of part 2, whatever its name is at this scale
+_NAME = "(select name from entities where id = 2)"
+
+
+def _name(t):
+    return t("entities").filter("id = 2").select("name").scalar()
 
 
 @query("d11_entity_timeline", f"""
     select day, count(*) as mentions from article_entity join entities on entity_id = entities.id
     join articles a on article_id = a.id
-    where name = '{_NAME}' and day between date '{STAR_AS_OF}' - 2400 and date '{STAR_AS_OF}' group by day""")
+    where name = {_NAME} and day between date '{STAR_AS_OF}' - 2400 and date '{STAR_AS_OF}' group by day""")
 def d11(t):
     return counts.entity_timeline(
-        t("articles"), t("article_entity"), t("entities"), _NAME, STAR_AS_OF, 2400)
+        t("articles"), t("article_entity"), t("entities"), _name(t), STAR_AS_OF, 2400)
 
 
 @query("d12_key_entities_at_risk", f"""
@@ -200,9 +205,9 @@ def d21b(t):
 
 @query("d22_entity_sparkline", f"""
     select day, {sums('mentions')} from e_star join entities on entity_id = entities.id
-    where name = '{_NAME}' and day {_RANGE} group by day""")
+    where name = {_NAME} and day {_RANGE} group by day""")
 def d22(t):
-    return counts.entity_sparkline(rollup_of(t, "daily_entity"), t("entities"), _NAME, _A, _B)
+    return counts.entity_sparkline(rollup_of(t, "daily_entity"), t("entities"), _name(t), _A, _B)
 
 
 @query("d23_topic_trends", f"""

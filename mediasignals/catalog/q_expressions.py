@@ -292,8 +292,7 @@ _DEEP = f"""case when {any_of("lower(orgs_text)", _COMPANIES)} or {_in_places(_F
 
 @query("i6_geo_level", f"select id, {_GEO} as geo_level from export_rows")
 def i6(t):
-    return export_frame(t).select(
-        "id", geo.geo_level("places", "title", _FOREIGN, _HOME, _STATES).alias("geo_level"))
+    return geo.with_geo_level(export_frame(t), _FOREIGN, _HOME, _STATES).select("id", "geo_level")
 
 
 @query("i7_deep_analysis", f"select id, {_DEEP} as deep_analysis from export_rows")
@@ -315,10 +314,9 @@ def i8(t):
         r.id as region_id, {_DEEP} as deep_analysis
     from export_rows e left join regions r on name_norm = lower(trim(split_part(places_text, ',', 1)))""")
 def i9(t):
-    rows = geo.with_region(export_frame(t), t("regions"))
-    return rows.select("id", text_list("orgs"),
-                       geo.geo_level("places", "title", _FOREIGN, _HOME, _STATES).alias("geo_level"),
-                       "region_id",
+    rows = geo.with_geo_level(
+        geo.with_region(export_frame(t), t("regions")), _FOREIGN, _HOME, _STATES)
+    return rows.select("id", text_list("orgs"), "geo_level", "region_id",
                        geo.deep_analysis("places", "orgs", _COMPANIES, _FOREIGN).alias("deep_analysis"))
 
 

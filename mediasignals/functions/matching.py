@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .once import computed_once
 from .text import _col
 
 MAX_INLINE_TERMS = 500
@@ -82,6 +83,7 @@ def gram_pairs(texts: DataFrame, terms: DataFrame) -> DataFrame:
     )
     # at most GRAM numbers
     sizes = sorted(r[0] for r in anchors.select(F.length("gram")).distinct().collect())
+    texts = computed_once(texts, text=F.col("text"))
     grams = F.concat(*[_grams(F.col("text"), n) for n in sizes or [GRAM]])
     candidates = (
         texts.select("text_id", F.explode(grams).alias("gram"))
@@ -108,6 +110,8 @@ def matching_terms(
     dictionary = F.array(
         *[F.struct(F.lit(r["term_id"]).alias("i"), F.lit(r["term"]).alias("t")) for r in rows]
     )
+    # the text may be an expression: it must not move into the lambda and run per term
+    texts = computed_once(texts, text=F.col("text"))
     hits = F.filter(dictionary, lambda d: F.contains(F.col("text"), d["t"]))
     return texts.select("text_id", F.explode(F.transform(hits, lambda d: d["i"])).alias("term_id"))
 

@@ -100,8 +100,11 @@ def _code_point(c: Column) -> Column:
     )
 
 
-def unescape_html(c: str | Column) -> Column:
-    """Named and numeric character references -> characters."""
+def unescape_html(c: str | Column, raw: str | Column | None = None) -> Column:
+    """Named and numeric character references -> characters.
+
+    ``raw`` may name a cheaper column that holds a '&' whenever ``c`` does.
+    """
     names, open_names, _ = _entity_tables()
     table = F.from_json(F.lit(names), "map<string,string>")
 
@@ -129,13 +132,13 @@ def unescape_html(c: str | Column) -> Column:
         F.lit(1),
     )
     return F.when(
-        F.contains(_col(c), F.lit("&")), F.array_join(F.transform(tokens, decode), "")
+        F.contains(_col(c if raw is None else raw), F.lit("&")), F.array_join(F.transform(tokens, decode), "")
     ).otherwise(_col(c))
 
 
 def strip_html(c: str | Column, limit: int | None = None) -> Column:
     """Tags -> blank, references decoded, white space collapsed. Whole text unless ``limit``."""
-    plain = unescape_html(F.regexp_replace(_col(c), r"<[^>]+>", " "))
+    plain = unescape_html(F.regexp_replace(_col(c), r"<[^>]+>", " "), raw=c)
     plain = F.trim(F.regexp_replace(plain, r"[\s\p{Z}\x1c-\x1f\x85]+", " "))
     plain = F.coalesce(plain, F.lit(""))
     return F.substring(plain, 1, limit) if limit else plain

@@ -97,7 +97,7 @@ def top_entities(
 
 def entity_timeline(
     articles: DataFrame, article_entity: DataFrame, entities: DataFrame,
-    name: str, as_of: str | dt.date, days: int = 30,
+    name: str | Column, as_of: str | dt.date, days: int = 30,
 ) -> DataFrame:
     wanted = _dim(entities.filter(F.col("name") == name), "entity_id")
     ids = article_entity.join(wanted, "entity_id", "left_semi").select("article_id")
@@ -341,7 +341,7 @@ def entity_trends(
 
 
 def entity_sparkline(
-    daily_entity: DataFrame, entities: DataFrame, name: str, start: Day, end: Day
+    daily_entity: DataFrame, entities: DataFrame, name: str | Column, start: Day, end: Day
 ) -> DataFrame:
     wanted = _dim(entities.filter(F.col("name") == name), "entity_id")
     return (

@@ -32,25 +32,26 @@ def _keys(items: str | Column) -> Column:
     return F.transform(parts, text.strip_space)
 
 
-def geo_level(
-    places: str | Column,
-    title: str | Column,
+def with_geo_level(
+    articles: DataFrame,
     foreign: Sequence[str] = tuple(FOREIGN),
     home: Sequence[str] = (lexicon.HOME_STATE,),
     states: Sequence[str] = tuple(lexicon.STATES),
-) -> Column:
-    """Other country > home state > any state; places by equality, title by containment."""
-    keys, headline = _keys(places), text.normalize_key(title)
+) -> DataFrame:
+    """Adds ``geo_level``: other country > home state > any state; places by equality, title
+    by containment. Title and places are folded once for all comparisons."""
+    folded = computed_once(articles, _places=_keys("places"), _title=text.normalize_key("title"))
 
     def named(terms: Sequence[str]) -> Column:
-        return any_item_in(keys, terms) | contains_any(headline, terms)
+        return any_item_in("_places", terms) | contains_any("_title", terms)
 
-    return (
+    level = (
         F.when(named(foreign), "internacional")
         .when(named(home), "estatal")
         .when(named(states), "nacional")
         .otherwise(lexicon.UNKNOWN_LEVEL)
     )
+    return folded.withColumn("geo_level", level).drop("_places", "_title")
 
 
 def deep_analysis(
@@ -179,7 +180,9 @@ def title_municipality(
     dim = municipality_keys(municipalities)
     if names is not None:
         dim = dim.filter(F.col("key").isin([_folded(n) for n in names]))
-    titles = articles.select("id", F.coalesce(text.fold("title"), F.lit("")).alias("text"))
+    titles = computed_once(
+        articles.select("id", "title"), text=F.coalesce(text.fold("title"), F.lit(""))
+    ).select("id", "text")
     rows = inline_rows(dim, inline_limit)
     if rows is not None:
         if not rows:

@@ -95,10 +95,10 @@ def classified_articles(
     named = named.withColumns(
         {c: F.when(relevant, F.coalesce(c, no_names)) for c in ("persons", "orgs", "places")}
     )
-    located = geo.with_region(named, regions)
+    located = geo.with_geo_level(geo.with_region(named, regions))
     return located.withColumns(
         {
-            "geo_level": F.when(relevant, geo.geo_level("places", "title")),
+            "geo_level": F.when(relevant, F.col("geo_level")),
             "deep_analysis": F.when(relevant, geo.deep_analysis("places", "orgs")).otherwise(0),
         }
     )

@@ -27,7 +27,7 @@ DEEP = [
 def test_geo_level(spark):
     rows = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(LEVELS)],
                                  "id int, places array<string>, title string")
-    got = {r["id"]: r["g"] for r in rows.select("id", geo.geo_level("places", "title").alias("g")).collect()}
+    got = {r["id"]: r["geo_level"] for r in geo.with_geo_level(rows).collect()}
     assert [got[i] for i in range(len(LEVELS))] == [x[2] for x in LEVELS]
 
 
