@@ -116,13 +116,18 @@ def matching_terms(
     return texts.select("text_id", F.explode(F.transform(hits, lambda d: d["i"])).alias("term_id"))
 
 
-def word_grams(c: str | Column, max_words: int) -> Column:
-    """Word n-grams of a text with the position of their first word.
+def word_list(c: str | Column) -> Column:
+    """Runs of word characters, in text order."""
+    return F.filter(F.split(_col(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
-    array<struct<gram, pos>>, n from 1 to ``max_words``; words are runs of word characters.
-    Each size extends the one before by the shifted word list, in linear time.
+
+def word_grams(words: str | Column, max_words: int) -> Column:
+    """n-grams of a word list with the position of their first word.
+
+    array<struct<gram, pos>>, n from 1 to ``max_words``. Each size extends the one before by
+    the shifted list, in linear time. ``words`` is used many times: pass a computed column.
     """
-    words = F.filter(F.split(_col(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    words = _col(words)
     total = F.size(words)
     grams, parts = words, []
     for n in range(1, max_words + 1):

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import lexicon
 from ..functions import text
-from ..functions.matching import word_grams
+from ..functions.matching import word_grams, word_list
 from ..functions.once import computed_once
 
 KIND_COLUMNS = (("persons", "PER"), ("orgs", "ORG"), ("places", "LOC"))
@@ -44,23 +44,19 @@ def extract_by_gazetteer(articles: DataFrame, gazetteer: DataFrame) -> DataFrame
     per article and name, ``pos`` being the first occurrence.
     """
     whole = F.concat_ws(" ", "title", text.strip_html(F.coalesce("description", F.lit(""))))
-    folded = articles.select(F.col("id").alias("article_id"), text.fold(whole).alias("_text"))
+    listed = computed_once(
+        articles.select(F.col("id").alias("article_id"), whole.alias("_text")),
+        _words=word_list(text.fold("_text")),
+    )
     names = (
         gazetteer.select(
-            "surface",
-            "kind",
-            F.array_join(
-                F.filter(
-                    F.split(text.fold("surface"), r"[^\p{L}\p{N}_]+"), lambda w: w != ""
-                ),
-                " ",
-            ).alias("gram"),
+            "surface", "kind", F.array_join(word_list(text.fold("surface")), " ").alias("gram")
         )
         .filter("gram <> ''")
         .distinct()
     )
     longest = names.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
-    grams = folded.select("article_id", F.explode(word_grams("_text", longest)).alias("g"))
+    grams = listed.select("article_id", F.explode(word_grams("_words", longest)).alias("g"))
     hits = grams.select("article_id", "g.gram", "g.pos").join(names, "gram")
     return hits.groupBy("article_id", "surface", "kind").agg(F.min("pos").alias("pos"))
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import first_per_key
@@ -110,13 +111,16 @@ def recompute_touched_days(
 ) -> Callable[[DataFrame, int], None]:
     """Store the batch, then rebuild exactly the days it touches from the stored rows.
 
-    Late rows therefore change the day they belong to, whenever they arrive.
+    Late rows therefore change the day they belong to, whenever they arrive. Stored rows are
+    partitioned by day, so only the touched days are read back.
     """
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{rows_path}/batch={batch_id}")
-        stored = spark.read.parquet(rows_path)
+        target = f"{rows_path}/batch={batch_id}"
+        df.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(target)
+        with_batch = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+        stored = spark.read.schema(with_batch).parquet(rows_path)
         touched = stored.filter(F.col("batch") == batch_id).select("day").distinct()
         replace_days(rollup(stored.join(touched, "day", "left_semi")), rollup_path)
 

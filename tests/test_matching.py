@@ -37,8 +37,9 @@ def test_minimal_terms_keep_meaning():
 
 def test_word_grams(spark):
     row = spark.createDataFrame([("uno, dos-tres",)], "x string").select(
-        matching.word_grams("x", 3).alias("g")).first()["g"]
+        matching.word_grams(matching.word_list("x"), 3).alias("g")).first()["g"]
     assert {(g["gram"], g["pos"]) for g in row} == {
         ("uno", 1), ("dos", 2), ("tres", 3), ("uno dos", 1), ("dos tres", 2), ("uno dos tres", 1)}
-    empty = spark.createDataFrame([("",)], "x string").select(matching.word_grams("x", 2).alias("g"))
+    empty = spark.createDataFrame([("",)], "x string").select(
+        matching.word_grams(matching.word_list("x"), 2).alias("g"))
     assert empty.first()["g"] == []
