@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune, written
-from . import quality_rules, wu_manber
+from . import centroid_lang, quality_rules, tree_html, wu_manber
 from .registry import query, table
 
 
@@ -34,3 +34,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("items_sha256"),
         (F.col(f"{r}.n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op7_centroid_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text", "lang")
+    out = centroid_lang.held_out(F.col("doc_id"))
+    model = centroid_lang.fit(docs.where(~out))
+    r = centroid_lang.RESULT
+    return centroid_lang.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", out.alias("held_out"), F.col(f"{r}.lang").alias("lang_pred"), f"{r}.score", f"{r}.accepted"
+    )
+
+
+@query("op9_tree_scored_html")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(tune(spark), sf_dir, "pages").select("page_id", "url", "html")
+    return tree_html.extract(pages).select(
+        "page_id", "url",
+        F.col(tree_html.RESULT).alias("text"),
+        F.length(tree_html.RESULT).cast("long").alias("n_chars"),
+    )

@@ -158,16 +158,17 @@ def column_texts(column: pa.Array) -> Texts:
 
 
 def pieces(
-    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES
+    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES, rows: int = 1 << 14
 ) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Record batches cut so that each holds at most ``limit`` bytes of text, or one row."""
+    """Record batches cut so that each holds at most ``limit`` bytes of text, or one row, and
+    at most ``rows`` rows."""
     for batch in batches:
         whole = column_texts(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < whole.n:
             room = whole.bounds[at] + limit
             end = max(at + 1, int(np.searchsorted(whole.bounds, room, "right")) - 1)
-            end = min(end, whole.n)
+            end = min(end, whole.n, at + rows)
             low, high = whole.bounds[at], whole.bounds[end]
             yield batch.slice(at, end - at), Texts(whole.data[low:high], whole.bounds[at : end + 1] - low)
             at = end
