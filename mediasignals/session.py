@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,10 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if spark.sparkContext.master.startswith("local"):
+        # Python workers of this machine find the package wherever the driver was started;
+        # a cluster has it installed or gets it by --py-files
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark
 
 
@@ -32,7 +37,7 @@ def build_session(app: str = "mediasignals", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
