@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune, written
-from . import centroid_lang, quality_rules, tree_html, wu_manber
+from . import centroid_lang, quality_rules, secrets, tree_html, wu_manber
 from .registry import query, table
 
 
@@ -55,3 +55,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(tree_html.RESULT).alias("text"),
         F.length(tree_html.RESULT).cast("long").alias("n_chars"),
     )
+
+
+@query("op5_randomness_secrets")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs)
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_random"),
+    )
