@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune, written
-from . import centroid_lang, quality_rules, secrets, tree_html, wu_manber
+from . import centroid_lang, parity_join, quality_rules, secrets, tree_html, wu_manber
 from .registry import query, table
 
 
@@ -71,3 +71,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.listed(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_random"),
     )
+
+
+@query("op8_parity_jaccard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    return parity_join.components(docs)
