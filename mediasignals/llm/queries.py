@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune, written
-from . import centroid_lang, parity_join, quality_rules, secrets, tree_html, wu_manber
+from . import centroid_lang, line_join, parity_join, quality_rules, secrets, tree_html, wu_manber
 from .registry import query, table
 
 
@@ -77,3 +77,36 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     return parity_join.components(docs)
+
+
+LINES_SQL = """
+WITH occ AS (
+  SELECT doc_id, i - 1 AS pos, regexp_replace(string_split(text, chr(10))[i], '^\\s+|\\s+$', '', 'g') AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+), lines AS (
+  SELECT line, min((doc_id, pos)) AS first FROM occ WHERE length(line) >= 20 GROUP BY line
+), near AS (
+  SELECT DISTINCT y.line FROM lines x JOIN lines y
+    ON abs(length(x.line) - length(y.line)) <= 2 AND x.first < y.first
+  WHERE levenshtein(x.line, y.line) <= 2
+), judged AS (
+  SELECT o.doc_id, o.pos, l.first IS NOT NULL AND (o.doc_id, o.pos) <> l.first AS again, n.line IS NOT NULL AS near
+  FROM occ o LEFT JOIN lines l ON o.line = l.line LEFT JOIN near n ON o.line = n.line
+), counts AS (
+  SELECT doc_id, count(*) FILTER (again) AS n_equal, count(*) FILTER (near AND NOT again) AS n_near,
+    list(pos ORDER BY pos) FILTER (NOT again AND NOT near) AS kept
+  FROM judged GROUP BY doc_id
+)
+SELECT doc_id,
+  coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines,
+  coalesce(n_equal, 0)::BIGINT AS n_equal, coalesce(n_near, 0)::BIGINT AS n_near,
+  CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(
+    list_transform(kept, lambda p: string_split(text, chr(10))[p + 1]), chr(10)), '') END AS text
+FROM documents LEFT JOIN counts USING (doc_id)
+"""
+
+
+@query("op2_segment_lines", LINES_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    return line_join.dedup(docs).select("doc_id", "n_lines", "n_equal", "n_near", "text")
