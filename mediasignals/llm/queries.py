@@ -81,13 +81,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = """
 WITH occ AS (
-  SELECT doc_id, i - 1 AS pos, regexp_replace(string_split(text, chr(10))[i], '^\\s+|\\s+$', '', 'g') AS line
-  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+  SELECT doc_id, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line
+  FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+      unnest(range(len(string_split(text, chr(10))))) AS pos
+    FROM documents
+  )
 ), lines AS (
   SELECT line, min((doc_id, pos)) AS first FROM occ WHERE length(line) >= 20 GROUP BY line
 ), near AS (
-  SELECT DISTINCT y.line FROM lines x JOIN lines y
-    ON abs(length(x.line) - length(y.line)) <= 2 AND x.first < y.first
+  SELECT DISTINCT y.line
+  FROM (SELECT line, first, unnest(range(length(line) - 2, length(line) + 3)) AS size FROM lines) x
+  JOIN lines y ON x.size = length(y.line) AND x.first < y.first
   WHERE levenshtein(x.line, y.line) <= 2
 ), judged AS (
   SELECT o.doc_id, o.pos, l.first IS NOT NULL AND (o.doc_id, o.pos) <> l.first AS again, n.line IS NOT NULL AS near
