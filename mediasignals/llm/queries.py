@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune, written
-from . import centroid_lang, line_join, parity_join, quality_rules, secrets, tree_html, wu_manber
+from . import centroid_lang, line_join, ordinal_quality, parity_join, piece_lattice, quality_rules, secrets, tree_html, wu_manber
 from .registry import query, table
 
+#: a file of a public tokenizer; only the driver reads it
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,3 +118,27 @@ FROM documents LEFT JOIN counts USING (doc_id)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     return line_join.dedup(docs).select("doc_id", "n_lines", "n_equal", "n_near", "text")
+
+
+@query("op1_piece_lattice")
+def op1(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    found = piece_lattice.encode(docs, piece_lattice.Vocabulary.load(tokenizer))
+    r = piece_lattice.RESULT
+    return found.select(
+        "doc_id", F.size(f"{r}.ids").cast("long").alias("n_tokens"), f"{r}.score", f"{r}.ids", f"{r}.further", f"{r}.exact"
+    )
+
+
+@query("op4_ordinal_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    # 0: low quality, 1: fair but toxic, 2: good
+    good = F.col("quality") > 0
+    grade = F.when(~good, 0).when(good & (F.coalesce("toxic", F.lit(0)) > 0), 1).when(good, 2)
+    model = ordinal_quality.fit(docs, table(spark, sf_dir, "labels"), grade)
+    r = ordinal_quality.RESULT
+    return ordinal_quality.score(docs, model).select(
+        "doc_id", F.col(f"{r}.expected").alias("expected_grade"), F.col(f"{r}.top").alias("p_good"),
+        F.element_at(f"{r}.tails", 1).alias("p_fair"), (F.col(f"{r}.top") >= 0.5).alias("selected"),
+    )
