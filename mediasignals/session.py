@@ -17,6 +17,10 @@ RUNTIME_CONF = {
     # split a skewed join side even where that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # a query's shuffle files go when it has ended; what later queries need is written
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # very long texts do not make very large batches
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
