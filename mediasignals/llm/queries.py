@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune, written
-from . import centroid_lang, line_join, ordinal_quality, parity_join, piece_lattice, quality_rules, secrets, tree_html, wu_manber
+from . import centroid_lang, line_join, ordinal_quality, parity_join, piece_lattice, quality_rules, secrets, tree_html, url_lists, wu_manber
 from .registry import query, table
 
 #: a file of a public tokenizer; only the driver reads it
@@ -142,3 +142,76 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col(f"{r}.expected").alias("expected_grade"), F.col(f"{r}.top").alias("p_good"),
         F.element_at(f"{r}.tails", 1).alias("p_fair"), (F.col(f"{r}.top") >= 0.5).alias("selected"),
     )
+
+
+# The tables have no fetch dates and no lists: both are derived from the urls by digests.
+CAPTURES_SQL = """
+SELECT page_id, url, date_add(DATE '2024-01-01', CAST(conv(substr(md5(url), 1, 4), 16, 10) AS INT) % 366) AS fetched_on
+FROM pages
+"""
+ENTRIES_SQL = """
+WITH hosts AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages),
+named AS (
+  SELECT 'spam' AS list, 'domain' AS kind, host AS value FROM hosts
+  UNION ALL SELECT 'allow', 'domain', host FROM hosts WHERE substr(md5(host), 1, 1) < '4'
+  UNION ALL SELECT DISTINCT 'malware', 'domain', regexp_replace(host, '^[^.]*[.]', '') FROM hosts
+  UNION ALL SELECT DISTINCT 'pirate', 'path', lower(regexp_extract(url, '^[a-z]+://([^/?#]*/[^/?#]*/)', 1)) FROM pages
+), dated AS (
+  SELECT *, md5(concat(list, value)) AS m FROM named WHERE value <> '' AND substr(md5(concat(value, list)), 1, 1) < '9'
+), days AS (
+  SELECT *, {m1} % 300 AS a, 1 + {m2} % 90 AS b, {m3} % 60 AS c FROM dated
+)
+SELECT list, kind, value, {day_a} AS day, 'add' AS action FROM days
+UNION ALL SELECT list, kind, value, {day_b}, 'remove' FROM days WHERE substr(m, 13, 1) < 'a'
+UNION ALL SELECT list, kind, value, {day_c}, 'add' FROM days WHERE substr(m, 14, 1) < '6'
+"""
+
+
+def _dialect(sql: str, spark: bool) -> str:
+    def digest(at: int) -> str:
+        part = f"substr(m, {at}, 4)"
+        return f"CAST(conv({part}, 16, 10) AS INT)" if spark else f"CAST('0x' || {part} AS INT)"
+
+    def day(n: str) -> str:
+        return f"date_add(DATE '2024-01-01', {n})" if spark else f"(DATE '2024-01-01' + ({n}))"
+
+    return sql.format(
+        m1=digest(1), m2=digest(5), m3=digest(9), day_a=day("a"), day_b=day("a + b"), day_c=day("a + b + c")
+    )
+
+
+LISTS_SQL = f"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST('0x' || substr(md5(url), 1, 4) AS INT) % 366 AS fetched_on,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), entries AS ({_dialect(ENTRIES_SQL, spark=False)}),
+held AS (
+  SELECT * FROM (
+    SELECT *, lead(day) OVER (PARTITION BY list, kind, value ORDER BY day, action) AS until
+    FROM (SELECT DISTINCT * FROM entries)
+  ) WHERE action = 'add' AND (until IS NULL OR until > day)
+), found AS (
+  SELECT page_id, list, value FROM captures JOIN held
+    ON fetched_on >= day AND (until IS NULL OR fetched_on < until)
+    AND CASE WHEN kind = 'domain' THEN host = value OR ends_with(host, '.' || value)
+      ELSE starts_with(host || path, value) END
+), listed AS (
+  SELECT page_id, string_agg(DISTINCT list || ':' || value, ',' ORDER BY list || ':' || value) AS matches,
+    bool_or(list = 'allow') AS allowed, bool_or(list <> 'allow') AS listed
+  FROM found GROUP BY page_id
+)
+SELECT page_id, url, fetched_on, coalesce(matches, '') AS matches, coalesce(listed AND NOT allowed, FALSE) AS blocked
+FROM captures LEFT JOIN listed USING (page_id)
+"""
+
+
+@query("op3_url_lists", LISTS_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(tune(spark), sf_dir, "pages").select("page_id", "url")
+    captures = spark.sql(CAPTURES_SQL.replace("FROM pages", "FROM {pages}"), pages=pages)
+    entries = spark.sql(_dialect(ENTRIES_SQL, spark=True).replace("FROM pages", "FROM {pages}"), pages=pages)
+    return url_lists.evaluate(captures, entries).select(
+        "page_id", "url", "fetched_on", F.array_join("matches", ",").alias("matches"), "blocked"
+    )
