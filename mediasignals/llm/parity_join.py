@@ -5,22 +5,30 @@ shorter text). Two sets with similarity of at least ``SHARE`` differ in at most
 (|A| + |B|) / 7 shingles (for 0.75). A parity sketch toggles one position for each shingle, so
 two sketches differ in at most as many positions as the sets differ in shingles.
 
+Common shingles. Those of a line or passage that many documents share say little about a
+link. Each task counts the shingles of its documents by slots of a fixed table; a slot that
+holds more than ``COMMON`` of a task's documents is common everywhere. This choice decides how
+candidates are found, never which links are.
+
 Candidates. Sizes are split into bands [2^k, 2^(k+1)); a set also visits the next band if a
 similar one there could be large enough. In a band, the positions of a very long sketch are
 dealt to a fixed number of parts, and a part's bits are kept as the exclusive or of a 64-bit
 number for each toggled position. Each differing shingle changes one part, so that a set with more
-non-empty parts than possible differences shares a non-empty part, unchanged, with every
-similar set: these parts are the join keys. If two similar sets share none, both have few
-non-empty parts; such sets are also keyed by their first shingles in hash order, of which
-similar sets share at least one. No key stands for an empty part.
+useful parts (with a shingle that is not common) than possible differences shares one of
+them, unchanged, with every similar set: these parts are the join keys. If two similar sets
+share none, both have few useful parts; such sets are also keyed by their first shingles, common
+ones last and otherwise in hash order, of which similar sets share at least one. No key
+stands for an empty part.
 
 Joining. Texts with equal sets form one class, and only classes are joined. Rows are sorted by
 key within their partition and read as a stream. Up to ``SMALL`` classes of a key give all their
 pairs. For a key with more, all are compared with one of them; components of the links
 found so far follow, and only members of different components remain to be compared: in
-blocks of bounded size, by the 512-bit sketches that come with them, and the pairs within the
-bound go on. All pairs are then filtered by size and by sketch, and verified on the full
-sets. No candidate is capped or dropped.
+blocks of bounded size, by sketches of at least four positions a shingle that come with them,
+and the pairs within the bound go on. All pairs are then filtered by size, by sketches of 512
+positions and by the wider ones, and verified on the full sets. Those are made anew from the texts
+whose class is in a bitmap of fixed size; a class that only seems to be in it is dropped by
+the join that follows. No candidate is capped or dropped.
 
 Defined results: null texts and texts without words have an empty set and are linked with
 nothing; repeated rows belong to one class; columns other than id and text are not read.
@@ -32,7 +40,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +53,9 @@ SHINGLE = 5
 SHARE = (3, 4)
 #: parts of a band for each shingle of its largest set
 PARTS = 0.36
+#: share of a task's documents that makes a slot of shingles common, and the bits of a slot
+COMMON = 0.002
+SLOT_BITS = 22
 SMALL = 16
 BLOCK = 1024
 WORDS = 8  # of a sketch
@@ -92,9 +102,58 @@ def _sketches(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.reshape(n, WORDS * 64), axis=1).view(np.int64)
 
 
-def join_keys(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _wide_sketches(text: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
+    """Sketches of 64 * 2^k positions, at least four for each shingle; the halves of one,
+    combined by exclusive or, are the sketch of half the width."""
+    size = np.bincount(text, minlength=n)
+    width = 64 << np.ceil(np.log2(np.maximum(4 * size, 64) / 64)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(width)])
+    code = mix(value ^ _U(0x165667B1))
+    place = base[text] + (code & (width[text] - 1).astype(_U)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(base[-1])) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(base // 64, pa.int32()), pa.array(np.packbits(odd).view(np.int64)))
+
+
+def _in_bitmap(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return ((bitmap[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63))) & _U(1)) == 1
+
+
+def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """The slots (column ``slot``) as a bitmap of fixed size."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    rows = (
+        slots.select(F.floor(F.col("slot") / 64).cast("int").alias("word"), bit.alias("bit"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    )  # at most 2^(bits - 6) words
+    words = np.zeros(1 << (bits - 6), np.int64)
+    for r in rows:
+        words[r.word] = r.bits
+    return words.view(_U)
+
+
+def common_slots(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The bitmap of common slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n, sent = np.zeros(1 << SLOT_BITS, np.int32), 0, set()
+        for _, t in pieces(batches, text):
+            own, value = shingles(t)
+            new = _unsent(_classes(value, _per_text(own, t.n)), sent)
+            np.add.at(counts, (value[new[own]] & _U((1 << SLOT_BITS) - 1)).astype(np.int64), 1)
+            n += int(new.sum())
+        yield pa.RecordBatch.from_pydict({"slot": np.flatnonzero(counts > 10 + COMMON * n)})
+
+    return _bitmap(docs.select(text).mapInArrow(run, "slot BIGINT"), SLOT_BITS)
+
+
+def join_keys(text: np.ndarray, value: np.ndarray, n: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) rows of the sets of ``n`` texts."""
     first = _per_text(text, n)
+    frequent = _in_bitmap(common, value & _U((1 << SLOT_BITS) - 1))
+    # shingles of a text come in hash order; common ones go last
+    rare_first = np.lexsort((frequent, text))
+    rank = np.empty(len(text), np.int64)
+    rank[rare_first] = np.arange(len(text)) - first[text[rare_first]]
     size = np.diff(first)
     level = np.frexp(np.maximum(size, 1))[1].astype(np.int64) - 1  # 2^level <= size
     out_text, out_key = [], []
@@ -116,15 +175,17 @@ def join_keys(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
         begin = np.ones(len(to), bool)
         begin[1:] = (to[1:] != to[:-1]) | (po[1:] != po[:-1])
         at = np.flatnonzero(begin)
+        useful = np.add.reduceat((~frequent[rows][order]).astype(np.int64), at) > 0
+        codes = mix(np.bitwise_xor.reduceat(word, at) ^ mix(po[at].astype(_U) ^ salt[to[at]]))
+        at = at[useful]
         out_text.append(to[at])
-        out_key.append(mix(np.bitwise_xor.reduceat(word, at) ^ mix(po[at].astype(_U) ^ salt[to[at]])))
-        # sets whose parts may all change
+        out_key.append(codes[useful])
+        # sets whose useful parts may all change
         filled = np.bincount(to[at], minlength=n)
         partner = np.minimum(size * SHARE[1] // SHARE[0], high)
         differ = (size + partner) * (SHARE[1] - SHARE[0]) // (SHARE[0] + SHARE[1])
         few = comes & (filled <= differ)
         if few.any():
-            rank = np.arange(len(text)) - first[text]  # shingles of a text come in hash order
             lead = size - -(-size * SHARE[0] // SHARE[1]) + 1
             pick = few[text] & (rank < lead[text])
             out_text.append(text[pick])
@@ -135,7 +196,8 @@ def join_keys(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n, class, sketch words) of every row; class is null for an empty set."""
+    """(doc, n, class, sketch words, wide sketch) of every row; class is null for an empty
+    set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in pieces(batches, text):
@@ -148,16 +210,31 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                     batch.column(0), pa.array(size, pa.int64()),
                     pa.array(_classes(value, first), pa.int64(), mask=size == 0),
                     *[pa.array(sketch[:, i], pa.int64()) for i in range(WORDS)],
+                    _wide_sketches(own, value, t.n),
                 ],
-                ["doc", "n", "class", *_SKETCH],
+                ["doc", "n", "class", *_SKETCH, "wide"],
             )
 
     fields = ", ".join(f"{s} BIGINT" for s in ("n", "class", *_SKETCH))
-    return docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(run, f"doc BIGINT, {fields}")
+    schema = f"doc BIGINT, {fields}, wide ARRAY<BIGINT>"
+    return docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(run, schema)
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+def _unsent(classes: np.ndarray, sent: set[int]) -> np.ndarray:
+    """Which classes a task has not sent yet, as far as it remembers."""
+    new = np.zeros(len(classes), bool)
+    if len(sent) > 1_000_000:
+        sent.clear()
+    for i, c in enumerate(classes.tolist()):
+        if c not in sent:
+            sent.add(c)
+            new[i] = True
+    return new
+
+
+def keyed(docs: DataFrame, common: np.ndarray, text: str = "text") -> DataFrame:
     """(key, class) rows. A task sends each class once, while it remembers it."""
+    sent_common = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -165,15 +242,8 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
             own, value = shingles(t)
             first = _per_text(own, t.n)
             classes = _classes(value, first)
-            new = np.zeros(t.n, bool)
-            if len(sent) > 1_000_000:
-                sent.clear()
-            for i, c in enumerate(classes.tolist()):
-                if c not in sent:
-                    sent.add(c)
-                    new[i] = True
-            rows = new[own]
-            own, keys = join_keys(own[rows], value[rows], t.n)
+            rows = _unsent(classes, sent)[own]
+            own, keys = join_keys(own[rows], value[rows], t.n, sent_common.value)
             yield pa.RecordBatch.from_pydict({"key": keys, "class": classes[own]})
 
     return docs.select(text).mapInArrow(run, "key BIGINT, class BIGINT")
@@ -260,33 +330,68 @@ def _near(a: str, b: str) -> Column:
     return (SHARE[1] * F.least(x, y) >= SHARE[0] * F.greatest(x, y)) & most
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _wide_near(x: Column, y: Column, total: Column) -> Column:
+    """Wide sketches allow a link; sizes that differ by a third have widths that differ by a
+    factor of two at most."""
+    width = F.least(F.size(x), F.size(y))
+    both = lambda a, b: a.bitwiseXOR(b)
+
+    def folded(v: Column) -> Column:
+        halves = F.zip_with(F.slice(v, F.lit(1), width), F.slice(v, width + 1, width), both)
+        return F.when(F.size(v) > width, halves).otherwise(v)
+
+    apart = F.aggregate(F.zip_with(folded(x), folded(y), both), F.lit(0), lambda n, w: n + F.bit_count(w))
+    return total * (SHARE[1] - SHARE[0]) >= apart * (SHARE[0] + SHARE[1])
+
+
+#: bits of the bitmap of wanted classes: 1 MB, whatever the number of classes
+_BITMAP = 23
+
+
+def _sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
+    """(class, items) of the needed classes."""
+    slot = F.col("class").bitwiseAND(F.lit((1 << _BITMAP) - 1))
+    sent_bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(needed.select(slot.alias("slot")), _BITMAP))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for _, t in pieces(batches, text):
+            own, value = shingles(t)
+            first = _per_text(own, t.n)
+            classes = _classes(value, first)
+            wanted = _in_bitmap(sent_bitmap.value, classes.view(_U) & _U((1 << _BITMAP) - 1))
+            wanted[wanted] = _unsent(classes[wanted], sent)
+            bounds = np.concatenate([[0], np.cumsum(np.diff(first)[wanted])])
+            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value[wanted[own]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(classes[wanted]), sets], ["class", "items"])
+
+    found = docs.select(text).mapInArrow(run, "class BIGINT, items ARRAY<BIGINT>")
+    return found.join(needed, "class", "left_semi").dropDuplicates(["class"])
+
+
+def verified(pairs: DataFrame, classes: DataFrame, measured: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """The pairs (a, b) that are linked."""
     side = classes.select("class", "n", *_SKETCH)
     x, y = side.alias("x"), side.alias("y")
     near = written(
         pairs.select("a", "b").distinct()
         .join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class"))
-        .where(_near("x", "y")).select("a", "b"),
+        .where(_near("x", "y")).select("a", "b", (F.col("x.n") + F.col("y.n")).alias("total")),
         "pairs",
     )
-    needed = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("doc"), text).join(
-        classes.join(needed, "class").select("doc"), "doc", "left_semi"
+    wide = (
+        measured.select("class", "wide").join(_members(near), "class", "left_semi").dropDuplicates(["class"])
     )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in pieces(batches, text):
-            own, value = shingles(t)
-            first = _per_text(own, t.n)
-            sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_classes(value, first)), sets], ["class", "items"])
-
-    # ids may repeat, so each class keeps one of its equal sets
-    sets = texts.mapInArrow(run, "class BIGINT, items ARRAY<BIGINT>").dropDuplicates(["class"])
-    sets = written(sets.join(needed, "class", "left_semi"), "sets")
+    closer = written(
+        near.join(wide.select(F.col("class").alias("a"), F.col("wide").alias("x")), "a")
+        .join(wide.select(F.col("class").alias("b"), F.col("wide").alias("y")), "b")
+        .where(_wide_near(F.col("x"), F.col("y"), F.col("total")))
+        .select("a", "b"),
+        "closer_pairs",
+    )
+    sets = written(_sets(docs, text, _members(closer)), "sets")
     both = (
-        near.join(sets.select(F.col("class").alias("a"), F.col("items").alias("x")), "a")
+        closer.join(sets.select(F.col("class").alias("a"), F.col("items").alias("x")), "a")
         .join(sets.select(F.col("class").alias("b"), F.col("items").alias("y")), "b")
     )
     common = F.size(F.array_intersect("x", "y"))
@@ -294,7 +399,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     return both.where(SHARE[1] * common >= SHARE[0] * joined).select("a", "b")
 
 
-def _crowded_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+
+
+def _crowded_pairs(members: DataFrame, roots: DataFrame, measured: DataFrame) -> DataFrame:
     """Near pairs of different components among the members of large keys."""
     labelled = (
         members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left")
@@ -307,40 +416,69 @@ def _crowded_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame) ->
         .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     )
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    left = written(labelled.join(sizes, "key"), "crowds")
+    sketched = measured.select("class", "n", "wide").join(left.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
     dealt = (
-        labelled.join(sizes, "key")
-        .join(classes.select("class", "n", *_SKETCH), "class")
+        left
+        .join(sketched, "class")
         .withColumn("own", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     )
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        """Members of blocks i and j of a key; those of one block are compared where i = j."""
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left = rows[rows["own"] == i]
-        right = left if i == j else rows[rows["own"] == j]
-        get = lambda r: (r["class"].to_numpy(), r["root"].to_numpy(), r["n"].to_numpy(), r[_SKETCH].to_numpy(np.int64).view(np.uint64))
-        (lc, lr, ln, ls), (rc, rr, rn, rs) = get(left), get(right)
+    fields = ["key", "i", "j", "own", "class", "root", "n"]
+
+    def compare(group: np.ndarray, wide: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members of blocks i and j of a key; those of one block are compared where i = j.
+        Their sketches (words ``at`` of ``wide``) are folded to the least width among them."""
+        width = int((at[1:] - at[:-1]).min())
+        sketch = np.stack([np.bitwise_xor.reduce(wide[a:b].reshape(-1, width), axis=0) for a, b in zip(at[:-1], at[1:], strict=True)])
+        group = np.hstack([group, sketch])
+        i, j = group[0, 1], group[0, 2]
+        left = group[group[:, 3] == i]
+        right = left if i == j else group[group[:, 3] == j]
         a, b = [], []
-        for at in range(0, len(lc), 128):
-            to = slice(at, at + 128)
-            apart = np.zeros((len(lc[to]), len(rc)), np.int64)
-            for w in range(WORDS):
-                apart += np.bitwise_count(ls[to, w][:, None] ^ rs[:, w][None, :])
-            x, y = ln[to][:, None], rn[None, :]
+        for at in range(0, len(left), 128):
+            part = left[at : at + 128, None, :]
+            apart = np.zeros((len(part), len(right)), np.int64)
+            for w in range(len(fields), group.shape[1]):
+                apart += np.bitwise_count((part[:, :, w] ^ right[None, :, w]).view(_U))
+            x, y = part[:, :, 6], right[None, :, 6]
             ok = (x + y) * (SHARE[1] - SHARE[0]) >= apart * (SHARE[0] + SHARE[1])
             ok &= SHARE[1] * np.minimum(x, y) >= SHARE[0] * np.maximum(x, y)
-            ok &= lr[to][:, None] != rr[None, :]
+            ok &= part[:, :, 5] != right[None, :, 5]
             if i == j:
-                ok &= lc[to][:, None] < rc[None, :]
+                ok &= part[:, :, 4] < right[None, :, 4]
             p, q = np.nonzero(ok)
-            a.append(lc[to][p])
-            b.append(rc[q])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            a.append(part[p, 0, 4])
+            b.append(right[q, 4])
+        return (np.concatenate(a), np.concatenate(b)) if a else (group[:0, 4], group[:0, 4])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # a group that may go on: two blocks at most
+        ends: list[pa.RecordBatch | None] = [None]
+        for batch in (x for part in (batches, ends) for x in part):
+            rows, wide, size = held or (np.zeros((0, len(fields)), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if batch is not None:
+                lists = batch.column(len(fields))
+                rows = np.concatenate([rows, np.stack([np.asarray(c) for c in batch.columns[:-1]], axis=1)])
+                wide = np.concatenate([wide, np.asarray(lists.flatten())])
+                size = np.concatenate([size, np.asarray(lists.value_lengths()).astype(np.int64)])
+            if not len(rows):
+                continue
+            at = np.concatenate([[0], np.cumsum(size)])
+            cut = np.concatenate([[0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1, [len(rows)]])
+            if batch is not None:
+                held = rows[cut[-2] :], wide[at[cut[-2]] :], size[cut[-2] :]
+                cut = cut[:-1]
+            found = [compare(rows[a:b], wide, at[a : b + 1]) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a + 1]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a BIGINT, b BIGINT")
+    order = ("key", "i", "j")
+    rows = dealt.select(*[F.col(c).cast("long") for c in fields], "wide")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a BIGINT, b BIGINT")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,16 +491,16 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         "classes",
     )
     met = written(
-        keyed(docs, text).repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meet, "key BIGINT, a BIGINT, b BIGINT"),
+        keyed(docs, common_slots(docs, text), text).repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meet, "key BIGINT, a BIGINT, b BIGINT"),
         "meetings",
     )
-    links = written(verified(met.where(F.col("b").isNotNull()), classes, docs, key, text), "links")
+    links = written(verified(met.where(F.col("b").isNotNull()), classes, measured, docs, text), "links")
     roots = connected(links)
     members = met.where(F.col("b").isNull()).select("key", "a")
     if not members.isEmpty():
-        crowded = written(_crowded_pairs(members, roots, classes), "crowded")
+        crowded = written(_crowded_pairs(members, roots, measured), "crowded")
         if not crowded.isEmpty():
-            roots = connected(links.union(verified(crowded, classes, docs, key, text)))
+            roots = connected(links.union(verified(crowded, classes, measured, docs, text)))
     rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
         "class", "doc", F.coalesce("root", "class").alias("root")
     )
