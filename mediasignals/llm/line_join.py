@@ -6,9 +6,9 @@ apart. A line is cut into ``EDITS + 1`` segments of even length; of two near lin
 one contains a segment of the shorter one, unchanged and hardly moved. The index holds each
 line's segments with its length; a line probes it, for its own and each slightly smaller
 length, with those substrings that may still be the segment (the multi-match-aware
-positions). A pair that meets has its words compared by a 64-bit parity sketch (an edit
-changes at most three of its bits) and is then verified by a banded bit-parallel edit
-distance: a column of ``2 * EDITS + 1`` cells is one integer.
+positions). A pair that meets has its letter and digit counts compared, modulo four in one
+64-bit number, of which an edit changes at most two bits, and is then verified by a banded
+bit-parallel edit distance: a column of ``2 * EDITS + 1`` cells is one integer.
 
 A line goes if an equal or near line stands earlier, in order of document id and line number;
 the first one stays. Shorter lines are never compared and always stay.
@@ -34,8 +34,12 @@ from ..session import written
 
 EDITS = 2
 MIN_CHARS = 20
-#: an edit replaces a word, or parts or joins two
-BITS_PER_EDIT = 3
+#: one-byte symbols that are counted
+SYMBOLS = "etaoinshrdlcumwfgypbvk0123456789"
+#: an edit replaces one symbol by another
+BITS_PER_EDIT = 2
+#: up to so many ids of lines in pairs (16 MB) are broadcast; more are joined by a shuffle
+BROADCAST_IDS = 2_000_000
 _DROPS = "_line_drops"
 
 
@@ -64,7 +68,8 @@ def index_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
 
 
 def probe_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """The keys under which a line may find a near line of its own or a smaller length."""
+    """The keys under which a line may find a near line of its own or a smaller length; null
+    where the line has no such place."""
     parts = edits + 1
     found = []
     for less in range(edits + 1):
@@ -77,15 +82,18 @@ def probe_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
                 at = start + move
                 fits = (other > 0) & (at >= 0) & (at + size <= length)
                 found.append(F.when(fits, _key(line, other, i, at, size)))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    return F.array(*found)
 
 
-def word_parity(line: Column) -> Column:
-    """64 bits, each toggled once for every word that hashes to it."""
-    return F.aggregate(
-        F.split(line, " "), F.lit(0).cast("long"),
-        lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))),
-    )
+def symbol_counts(line: Column) -> Column:
+    """64 bits, two for each counted symbol: its count modulo four, so coded that one more or one
+    less changes one bit."""
+    bits = F.lit(0).cast("long")
+    for i, symbol in enumerate(SYMBOLS):
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(symbol), F.lit("")))).bitwiseAND(F.lit(3))
+        code = count.bitwiseXOR(F.call_function("shiftright", count, F.lit(1))).cast("long")
+        bits = bits.bitwiseOR(F.call_function("shiftleft", code, F.lit(2 * i)))
+    return bits
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -151,7 +159,7 @@ def _characters(text: Column) -> Column:
 
 def _occurrences(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     """(doc, pos, line) of lines that are compared."""
-    line = F.regexp_replace("raw", r"^\s+|\s+$", "")
+    line = F.btrim(F.col("raw"), F.lit(" \t\x0b\f\r"))
     return (
         docs.select(F.col(key).cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
         .select("doc", "pos", line.alias("line"))
@@ -165,29 +173,29 @@ def _order() -> Column:
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (x, y) of ids of different lines (columns id, line, size) within the distance."""
-    marked = lines.select("id", "size", "line", word_parity(F.col("line")).alias("bits"))
+    """Pairs of different lines within the distance: structs x and y of the columns of
+    ``lines``, which are id, line, size (in characters), bits (``symbol_counts``) and others."""
     line, size = F.col("line"), F.col("size")
-    left = marked.select(
-        F.explode(index_keys(line, size, edits)).alias("key"), F.col("id").alias("x"), F.col("size").alias("xs"), F.col("bits").alias("xb")
-    )
-    right = marked.select(
-        F.explode(probe_keys(line, size, edits)).alias("key"), F.col("id").alias("y"), F.col("size").alias("ys"), F.col("bits").alias("yb")
-    )
-    gap = F.col("ys") - F.col("xs")
-    met = left.join(
-        right,
-        (left["key"] == right["key"])
-        & gap.between(0, edits) & (F.col("x") != F.col("y")) & ((gap > 0) | (F.col("x") < F.col("y")))
-        & (F.bit_count(F.col("xb").bitwiseXOR(F.col("yb"))) <= BITS_PER_EDIT * edits),
+    left = lines.select(F.explode(index_keys(line, size, edits)).alias("key"), F.col("id").alias("x"), F.col("bits").alias("xb"))
+    right = lines.select(
+        F.explode(probe_keys(line, size, edits)).alias("key"), F.col("id").alias("y"), F.col("bits").alias("yb")
+    ).where(F.col("key").isNotNull())
+    met = written(
+        left.join(right, "key")
+        .where((F.col("x") != F.col("y")) & (F.bit_count(F.col("xb").bitwiseXOR(F.col("yb"))) <= BITS_PER_EDIT * edits))
+        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        .distinct(),
+        "line_pairs",
     )
-    texts = lines.select("id", "line")
+    ids = written(met.select(F.col("x").alias("id")).union(met.select("y")).distinct(), "line_ids")
+    small = ids.count() <= BROADCAST_IDS
+    texts = lines.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    whole = [F.struct(*[F.col(c) for c in lines.columns])]
     return (
-        met.select("x", "y").distinct()
-        .join(texts.select(F.col("id").alias("x"), F.col("line").alias("a")), "x")
-        .join(texts.select(F.col("id").alias("y"), F.col("line").alias("b")), "y")
-        .where(within(F.col("a"), F.col("b"), edits))
-        .select("x", "y")
+        met.join(texts.select(F.col("id").alias("x"), whole[0].alias("_a")), "x")
+        .join(texts.select(F.col("id").alias("y"), whole[0].alias("_b")), "y")
+        .where(within(F.col("_a.line"), F.col("_b.line"), edits))
+        .select(F.col("_a").alias("x"), F.col("_b").alias("y"))
     )
 
 
@@ -200,22 +208,20 @@ def dedup(
         _occurrences(docs, key, text, min_chars)
         .groupBy("line")
         .agg(F.min(_order()).alias("first"), F.count("pos").alias("n"))
-        .select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"), "first", "n"),
+        .select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"), symbol_counts(F.col("line")).alias("bits"), "first", "n"),
         "lines",
     )
     near = near_lines(lines, edits)
-    firsts = lines.select("id", "first")
     later = (
-        near.join(firsts.select(F.col("id").alias("x"), F.col("first").alias("xf")), "x")
-        .join(firsts.select(F.col("id").alias("y"), F.col("first").alias("yf")), "y")
-        .select(F.when(F.col("xf") < F.col("yf"), F.col("y")).otherwise(F.col("x")).alias("id"))
+        near.select(F.when(F.col("x.first") < F.col("y.first"), F.col("y.id")).otherwise(F.col("x.id")).alias("id"))
         .distinct()
         .withColumn("near", F.lit(True))
     )
-    doomed = (
+    doomed = written(
         lines.select("id", "first", "n").join(later, "id", "left")
         .where((F.col("n") > 1) | F.col("near"))
-        .select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
+        .select("id", "first", F.coalesce("near", F.lit(False)).alias("near")),
+        "doomed_lines",
     )
     drops = (
         _occurrences(docs, key, text, min_chars)
@@ -223,11 +229,13 @@ def dedup(
         .join(doomed, "id")
         .withColumn("again", _order() != F.col("first"))
         .where(F.col("again") | F.col("near"))
+        .select("doc", "pos", "again")
+        .distinct()  # rows may share an id
         .groupBy("doc")
         .agg(
-            F.collect_set("pos").alias("at"),  # of one document
-            F.countDistinct(F.when(F.col("again"), F.col("pos"))).alias("n_equal"),
-            F.countDistinct(F.when(~F.col("again"), F.col("pos"))).alias("n_near"),
+            F.collect_list("pos").alias("at"),  # of one document
+            F.count_if("again").alias("n_equal"),
+            F.count_if(~F.col("again")).alias("n_near"),
         )
     )
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_equal", "n_near")]
