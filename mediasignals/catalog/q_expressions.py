@@ -81,7 +81,12 @@ def h9(t):
     mail = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     short = F.date_format("ts", "d MMM yyyy HH:mm")
     raw = (
-        F.when(F.col("event_type") == "click", mail)
+        F.when((F.col("event_type") == "click") & (F.col("event_id") % 4 == 0), mail)
+        .when((F.col("event_type") == "click") & (F.col("event_id") % 4 == 1),
+              F.date_format("ts", "EEE, dd MMM yy HH:mm:ss 'GMT'"))
+        .when((F.col("event_type") == "click") & (F.col("event_id") % 4 == 2),
+              F.date_format("ts", "EEEE, dd-MMM-yy HH:mm:ss 'GMT'"))
+        .when(F.col("event_type") == "click", F.date_format("ts", "EEE MMM d HH:mm:ss yyyy"))
         .when(F.col("event_type") == "error", F.concat(short, F.lit(" -0600")))
         .when(F.col("event_type") == "view", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .when(F.col("event_type") == "signup", "")
@@ -97,6 +102,7 @@ def h10(t):
         F.when(F.col("event_type") == "click", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
         .when(F.col("event_type") == "view", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .when(F.col("event_type") == "error", F.date_format("ts", "yyyy-MM-dd"))
+        .when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'garbage'"))
         .when(F.col("event_type") == "signup", "31/31/2024")
     )
     return t("events").select("event_id", dates.lenient_date(raw).alias("day"))
@@ -195,9 +201,10 @@ def h19(t):
 
 @query("h20_title_case", """
     select p_partkey, array_to_string(list_transform(string_split(p_name, ' '),
-        lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') as shown from part""")
+        lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') || ' O''X-Yz_W3K' as shown from part""")
 def h20(t):
-    return t("part").select("p_partkey", text.title_case("p_name").alias("shown"))
+    name = F.concat("p_name", F.lit(" o'x-yZ_w3k"))
+    return t("part").select("p_partkey", text.title_case(name).alias("shown"))
 
 
 # --- I --------------------------------------------------------------------------------

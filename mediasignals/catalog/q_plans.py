@@ -121,30 +121,6 @@ def k5(t):
     return t.spark.read.parquet(path)
 
 
-@query("l_model_hook", """
-    select o_orderkey as id, c_name as persons, c_mktsegment || '|' || n_name as orgs, n_name as places
-    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""")
-def model_hook(t):
-    rows = t.sql("""select o_orderkey as id, c_name || ';' || c_mktsegment || ';' || n_name as title,
-        '' as description from orders join customer on o_custkey = c_custkey
-        join nation on c_nationkey = n_nationkey""")
-    found = entities.extract_with_model(rows, _load_splitter)
-    return found.select("id", *[F.array_join(c, "|").alias(c) for c in ("persons", "orgs", "places")])
-
-
-def _load_splitter():
-    """Stand-in for a trained model: the title lists its names."""
-
-    def predict(texts: list[str]) -> list[dict]:
-        answers = []
-        for line in texts:
-            person, org, place = line.strip().split(";")
-            answers.append({"persons": [person, "#"], "orgs": [org, place], "places": [place, "x"]})
-        return answers
-
-    return predict
-
-
 # --- M --------------------------------------------------------------------------------
 
 _TOP = """(select day, string_agg(label, ';' order by rk) as {name} from (

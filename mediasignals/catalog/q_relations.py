@@ -71,9 +71,9 @@ def c5(t):
     select day, entity_id, name as entity, kind, mentions, n_risk, n_opportunity, freq_total
     from e_star join entities on entity_id = entities.id
     where entity_id in (select entity_id from e_star
-        where day between date '{STAR_AS_OF}' - 365 and date '{STAR_AS_OF}'
+        where day >= date '{STAR_AS_OF}' - 365
         group by entity_id order by sum(mentions) desc, entity_id limit 10)
-    and day between date '{STAR_AS_OF}' - 365 and date '{STAR_AS_OF}'""")
+    and day >= date '{STAR_AS_OF}' - 365""")
 def c6(t):
     return counts.top_entity_series(rollup_of(t, "daily_entity"), t("entities"), STAR_AS_OF, 10, 365)
 
@@ -143,7 +143,7 @@ def c10(t):
 @query("c10_region_join", f"""
     select e.id, region_id from export_rows e left join ({_REGION_OF}) r on e.id = r.id""")
 def c10b(t):
-    return geo.with_region(export_frame(t), t("regions"), inline_limit=0).select("id", "region_id")
+    return geo.with_region(export_frame(t), t("regions")).select("id", "region_id")
 
 
 _TOPIC_IDS = "select unnest(['t_ment', 't_sch', 't_cion']) as name, unnest([1, 2, 3]) as id"
@@ -185,7 +185,7 @@ def c12(t):
 
 @query("c12_source_municipality_join", _BY_SOURCE)
 def c12b(t):
-    return geo.source_municipality(t("local_news"), t("municipalities"), inline_limit=0)
+    return geo.source_municipality(t("local_news"), t("municipalities"))
 
 
 _BY_TITLE = """
@@ -202,7 +202,7 @@ def c13(t):
 
 @query("c13_title_municipality_join", _BY_TITLE)
 def c13b(t):
-    return geo.title_municipality(t("local_news"), t("municipalities"), names=None, inline_limit=0)
+    return geo.title_municipality(t("local_news"), t("municipalities"), names=None)
 
 
 _MINING = any_of("lower(title)", lexicon.MINING_TERMS)
@@ -223,7 +223,7 @@ def c14(t):
 
 @query("c14_subregion_join", SUBREGION)
 def c14b(t):
-    rows = geo.with_subregion(local_frame(t), t("municipalities"), inline_limit=0)
+    rows = geo.with_subregion(local_frame(t), t("municipalities"))
     return rows.select("id", "subregion")
 
 
@@ -400,10 +400,9 @@ def g5(t):
         select case when p_name like 'red%' then 'Rojo' else p_name end as name,
                cast(p_partkey as int) as ord from part) p group by name""")
 def g6(t):
-    terms = t.sql("select p_name as term, cast(p_partkey as int) as ord from part")
-    reds = {r["term"] for r in terms.filter("term like 'red%'").select("term").distinct().collect()}
-    labels = {name: "Rojo" for name in reds}
-    shown = dims.build_regions(terms.filter(F.lit(False)), terms, labels=labels)
+    terms = t.sql("""select case when p_name like 'red%' then 'red' else p_name end as term,
+        cast(p_partkey as int) as ord from part""")
+    shown = dims.build_regions(terms.filter(F.lit(False)), terms, labels={"red": "Rojo"})
     lowered = shown.filter("kind = 'pais'").select(
         F.when(F.col("name") == "Rojo", F.col("name")).otherwise(F.lower("name")).alias("name"), "ord")
     return lowered

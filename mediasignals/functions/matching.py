@@ -1,9 +1,8 @@
 """Finding dictionary terms inside text.
 
 A dictionary known in code becomes part of the expression: no join, no shuffle. A
-dictionary that is a table is turned into such an expression only while it is small
-(``MAX_INLINE_TERMS``, checked); a larger one is matched by an equi-join on character
-n-grams, which is exact and never pairs every text with every term.
+dictionary that is a table is matched by an equi-join on character n-grams, which is exact
+and never pairs every text with every term.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 from .once import computed_once
 from .text import _col
 
-MAX_INLINE_TERMS = 500
 GRAM = 3
 
 
@@ -56,12 +54,6 @@ def any_item_in(items: str | Column, values: Iterable[str]) -> Column:
     return F.coalesce(F.arrays_overlap(_col(items), wanted), F.lit(False))
 
 
-def inline_rows(df: DataFrame, limit: int = MAX_INLINE_TERMS) -> list | None:
-    """Rows of a small dictionary table, or None when it holds more than ``limit``."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def _grams(c: Column, size: int) -> Column:
     """All substrings of ``size`` characters, found by one linear regex pass."""
     return F.array_distinct(
@@ -70,26 +62,31 @@ def _grams(c: Column, size: int) -> Column:
 
 
 def gram_pairs(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """All (text_id, term_id) where the term occurs in the text.
+    """All (text_id, term_id) where the term occurs in the text; blank terms occur nowhere.
 
-    ``texts``: (text_id, text), ``terms``: (term_id, term). Every term is anchored at its
-    first ``GRAM`` characters (all of a shorter term); candidates share the anchor, and the
-    containment test runs on them only. Texts and grams meet by id and gram, so neither
-    side is ever copied to every task.
+    ``texts``: (text_id, text), ``terms``: (term_id, term). Every term is anchored at the one
+    of its character ``GRAM``-grams (all of a shorter term) that the fewest texts hold; a term
+    with a gram that no text holds is out. Texts send only their grams that are anchors, and
+    the containment test runs on the pairs that share one. Texts and grams meet by id and
+    gram, so neither side is ever copied to every task.
     """
-    size = F.least(F.length("term"), F.lit(GRAM))
-    anchors = terms.filter(F.length("term") > 0).select(
-        "term_id", "term", F.substr(F.col("term"), F.lit(1), size).alias("gram")
-    )
-    # at most GRAM numbers
-    sizes = sorted(r[0] for r in anchors.select(F.length("gram")).distinct().collect())
     texts = computed_once(texts, text=F.col("text"))
-    grams = F.concat(*[_grams(F.col("text"), n) for n in sizes or [GRAM]])
-    candidates = (
-        texts.select("text_id", F.explode(grams).alias("gram"))
-        .join(anchors, "gram")
-        .select("text_id", "term_id", "term")
+    shorter = [F.when(F.length("term") == n, F.array("term")) for n in range(1, GRAM)]
+    parts = terms.filter(F.length("term") > 0).select(
+        "term_id", "term", F.explode(F.coalesce(*shorter, _grams(F.col("term"), GRAM))).alias("gram")
     )
+    held = texts.select(
+        "text_id", F.explode(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])).alias("gram")
+    ).join(parts.select("gram").distinct(), "gram", "left_semi")
+    counts = held.groupBy("gram").agg(F.count("text_id").alias("n"))
+    anchors = (
+        parts.join(counts, "gram", "left")
+        .groupBy("term_id", "term")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+        .filter("least.n > 0")
+        .select("term_id", "term", "least.gram")
+    )
+    candidates = held.join(anchors, "gram").select("text_id", "term_id", "term")
     return (
         candidates.join(texts, "text_id")
         .filter(F.contains(F.col("text"), F.col("term")))
@@ -97,23 +94,9 @@ def gram_pairs(texts: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def matching_terms(
-    texts: DataFrame, terms: DataFrame, inline_limit: int = MAX_INLINE_TERMS
-) -> DataFrame:
-    """(text_id, term_id) pairs: inline scan for a small dictionary, else n-gram join."""
-    rows = inline_rows(terms.select("term_id", "term").filter(F.length("term") > 0), inline_limit)
-    if rows is None:
-        return gram_pairs(texts, terms)
-    if not rows:
-        nothing = F.lit(None).cast(terms.schema["term_id"].dataType).alias("term_id")
-        return texts.filter(F.lit(False)).select("text_id", nothing)
-    dictionary = F.array(
-        *[F.struct(F.lit(r["term_id"]).alias("i"), F.lit(r["term"]).alias("t")) for r in rows]
-    )
-    # the text may be an expression: it must not move into the lambda and run per term
-    texts = computed_once(texts, text=F.col("text"))
-    hits = F.filter(dictionary, lambda d: F.contains(F.col("text"), d["t"]))
-    return texts.select("text_id", F.explode(F.transform(hits, lambda d: d["i"])).alias("term_id"))
+def matching_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text_id, term_id) pairs of a dictionary table, whatever its size."""
+    return gram_pairs(texts, terms)
 
 
 def word_list(c: str | Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html.entities
 import json
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -57,6 +58,11 @@ def normalize_key(c: str | Column) -> Column:
     return F.coalesce(fold(F.btrim(_col(c), F.lit(_SPACES))), F.lit(""))
 
 
+def fold_all(names: Iterable[str]) -> Column:
+    """An array of the folded names."""
+    return F.array(*[fold(F.lit(n)) for n in names])
+
+
 # white space at either end of a name, in the Unicode sense
 _SPACES = "".join(chr(p) for p in range(0x3001) if chr(p).isspace())
 
@@ -109,8 +115,11 @@ def unescape_html(c: str | Column, raw: str | Column | None = None) -> Column:
     table = F.from_json(F.lit(names), "map<string,string>")
 
     def decode(token: Column) -> Column:
-        numeric = F.regexp_extract(token, r"^&#([0-9]{1,9})", 1)
-        hexadecimal = F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]{1,8})", 1)
+        # without leading zeros; what is longer than any code point is beyond the last one
+        numeric = F.regexp_extract(token, r"^&#0*([0-9]+)", 1)
+        numeric = F.when(F.length(numeric) > 9, F.lit("999999999")).otherwise(numeric)
+        hexadecimal = F.regexp_extract(token, r"^&#[xX]0*([0-9a-fA-F]+)", 1)
+        hexadecimal = F.when(F.length(hexadecimal) > 8, F.lit("fffffff")).otherwise(hexadecimal)
         body = F.substring(token, 2, 64)
         known = F.element_at(table, body)
         prefix = F.regexp_extract(body, f"^({open_names})", 1)
@@ -128,7 +137,7 @@ def unescape_html(c: str | Column, raw: str | Column | None = None) -> Column:
 
     tokens = F.regexp_extract_all(
         _col(c),
-        F.lit(r"(&#[0-9]{1,9};?|&#[xX][0-9a-fA-F]{1,8};?|&[A-Za-z][A-Za-z0-9]{0,31};?|[^&]+|&)"),
+        F.lit(r"(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]{0,31};?|[^&]+|&)"),
         F.lit(1),
     )
     return F.when(
@@ -194,7 +203,7 @@ def shorten(c: str | Column, limit: int) -> Column:
 def topic_label(c: str | Column) -> Column:
     key = F.lower(strip_space(c))
     labels = F.create_map(*[F.lit(v) for pair in lexicon.TOPIC_LABELS.items() for v in pair])
-    fallback = F.initcap(F.replace(_col(c), F.lit("_"), F.lit(" ")))
+    fallback = title_case(F.replace(_col(c), F.lit("_"), F.lit(" ")))
     return F.coalesce(F.try_element_at(labels, key), fallback)
 
 
@@ -208,7 +217,11 @@ def source_place(c: str | Column) -> Column:
 
 
 def title_case(c: str | Column) -> Column:
-    return F.initcap(_col(c))
+    """Upper case for every letter that follows no letter, lower case for the others."""
+    runs = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(
+        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))), ""
+    )
 
 
 def parse_model_answer(c: str | Column) -> Column:

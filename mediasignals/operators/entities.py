@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import lexicon
 from ..functions import text
-from ..functions.matching import word_grams, word_list
+from ..functions.matching import word_list
 from ..functions.once import computed_once
 
 KIND_COLUMNS = (("persons", "PER"), ("orgs", "ORG"), ("places", "LOC"))
@@ -39,26 +35,49 @@ def legacy_mentions(articles: DataFrame) -> DataFrame:
 def extract_by_gazetteer(articles: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Gazetteer names (surface, kind) standing as whole words in title or description.
 
-    Distinct word n-grams of each article meet the gazetteer in one equi-join, so the cost
-    follows the text, not text x names. Returns (article_id, surface, kind, pos), one row
-    per article and name, ``pos`` being the first occurrence.
+    A name is anchored at the one of its words that the fewest places of the texts hold; each
+    word of a text meets the anchors by an equi-join, and the name's words are compared at that
+    place. The cost follows the text, whatever the length of the longest name. Returns
+    (article_id, surface, kind, pos), one row per article and name, ``pos`` being the first
+    occurrence.
     """
     whole = F.concat_ws(" ", "title", text.strip_html(F.coalesce("description", F.lit(""))))
     listed = computed_once(
         articles.select(F.col("id").alias("article_id"), whole.alias("_text")),
         _words=word_list(text.fold("_text")),
     )
-    names = (
-        gazetteer.select(
-            "surface", "kind", F.array_join(word_list(text.fold("surface")), " ").alias("gram")
-        )
-        .filter("gram <> ''")
-        .distinct()
+    names = computed_once(
+        gazetteer.select("surface", "kind"), _name=word_list(text.fold("surface"))
+    ).filter(F.size("_name") > 0).distinct()
+    spots = names.select("surface", "kind", "_name", F.posexplode("_name").alias("_at", "word"))
+    spread = listed.select("article_id", F.posexplode("_words").alias("_place", "word"))
+    held = spread.join(spots.select("word").distinct(), "word", "left_semi")
+    counts = held.groupBy("word").agg(F.count("article_id").alias("n"))
+    anchors = (
+        spots.join(counts, "word", "left")
+        .groupBy("surface", "kind", "_name")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_at", "word")).alias("least"))
+        .filter("least.n > 0")
+        .select("surface", "kind", "_name", "least._at", "least.word")
+    )
+    begin = F.col("_place") - F.col("_at")
+    hits = (
+        held.join(anchors, "word")
+        .select("article_id", "surface", "kind", "_name", begin.alias("_begin"))
+        .filter("_begin >= 0")
+    )
+    alone = hits.filter(F.size("_name") == 1).select("article_id", "surface", "kind", "_begin")
+    longer = (
+        hits.filter(F.size("_name") > 1)
+        .join(listed.select("article_id", "_words"), "article_id")
+        .filter(F.slice("_words", F.col("_begin") + 1, F.size("_name")) == F.col("_name"))
+        .select("article_id", "surface", "kind", "_begin")
+    )
+    return (
+        alone.union(longer)
+        .groupBy("article_id", "surface", "kind")
+        .agg((F.min("_begin") + 1).alias("pos"))
     )
-    longest = names.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
-    grams = listed.select("article_id", F.explode(word_grams("_words", longest)).alias("g"))
-    hits = grams.select("article_id", "g.gram", "g.pos").join(names, "gram")
-    return hits.groupBy("article_id", "surface", "kind").agg(F.min("pos").alias("pos"))
 
 
 def mention_arrays(mentions: DataFrame) -> DataFrame:
@@ -75,39 +94,6 @@ def mention_arrays(mentions: DataFrame) -> DataFrame:
     return unique.groupBy("article_id").agg(*lists)
 
 
-EXTRACTED = T.StructType(
-    [T.StructField("id", T.LongType())]
-    + [T.StructField(c, T.ArrayType(T.StringType())) for c, _ in KIND_COLUMNS]
-)
-
-
-def extract_with_model(
-    articles: DataFrame, load_model: Callable[[], Callable[[list[str]], list[dict]]], limit: int = 1500
-) -> DataFrame:
-    """Hook for a statistical model.
-
-    ``load_model`` runs once per task and returns a function from texts to dicts with
-    ``persons``, ``orgs`` and ``places``. ``limit`` is the description length such models
-    take; longer articles are for the gazetteer.
-    """
-    inputs = articles.select(
-        "id",
-        F.concat_ws(" ", "title", text.strip_html(F.coalesce("description", F.lit("")), limit)).alias(
-            "text"
-        ),
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = load_model()
-        for batch in batches:
-            answers = predict(batch["text"].tolist())
-            columns = {c: [list(dict.fromkeys(a.get(c, []))) for a in answers] for c, _ in KIND_COLUMNS}
-            yield pd.DataFrame({"id": batch["id"], **columns})
-
-    found = inputs.mapInPandas(run, EXTRACTED)
-    return found.select("id", *[text.usable_mentions(F.col(c)).alias(c) for c, _ in KIND_COLUMNS])
-
-
 def parse_model_answers(answers: DataFrame) -> DataFrame:
     """Stored raw model answers (id, answer) -> id, persons, orgs, places of the first item."""
     first = F.get(text.parse_model_answer("answer"), 0)
@@ -138,8 +124,9 @@ def resolve_keys(mentions: DataFrame, aliases: DataFrame, entities: DataFrame) -
         .agg(F.min(F.struct("article_id", "pos", "surface", "kind")).alias("f"))
         .select("key", "f.surface", "f.kind")
     )
-    by_alias = aliases.select(F.col("alias").alias("key"), F.col("entity_id").alias("alias_id"))
-    by_name = entities.select(F.col("name").alias("surface"), F.col("id").alias("name_id"))
+    # an alias or name listed twice counts for the smallest id
+    by_alias = aliases.groupBy(F.col("alias").alias("key")).agg(F.min("entity_id").alias("alias_id"))
+    by_name = entities.groupBy(F.col("name").alias("surface")).agg(F.min("id").alias("name_id"))
     joined = first.join(by_alias, "key", "left").join(by_name, "surface", "left")
     known = F.coalesce("alias_id", "name_id")
     return joined.select(

@@ -9,13 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..functions import text
-from ..functions.matching import (
-    MAX_INLINE_TERMS,
-    any_item_in,
-    contains_any,
-    gram_pairs,
-    inline_rows,
-)
+from ..functions.matching import any_item_in, contains_any, gram_pairs
 from ..functions.once import computed_once
 
 FOREIGN = [c for c in lexicon.COUNTRIES if c != lexicon.HOME_COUNTRY]
@@ -67,17 +61,13 @@ def deep_analysis(
 
 def region_keys(regions: DataFrame) -> DataFrame:
     """(key, region_id): of regions sharing a key the one with the largest id counts."""
-    return regions.groupBy(F.col("name_norm").alias("key")).agg(F.max("id").alias("region_id"))
+    named = regions.filter(F.length("name_norm") > 0)
+    return named.groupBy(F.col("name_norm").alias("key")).agg(F.max("id").alias("region_id"))
 
 
-def with_region(articles: DataFrame, regions: DataFrame, inline_limit: int = MAX_INLINE_TERMS) -> DataFrame:
+def with_region(articles: DataFrame, regions: DataFrame) -> DataFrame:
     """Adds ``region_id``: region of the first place that names one, else null."""
     lookup = region_keys(regions)
-    rows = inline_rows(lookup, inline_limit)
-    if rows:
-        table = F.create_map(*[F.lit(v) for r in rows for v in (r["key"], r["region_id"])])
-        found = F.transform(_keys("places"), lambda k: F.try_element_at(table, k))
-        return articles.withColumn("region_id", F.get(F.array_compact(found), 0).cast("long"))
     places = articles.select("id", F.posexplode(_keys("places")).alias("pos", "key"))
     first = (
         places.join(lookup, "key").groupBy("id").agg(F.min_by("region_id", "pos").alias("region_id"))
@@ -89,9 +79,9 @@ def with_region(articles: DataFrame, regions: DataFrame, inline_limit: int = MAX
 
 
 def municipality_keys(municipalities: DataFrame) -> DataFrame:
-    """(key, ord, municipality, subregion): one row per folded name, in file order."""
+    """(key, ord, municipality, subregion): one row per folded, non-blank name, in file order."""
     keyed = municipalities.withColumn("key", text.fold(text.strip_space("municipality")))
-    return keyed.groupBy("key").agg(
+    return keyed.filter(F.length("key") > 0).groupBy("key").agg(
         F.min("ord").alias("ord"),
         F.max_by("municipality", "ord").alias("municipality"),
         F.max_by("subregion", "ord").alias("subregion"),
@@ -107,25 +97,10 @@ def keyword_variants(municipalities: DataFrame) -> DataFrame:
     key = text.fold(text.strip_space("municipality"))
     bare = F.replace(F.replace(key, F.lit("."), F.lit("")), F.lit("  "), F.lit(" "))
     spellings = F.array_distinct(F.array(key, text.strip_space(bare)))
-    return usable.select("ord", "subregion", F.explode(spellings).alias("key"))
-
-
-def _literal_dim(rows: list) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r["key"]).alias("key"),
-                F.lit(r["municipality"]).alias("municipality"),
-                F.lit(r["subregion"]).alias("subregion"),
-            )
-            for r in rows
-        ]
-    )
+    return usable.select("ord", "subregion", F.explode(spellings).alias("key")).filter(F.length("key") > 0)
 
 
-def source_municipality(
-    sources: DataFrame, municipalities: DataFrame, inline_limit: int = MAX_INLINE_TERMS
-) -> DataFrame:
+def source_municipality(sources: DataFrame, municipalities: DataFrame) -> DataFrame:
     """Distinct ``source`` names -> (source, municipality, subregion).
 
     Exact key first, else the first municipality (file order) that contains the place part
@@ -134,16 +109,6 @@ def source_municipality(
     parts = computed_once(sources.select("source").distinct(), part=text.source_place("source"))
     parts = parts.filter(F.col("part").isNotNull())
     dim = municipality_keys(municipalities)
-    rows = inline_rows(dim, inline_limit)
-    if rows is not None and rows:
-        table = _literal_dim(sorted(rows, key=lambda r: r["ord"]))
-        part = F.col("part")
-        exact = F.get(F.filter(table, lambda m: m["key"] == part), 0)
-        near = F.get(
-            F.filter(table, lambda m: F.contains(part, m["key"]) | F.contains(m["key"], part)), 0
-        )
-        hit = computed_once(parts, m=F.coalesce(exact, near))
-        return hit.filter("m is not null").select("source", "m.municipality", "m.subregion")
     names = parts.select("part").distinct()
     inside = gram_pairs(
         names.select(F.col("part").alias("text_id"), F.col("part").alias("text")),
@@ -171,7 +136,6 @@ def title_municipality(
     articles: DataFrame,
     municipalities: DataFrame,
     names: Sequence[str] | None = tuple(lexicon.TITLE_MUNICIPALITIES),
-    inline_limit: int = MAX_INLINE_TERMS,
 ) -> DataFrame:
     """(id, municipality, subregion) by the longest municipality name inside the title.
 
@@ -179,20 +143,10 @@ def title_municipality(
     """
     dim = municipality_keys(municipalities)
     if names is not None:
-        dim = dim.filter(F.col("key").isin([_folded(n) for n in names]))
+        dim = dim.filter(F.arrays_overlap(F.array("key"), text.fold_all(names)))
     titles = computed_once(
         articles.select("id", "title"), text=F.coalesce(text.fold("title"), F.lit(""))
     ).select("id", "text")
-    rows = inline_rows(dim, inline_limit)
-    if rows is not None:
-        if not rows:
-            return titles.filter(F.lit(False)).select(
-                "id", F.lit("").alias("municipality"), F.lit("").alias("subregion")
-            )
-        table = _literal_dim(sorted(rows, key=lambda r: (-len(r["key"]), r["ord"])))
-        named = F.filter(table, lambda m: F.contains(F.col("text"), m["key"]))
-        hit = computed_once(titles, m=F.get(named, 0))
-        return hit.filter("m is not null").select("id", "m.municipality", "m.subregion")
     pairs = gram_pairs(
         titles.withColumnRenamed("id", "text_id"),
         dim.select(F.col("key").alias("term_id"), F.col("key").alias("term")),
@@ -209,13 +163,6 @@ def title_municipality(
     return best.select("id", "m.municipality", "m.subregion")
 
 
-def _folded(name: str) -> str:
-    import unicodedata
-
-    decomposed = unicodedata.normalize("NFD", name.lower())
-    return "".join(c for c in decomposed if unicodedata.category(c) != "Mn")
-
-
 def attributed_articles(
     articles: DataFrame,
     municipalities: DataFrame,
@@ -253,7 +200,6 @@ def with_subregion(
     mining_terms: Sequence[str] = tuple(lexicon.MINING_TERMS),
     mining_levels: Sequence[str] = tuple(lexicon.MINING_LEVELS),
     mining_subregion: str = lexicon.MINING_SUBREGION,
-    inline_limit: int = MAX_INLINE_TERMS,
 ) -> DataFrame:
     """Adds ``subregion``: any municipality in title or places, first sub-region in order;
     else the mining sub-region for mining words in a state or national title."""
@@ -265,15 +211,6 @@ def with_subregion(
         text.fold("geo_level").isin(list(mining_levels)) & contains_any("_title", mining_terms),
         F.lit(mining_subregion),
     )
-    rows = inline_rows(variants, inline_limit)
-    if rows is not None:
-        by_region: dict[str, list[str]] = {}
-        for r in sorted(rows, key=lambda r: r["ord"]):
-            by_region.setdefault(r["subregion"], []).append(r["key"])
-        named = [
-            F.when(contains_any("_where", keys), F.lit(name)) for name, keys in by_region.items()
-        ]
-        return computed_once(folded, subregion=F.coalesce(*named, mining)).drop("_title", "_where")
     pairs = gram_pairs(
         folded.select(F.col("id").alias("text_id"), F.col("_where").alias("text")),
         variants.select(F.col("key").alias("term_id"), F.col("key").alias("term")).distinct(),

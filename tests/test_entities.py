@@ -73,17 +73,6 @@ def test_gazetteer_needs_whole_words(spark):
     assert arrays[3]["places"] == ["Saltillo"] and arrays[3]["persons"] == []
 
 
-def test_model_hook(spark):
-    articles = spark.createDataFrame([(1, "Ana", "en <b>Lima</b>"), (2, "x", None)],
-                                     "id long, title string, description string")
-
-    def load():
-        return lambda texts: [{"persons": [w for w in t.split() if w.istitle()]} for t in texts]
-
-    got = {r["id"]: r["persons"] for r in entities.extract_with_model(articles, load).collect()}
-    assert got == {1: ["Ana", "Lima"], 2: []}
-
-
 def test_legacy_lists(spark):
     rows = spark.createDataFrame([(1, "Ana, Luis", None, "Lima,, ")],
                                  "id long, persons string, orgs string, places string")

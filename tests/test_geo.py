@@ -59,44 +59,40 @@ def test_region_dimension(regions):
         "Aguascalientes", "Ciudad De Mexico", "México", "Canadá")
 
 
-@pytest.mark.parametrize("limit", [0, 500])
-def test_region_of_first_known_place(spark, regions, limit):
+def test_region_of_first_known_place(spark, regions):
     rows = spark.createDataFrame(
         [(1, ["Texas", "COAHUILA", "China"]), (2, ["México"]), (3, ["Nada"]), (4, []), (5, None)],
         "id long, places array<string>")
-    got = {r["id"]: r["region_id"] for r in geo.with_region(rows, regions, limit).collect()}
+    got = {r["id"]: r["region_id"] for r in geo.with_region(rows, regions).collect()}
     assert got == {1: 7, 2: 35, 3: None, 4: None, 5: None}
 
 
-@pytest.mark.parametrize("limit", [0, 500])
-def test_source_municipality(spark, limit):
+def test_source_municipality(spark):
     names = ["Google News - Allende Coahuila", "Google News - Cuatro Ciénegas", "Google News - Acuña",
              "Google News - Sabinas", "Google News - San Juan de Sabinas", "Vanguardia", "Google News - ", None]
     sources = spark.createDataFrame([(n,) for n in names], "source string")
-    found = geo.source_municipality(sources, dims.municipality_table(spark), limit)
+    found = geo.source_municipality(sources, dims.municipality_table(spark))
     got = {r["source"]: r["municipality"] for r in found.collect()}
     assert got == {
         names[0]: "Allende", names[1]: "Cuatro Ciénegas", names[2]: "Ciudad Acuña",
         names[3]: "Sabinas", names[4]: "San Juan de Sabinas"}
 
 
-@pytest.mark.parametrize("limit", [0, 500])
-def test_title_municipality(spark, limit):
+def test_title_municipality(spark):
     rows = spark.createDataFrame(
         [(1, "Choque en Torreón"), (2, "San Pedro y Francisco I. Madero"), (3, "Monclova crece"), (4, None)],
         "id long, title string")
-    found = geo.title_municipality(rows, dims.municipality_table(spark), inline_limit=limit)
+    found = geo.title_municipality(rows, dims.municipality_table(spark))
     assert {r["id"]: r["municipality"] for r in found.collect()} == {1: "Torreón", 2: "Francisco I. Madero"}
 
 
-@pytest.mark.parametrize("limit", [0, 500])
-def test_subregion(spark, limit):
+def test_subregion(spark):
     rows = spark.createDataFrame(
         [(1, "Obra", ["Saltillo", "Sabinas"], "estatal"), (2, "Mina de carbón", [], "nacional"),
          (3, "Mina de carbón", [], "internacional"), (4, "Feria en Francisco I Madero", None, "estatal"),
          (5, "Nada", ["Lima"], None)],
         "id long, title string, places array<string>, geo_level string")
-    found = geo.with_subregion(rows, dims.municipality_table(spark), inline_limit=limit)
+    found = geo.with_subregion(rows, dims.municipality_table(spark))
     assert {r["id"]: r["subregion"] for r in found.collect()} == {
         1: "Carbonífera", 2: "Carbonífera", 3: None, 4: "Laguna", 5: None}
 

@@ -109,3 +109,13 @@ def test_model_answer_with_fence(value):
     raw = '```json\n[{"id": 1, "personas": ["Ana"], "organizaciones": [], "lugares": ["Saltillo"]}]\n```'
     out = value(text.parse_model_answer("x"), x=raw)
     assert out[0]["personas"] == ["Ana"] and out[0]["lugares"] == ["Saltillo"]
+
+
+def test_long_references(value):
+    for raw in ("&#0000000000065;x", "&#x000000041;x", "&#99999999999999999999;", "&#xffffffffffff;y"):
+        assert value(text.unescape_html("x"), x=raw) == html.unescape(raw)
+
+
+def test_title_case(value):
+    for raw in ("o'neill", "jalisco-norte", "tema_nuevo3x", "ÉL niño de la", "", "a1b"):
+        assert value(text.title_case("x"), x=raw) == raw.title()
