@@ -16,8 +16,8 @@ from .views import SERIES_AS_OF, STAR_AS_OF
 
 _A, _B = "1996-01-01", "2000-12-31"
 _RANGE = f"between date '{_A}' and date '{_B}'"
-_LAST30 = f"between date '{STAR_AS_OF}' - 30 and date '{STAR_AS_OF}'"
-_LAST365 = f"between date '{STAR_AS_OF}' - 365 and date '{STAR_AS_OF}'"
+_LAST30 = f">= date '{STAR_AS_OF}' - 30"
+_LAST365 = f">= date '{STAR_AS_OF}' - 365"
 _FLAG_SUMS = "cast(sum(risk) as bigint) as risks, cast(sum(opportunity) as bigint) as opportunities"
 _ROLL_SUMS = sums("n_articles", "n_risk", "n_opportunity")
 
@@ -111,7 +111,7 @@ def _name(t):
 @query("d11_entity_timeline", f"""
     select day, count(*) as mentions from article_entity join entities on entity_id = entities.id
     join articles a on article_id = a.id
-    where name = {_NAME} and day between date '{STAR_AS_OF}' - 2400 and date '{STAR_AS_OF}' group by day""")
+    where name = {_NAME} and day >= date '{STAR_AS_OF}' - 2400 group by day""")
 def d11(t):
     return counts.entity_timeline(
         t("articles"), t("article_entity"), t("entities"), _name(t), STAR_AS_OF, 2400)
@@ -238,14 +238,14 @@ _ALL = sums("n_articles", "n_relevant", "n_risk", "n_opportunity", "n_mixed")
 
 @query("d25_weekly_totals", f"""
     select {week('day')} as week, {_ALL}, avg(n_sources) as avg_sources from g_star
-    where day between date '{STAR_AS_OF}' - 84 and date '{STAR_AS_OF}' group by 1""")
+    where day >= date '{STAR_AS_OF}' - 84 group by 1""")
 def d25(t):
     return trends.weekly_totals(rollup_of(t, "daily_global"), STAR_AS_OF, 12)
 
 
 @query("d25_weekly_totals_all", f"""
     select {week('day')} as week, {_ALL}, avg(n_sources) as avg_sources from g_star
-    where day between date '{STAR_AS_OF}' - 2800 and date '{STAR_AS_OF}' group by 1""")
+    where day >= date '{STAR_AS_OF}' - 2800 group by 1""")
 def d25b(t):
     return trends.weekly_totals(rollup_of(t, "daily_global"), STAR_AS_OF, 400)
 
@@ -253,7 +253,7 @@ def d25b(t):
 @query("d26_monthly_totals", f"""
     select strftime(day, '%Y-%m') as month, {_ALL}, avg(n_sources) as avg_sources,
            count(*) as days_with_data from g_star
-    where day between date '{STAR_AS_OF}' - 372 and date '{STAR_AS_OF}' group by 1""")
+    where day >= date '{STAR_AS_OF}' - 372 group by 1""")
 def d26(t):
     return trends.monthly_totals(rollup_of(t, "daily_global"), STAR_AS_OF, 12)
 
@@ -261,7 +261,7 @@ def d26(t):
 @query("d27_weekly_topics", f"""
     select {week('day')} as week, name as topic, {_ROLL_SUMS}
     from t_star join topics on topic_id = topics.id
-    where day between date '{STAR_AS_OF}' - 84 and date '{STAR_AS_OF}' group by 1, 2""")
+    where day >= date '{STAR_AS_OF}' - 84 group by 1, 2""")
 def d27(t):
     return trends.weekly_topics(rollup_of(t, "daily_topic"), t("topics"), STAR_AS_OF, 12)
 

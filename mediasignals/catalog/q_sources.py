@@ -152,7 +152,7 @@ def a9(t):
     reports.write_signal_csv(news_classified(t), path)
     schema = "day date, source string, title string, topics string, kind string, score int"
     back = t.spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-    return back.option("multiLine", True).csv(path)
+    return back.option("multiLine", True).option("escape", '"').csv(path)
 
 
 @query("a10_dashboard_export", """
@@ -278,7 +278,7 @@ def b7(t):
 
 
 @query("b8_last_days", f"""
-    select id, day from articles where day >= date '{STAR_AS_OF}' - 90 and day <= date '{STAR_AS_OF}'""")
+    select id, day from articles where day >= date '{STAR_AS_OF}' - 90""")
 def b8(t):
     return dates.last_days(t("articles"), STAR_AS_OF, 90).select("id", "day")
 
@@ -331,13 +331,13 @@ def b15(t):
 
 
 @query("b15_daily_trend", f"""
-    select * from g_star where day between date '{STAR_AS_OF}' - 30 and date '{STAR_AS_OF}'""")
+    select * from g_star where day >= date '{STAR_AS_OF}' - 30""")
 def b15b(t):
     return counts.daily_series(rollup_of(t, "daily_global"), as_of=STAR_AS_OF, days=30)
 
 
 @query("b16_source_series", f"""
-    select * from s_star where day between date '{STAR_AS_OF}' - 30 and date '{STAR_AS_OF}'""")
+    select * from s_star where day >= date '{STAR_AS_OF}' - 30""")
 def b16(t):
     return counts.source_series(rollup_of(t, "daily_source"), STAR_AS_OF, 30)
 

@@ -20,13 +20,23 @@ def as_date(value: str | dt.date | Column) -> Column:
 
 
 def mail_date(c: str | Column) -> Column:
-    """Day of a mail-style date such as 'Mon, 15 Jan 2024 10:30:00 GMT', in its own offset.
+    """Day of a mail-style date in its own offset: 'Mon, 15 Jan 2024 10:30:00 GMT', two-digit
+    years, 'Monday, 15-Jan-24 10:30:00 GMT' and 'Mon Jan 15 10:30:00 2024'.
 
     Null where the text has another shape.
     """
-    pattern = r"(?:^|[\s,])(\d{1,2})[\s-]([A-Za-z]{3})[a-z]*[\s-](\d{4})\s+\d{1,2}:\d{2}"
-    number, month, year = (F.regexp_extract(_col(c), pattern, i) for i in (1, 2, 3))
-    return F.try_to_date(F.concat_ws(" ", number, F.initcap(month), year), "d MMM yyyy")
+    # day month year time, with a blank or '-' between; or month day time year
+    usual = r"(?:^|[\s,])(\d{1,2})[\s-]([A-Za-z]{3})[a-z]*[\s-](\d{4}|\d{2})\s+\d{1,2}:\d{2}"
+    reverse = r"(?:^|\s)([A-Za-z]{3})[a-z]*\s+(\d{1,2})\s+\d{1,2}:\d{2}(?::\d{2})?\s+(?:[A-Za-z]+\s+)?(\d{4})(?:\s|$)"
+
+    def found(pattern: str, order: tuple[int, int, int]) -> Column:
+        number, month, year = (F.regexp_extract(_col(c), pattern, i) for i in order)
+        # two digits: 69 to 99 are of the last century
+        century = F.when(year >= "69", "19").otherwise("20")
+        full = F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
+        return F.try_to_date(F.concat_ws(" ", number, F.initcap(month), full), "d MMM yyyy")
+
+    return F.coalesce(found(usual, (1, 2, 3)), found(reverse, (2, 1, 3)))
 
 
 def feed_day(published: str | Column, as_of: str | dt.date | Column) -> Column:
@@ -34,8 +44,9 @@ def feed_day(published: str | Column, as_of: str | dt.date | Column) -> Column:
 
 
 def lenient_date(c: str | Column) -> Column:
-    """ISO or mail-style text -> date, else null."""
-    return F.coalesce(F.try_to_date(F.substring(_col(c), 1, 10), "yyyy-MM-dd"), mail_date(c))
+    """ISO text (a date, alone or before a time) or mail-style text -> date, else null."""
+    iso = F.regexp_extract(_col(c), r"^\s*(\d{4}-\d{2}-\d{2})(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})?)?\s*$", 1)
+    return F.coalesce(F.try_to_date(iso, "yyyy-MM-dd"), mail_date(c))
 
 
 def week_key(c: str | Column) -> Column:
@@ -72,6 +83,9 @@ def date_range(
     return df
 
 
-def last_days(df: DataFrame, as_of: str | dt.date, days: int, column: str = "day") -> DataFrame:
-    """``days`` days back through ``as_of``: days + 1 calendar days."""
-    return df.filter(F.col(column).between(days_before(as_of, days), as_date(as_of)))
+def last_days(
+    df: DataFrame, as_of: str | dt.date, days: int, column: str = "day", until: str | dt.date | None = None
+) -> DataFrame:
+    """From ``days`` days before ``as_of`` on. Later rows count too (feeds date ahead) unless
+    ``until`` closes the range."""
+    return date_range(df, days_before(as_of, days), until, column)

@@ -45,6 +45,15 @@ def test_percent_change_half_even(spark):
     assert (row["a"], row["b"], row["c"]) == (round(-47.5), None, -66.7)
 
 
-def test_last_days_is_closed(spark):
+def test_last_days_has_an_open_end(spark):
     rows = spark.createDataFrame([(AS_OF - dt.timedelta(days=i),) for i in range(-2, 10)], "day date")
-    assert dates.last_days(rows, AS_OF, 7).count() == 8
+    assert dates.last_days(rows, AS_OF, 7).count() == 10
+    assert dates.last_days(rows, AS_OF, 7, until=AS_OF).count() == 8
+
+
+def test_other_mail_dates(value):
+    for raw in ("Mon, 15 Jan 24 10:30:00 GMT", "Monday, 15-Jan-24 10:30:00 GMT", "Mon Jan 15 10:30:00 2024"):
+        assert value(dates.mail_date("x"), x=raw) == dt.date(2024, 1, 15), raw
+    assert value(dates.mail_date("x"), x="Tue, 01 Feb 94 08:00 GMT") == dt.date(1994, 2, 1)
+    assert value(dates.lenient_date("x"), x="2024-01-15garbage") is None
+    assert value(dates.lenient_date("x"), x="2024-01-15 10:30") == dt.date(2024, 1, 15)
