@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import logging
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,14 @@ class Store:
             rows = rows.filter(F.col("run") != self.run)
         return rows.select(*[f.name for f in schema])
 
+    def days_of_run(self) -> list[dt.date]:
+        """Days of the articles that this run holds so far."""
+        name = f"articles/run={self.run}"
+        if not self.exists(name):
+            return []
+        rows = self.spark.read.schema(schemas.ARTICLES).parquet(self.path(name))
+        return [r["day"] for r in rows.select("day").distinct().collect()]
+
     def put(self, name: str, df: DataFrame, by_day: bool = False) -> None:
         """Write the rows of this run; repeating a run replaces its own rows only."""
         target = f"{self.path(name)}/run={self.run}"
@@ -68,6 +77,14 @@ class Store:
             df.write.mode("overwrite").parquet(target)
 
 
+class Outcome(dict[str, str]):
+    """Table and export names -> paths; ``failed`` has the exports that failed, and why."""
+
+    def __init__(self, paths: dict[str, str]):
+        super().__init__(paths)
+        self.failed: dict[str, str] = {}
+
+
 ROLLUP_SCHEMAS = {
     "daily_global": schemas.DAILY_GLOBAL,
     "daily_topic": schemas.DAILY_TOPIC,
@@ -114,12 +131,13 @@ def run_daily(
     regions: DataFrame,
     rules: Rules = DEFAULT_RULES,
     run: str | None = None,
-) -> dict[str, str]:
+) -> Outcome:
     """Ingest landed entries, classify, link, roll up the days touched, export.
 
     Every stage starts from a written table, so a lost executor repeats one stage only. A
-    run repeated under the same ``run`` name (default: ``as_of``) replaces what it wrote.
-    Export stages may fail without losing the run. Returns table paths.
+    run repeated under the same ``run`` name (default: ``as_of``) replaces what it wrote; days
+    that only its former rows touched are rolled up anew too. Export stages may fail without
+    losing the run: the outcome maps tables to paths and says which exports failed.
     """
     store = Store(spark, root, run or str(as_of))
     dated = ingest.article_rows(entries, as_of)
@@ -130,6 +148,7 @@ def run_daily(
     batch = classified_articles(fresh, gazetteer, regions, rules).select(
         *[f.name for f in schemas.ARTICLES]
     )
+    former = store.days_of_run()
     store.put("articles", batch, by_day=True)
     batch = spark.read.schema(schemas.ARTICLES).parquet(f"{store.path('articles')}/run={store.run}")
 
@@ -143,7 +162,8 @@ def run_daily(
     store.put("entities", entities.new_entities(resolved))
 
     days = batch.select("day").distinct()
-    rollups = refresh_rollups(store, days)
+    touched = days.union(spark.createDataFrame([(d,) for d in former], "day date")).distinct()
+    rollups = refresh_rollups(store, touched)
     all_articles = store.read("articles", schemas.ARTICLES)
     reports.write_signal_csv(all_articles, store.path("signals_csv"))
     export_steps = {
@@ -172,16 +192,21 @@ def run_daily(
             store.path("warehouse"),
         ),
     }
+    outcome = Outcome({name: store.path(name) for name in ("articles", *rollup.ROLLUPS)})
     for name, step in export_steps.items():
         try:
             step()
-        except Exception:
+            outcome[name] = store.path(name)
+        except Exception as problem:
             log.exception("export %s failed; the run goes on", name)
-    return {name: store.path(name) for name in ("articles", *rollup.ROLLUPS, *export_steps)}
+            outcome.failed[name] = str(problem)
+    return outcome
 
 
 def refresh_rollups(store: Store, days: DataFrame | None) -> dict[str, DataFrame]:
-    """Recompute the five rollups for ``days`` (all days for None) and replace those days."""
+    """Recompute the five rollups for ``days`` (all days for None) and replace those days, also
+    where nothing is left of one."""
+    requested = None if days is None else [r["day"] for r in days.distinct().collect()]
     fresh = rollup.rollup_all(
         store.read("articles", schemas.ARTICLES),
         store.read("article_topic", schemas.ARTICLE_TOPIC),
@@ -189,7 +214,10 @@ def refresh_rollups(store: Store, days: DataFrame | None) -> dict[str, DataFrame
         days,
     )
     for name, df in fresh.items():
-        tables.replace_days(df, store.path(name))
+        if requested is None:
+            tables.replace_all(df, store.path(name))
+        else:
+            tables.replace_days(df, store.path(name), requested)
     return {
         name: tables.read_rollup(store.spark, store.path(name), schema)
         for name, schema in ROLLUP_SCHEMAS.items()
@@ -206,5 +234,10 @@ def run_backfill(
     store = Store(spark, root)
     if start is None and end is None:
         return refresh_rollups(store, None)
-    articles = store.read("articles", schemas.ARTICLES)
-    return refresh_rollups(store, date_range(articles, start, end).select("day").distinct())
+    stored = [store.read("articles", schemas.ARTICLES)]
+    stored += [
+        tables.read_rollup(spark, store.path(name), schema)
+        for name, schema in ROLLUP_SCHEMAS.items() if store.exists(name)
+    ]
+    days = reduce(DataFrame.union, [date_range(rows, start, end).select("day") for rows in stored])
+    return refresh_rollups(store, days.distinct())

@@ -29,7 +29,7 @@ def write_signal_csv(articles: DataFrame, path: str) -> None:
     rows = signal_rows(articles)
     rows.withColumnRenamed("day", BOM + "day").write.mode("overwrite").option(
         "header", True
-    ).csv(path)
+    ).option("escape", '"').csv(path)
 
 
 def dashboard_rows(exported: DataFrame) -> DataFrame:

@@ -51,6 +51,13 @@ def replace_days(
         drop_days(rollup.sparkSession, path, [r["day"] for r in stale.collect()])
 
 
+def replace_all(rollup: DataFrame, path: str) -> None:
+    """Replace a rollup table by all of its days."""
+    rollup.hint("rebalance", "day").write.mode("overwrite").option(
+        "partitionOverwriteMode", "static"
+    ).partitionBy("day").parquet(path)
+
+
 def drop_days(spark: SparkSession, path: str, days: Iterable[dt.date]) -> None:
     """Remove day partitions of a rollup table (a handful of directories)."""
     jvm = spark._jvm
