@@ -25,7 +25,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_wu_manber")
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WINDOWS_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), p AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (
+    SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+    FROM b WHERE len(w) > 0
+  )
+), q AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (
+    SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+    FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m
+  )
+), h AS (SELECT doc_id, i, m, item_id FROM q JOIN p USING (m, win)),
+n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM h) GROUP BY doc_id),
+t AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM h GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op6_wu_manber", WINDOWS_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     found = wu_manber.search(docs, table(spark, sf_dir, "benchmark"))
@@ -76,7 +108,31 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_parity_jaccard")
+JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  JOIN n u ON u.doc_id = x.doc_id JOIN n v ON v.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, u.n, v.n
+  HAVING 100 * count(*) >= 75 * (u.n + v.n - count(*))
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.a = doc_id
+GROUP BY doc_id
+"""
+
+
+@query("op8_parity_jaccard", JACCARD_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     return parity_join.components(docs)
