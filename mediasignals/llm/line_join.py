@@ -6,8 +6,8 @@ apart. A line is cut into ``EDITS + 1`` segments of even length; of two near lin
 one contains a segment of the shorter one, unchanged and hardly moved. The index holds each
 line's segments with its length; a line probes it, for its own and each slightly smaller
 length, with those substrings that may still be the segment (the multi-match-aware
-positions). A pair that meets has its letter and digit counts compared, modulo four in one
-64-bit number, of which an edit changes at most two bits, and is then verified by a banded
+positions). A pair that meets has the parities of its character counts compared, as 64 bits of
+which an edit changes at most two, and is then verified by a banded
 bit-parallel edit distance: a column of ``2 * EDITS + 1`` cells is one integer.
 
 A line goes if an equal or near line stands earlier, in order of document id and line number;
@@ -34,9 +34,7 @@ from ..session import written
 
 EDITS = 2
 MIN_CHARS = 20
-#: one-byte symbols that are counted
-SYMBOLS = "etaoinshrdlcumwfgypbvk0123456789"
-#: an edit replaces one symbol by another
+#: an edit replaces one character by another
 BITS_PER_EDIT = 2
 #: up to so many ids of lines in pairs (16 MB) are broadcast; more are joined by a shuffle
 BROADCAST_IDS = 2_000_000
@@ -48,52 +46,50 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """Start (from 0) and size of segment ``i`` (from 1); the last ones are one longer."""
-    size = F.floor(length / parts)
-    longer = length - size * parts
-    short = F.lit(parts) - longer
-    start = size * (i - 1) + F.greatest(F.lit(i - 1) - short, F.lit(0))
-    return start.cast("int"), (size + (F.lit(i) > short).cast("int")).cast("int")
+    size = F.floor(length / parts).cast("int")
+    short = F.lit(parts) - (length - size * parts)
+    start = size * (i - 1) + F.greatest(i - 1 - short, F.lit(0))
+    return start, size + (i > short).cast("int")
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), length.cast("int"), F.substring(line, start + 1, size))
+def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], parts: int) -> DataFrame:
+    """(key, id, bits) of each line and place: how much smaller the other line is, segment, and
+    how far it has moved. A place per row keeps the compiled code of a key small."""
+    where = F.array(*[F.struct(F.lit(n).alias("less"), F.lit(i).alias("i"), F.lit(m).alias("move")) for n, i, m in places])
+    dealt = lines.select("id", "bits", "line", "size", F.explode(where).alias("p"))
+    other = F.col("size") - F.col("p.less")
+    start, size = _segment(other, F.col("p.i"), parts)
+    at = start + F.col("p.move")
+    key = F.xxhash64("p.i", other, F.substring(F.col("line"), at + 1, size))
+    return dealt.where((other > 0) & (at >= 0) & (at + size <= F.col("size"))).select(key.alias("key"), "id", "bits")
 
 
-def index_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """The keys of a line's own segments."""
-    parts = edits + 1
-    return F.array(*[_key(line, length, i, *_segment(length, i, parts)) for i in range(1, parts + 1)])
+def index_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The keys of the lines' own segments."""
+    return _keyed(lines, [(0, i, 0) for i in range(1, edits + 2)], edits + 1)
 
 
-def probe_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """The keys under which a line may find a near line of its own or a smaller length; null
-    where the line has no such place."""
+def probe_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The keys under which a line may find a near line of its own or a smaller length."""
     parts = edits + 1
-    found = []
-    for less in range(edits + 1):
-        other = length - less
-        for i in range(1, parts + 1):
-            start, size = _segment(other, i, parts)
-            low = max(-(i - 1), less - (parts - i))
-            high = min(i - 1, less + (parts - i))
-            for move in range(low, high + 1):
-                at = start + move
-                fits = (other > 0) & (at >= 0) & (at + size <= length)
-                found.append(F.when(fits, _key(line, other, i, at, size)))
-    return F.array(*found)
-
-
-def symbol_counts(line: Column) -> Column:
-    """64 bits, two for each counted symbol: its count modulo four, so coded that one more or one
-    less changes one bit."""
-    bits = F.lit(0).cast("long")
-    for i, symbol in enumerate(SYMBOLS):
-        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(symbol), F.lit("")))).bitwiseAND(F.lit(3))
-        code = count.bitwiseXOR(F.call_function("shiftright", count, F.lit(1))).cast("long")
-        bits = bits.bitwiseOR(F.call_function("shiftleft", code, F.lit(2 * i)))
-    return bits
+    places = [
+        (less, i, move)
+        for less in range(edits + 1)
+        for i in range(1, parts + 1)
+        for move in range(max(-(i - 1), less - (parts - i)), min(i - 1, less + (parts - i)) + 1)
+    ]
+    return _keyed(lines, places, parts)
+
+
+def symbol_parity(line: Column) -> Column:
+    """64 bits, each toggled once for every character whose code has its last six bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(
+        F.split(line, ""), F.lit(0).cast("long"),
+        lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", one, F.ascii(c).bitwiseAND(F.lit(63)))),
+    )
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -174,12 +170,9 @@ def _order() -> Column:
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs of different lines within the distance: structs x and y of the columns of
-    ``lines``, which are id, line, size (in characters), bits (``symbol_counts``) and others."""
-    line, size = F.col("line"), F.col("size")
-    left = lines.select(F.explode(index_keys(line, size, edits)).alias("key"), F.col("id").alias("x"), F.col("bits").alias("xb"))
-    right = lines.select(
-        F.explode(probe_keys(line, size, edits)).alias("key"), F.col("id").alias("y"), F.col("bits").alias("yb")
-    ).where(F.col("key").isNotNull())
+    ``lines``, which are id, line, size (in characters), bits (``symbol_parity``) and others."""
+    left = index_keys(lines, edits).select("key", F.col("id").alias("x"), F.col("bits").alias("xb"))
+    right = probe_keys(lines, edits).select("key", F.col("id").alias("y"), F.col("bits").alias("yb"))
     met = written(
         left.join(right, "key")
         .where((F.col("x") != F.col("y")) & (F.bit_count(F.col("xb").bitwiseXOR(F.col("yb"))) <= BITS_PER_EDIT * edits))
@@ -208,7 +201,7 @@ def dedup(
         _occurrences(docs, key, text, min_chars)
         .groupBy("line")
         .agg(F.min(_order()).alias("first"), F.count("pos").alias("n"))
-        .select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"), symbol_counts(F.col("line")).alias("bits"), "first", "n"),
+        .select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"), symbol_parity(F.col("line")).alias("bits"), "first", "n"),
         "lines",
     )
     near = near_lines(lines, edits)
