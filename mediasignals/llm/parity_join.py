@@ -403,16 +403,37 @@ def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
 
 
-def _crowded_pairs(members: DataFrame, roots: DataFrame, measured: DataFrame) -> DataFrame:
-    """Near pairs of different components among the members of large keys."""
+def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges, nearest first, join two trees of the ``n`` nodes."""
+    root = list(range(n))
+    keep = np.zeros(len(a), bool)
+    for e in np.argsort(apart, kind="stable").tolist():
+        x, y = int(a[e]), int(b[e])
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            keep[e] = True
+    return keep
+
+
+def _crowded_pairs(members: DataFrame, roots: DataFrame, measured: DataFrame, forest: bool) -> DataFrame:
+    """Near pairs of different components among the members of large keys: (key, a, b), key
+    null. Where ``forest`` leaves out pairs of a key, a row has that key and no pair."""
     labelled = (
         members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left")
         .select("key", F.col("a").alias("class"), F.coalesce("root", "a").alias("root"))
     )
     sizes = (
         labelled.groupBy("key")
-        .agg(F.count("class").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+        .agg(
+            F.count("class").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"),
+            F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"),
+        )
         .where("low <> high")
+        .groupBy("m", "x", "y").agg(F.min("key").alias("key"))  # keys with the same members
         .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     )
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
@@ -425,34 +446,44 @@ def _crowded_pairs(members: DataFrame, roots: DataFrame, measured: DataFrame) ->
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     )
-
     fields = ["key", "i", "j", "own", "class", "root", "n"]
 
-    def compare(group: np.ndarray, wide: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(group: np.ndarray, wide: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
         """Members of blocks i and j of a key; those of one block are compared where i = j.
         Their sketches (words ``at`` of ``wide``) are folded to the least width among them."""
-        width = int((at[1:] - at[:-1]).min())
-        sketch = np.stack([np.bitwise_xor.reduce(wide[a:b].reshape(-1, width), axis=0) for a, b in zip(at[:-1], at[1:], strict=True)])
-        group = np.hstack([group, sketch])
+        size = at[1:] - at[:-1]
+        width = int(size.min())
+        words = wide[at[0] : at[-1]]
+        if (size == width).all():
+            sketch = words.reshape(-1, width)
+        else:
+            sketch = np.stack([np.bitwise_xor.reduce(wide[a:b].reshape(-1, width), axis=0) for a, b in zip(at[:-1], at[1:], strict=True)])
+        sketch = sketch.view(_U)
         i, j = group[0, 1], group[0, 2]
-        left = group[group[:, 3] == i]
-        right = left if i == j else group[group[:, 3] == j]
-        a, b = [], []
-        for at in range(0, len(left), 128):
-            part = left[at : at + 128, None, :]
-            apart = np.zeros((len(part), len(right)), np.int64)
-            for w in range(len(fields), group.shape[1]):
-                apart += np.bitwise_count((part[:, :, w] ^ right[None, :, w]).view(_U))
-            x, y = part[:, :, 6], right[None, :, 6]
+        rows = np.flatnonzero(group[:, 3] == i)
+        others = rows if i == j else np.flatnonzero(group[:, 3] == j)
+        a, b, d = [], [], []
+        step = max(1, (1 << 20) // max(1, len(others) * width))
+        for low in range(0, len(rows), step):
+            part = rows[low : low + step]
+            apart = np.bitwise_count(sketch[part][:, None, :] ^ sketch[others][None, :, :]).sum(axis=2, dtype=np.int64)
+            x, y = group[part, 6][:, None], group[others, 6][None, :]
             ok = (x + y) * (SHARE[1] - SHARE[0]) >= apart * (SHARE[0] + SHARE[1])
             ok &= SHARE[1] * np.minimum(x, y) >= SHARE[0] * np.maximum(x, y)
-            ok &= part[:, :, 5] != right[None, :, 5]
+            ok &= group[part, 5][:, None] != group[others, 5][None, :]
             if i == j:
-                ok &= part[:, :, 4] < right[None, :, 4]
+                ok &= group[part, 4][:, None] < group[others, 4][None, :]
             p, q = np.nonzero(ok)
-            a.append(part[p, 0, 4])
-            b.append(right[q, 4])
-        return (np.concatenate(a), np.concatenate(b)) if a else (group[:0, 4], group[:0, 4])
+            a.append(part[p]), b.append(others[q]), d.append(apart[p, q])
+        if not a:
+            return group[:0, 4], group[:0, 4], False
+        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
+        if forest:
+            # members of one component are one node
+            _, node = np.unique(group[:, 5], return_inverse=True)
+            keep = _forest(node[a], node[b], d, len(group))
+            return group[a[keep], 4], group[b[keep], 4], not keep.all()
+        return group[a, 4], group[b, 4], False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # a group that may go on: two blocks at most
@@ -471,14 +502,20 @@ def _crowded_pairs(members: DataFrame, roots: DataFrame, measured: DataFrame) ->
             if batch is not None:
                 held = rows[cut[-2] :], wide[at[cut[-2]] :], size[cut[-2] :]
                 cut = cut[:-1]
-            found = [compare(rows[a:b], wide, at[a : b + 1]) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a + 1]
+            found = [
+                (rows[a, 0], compare(rows[a:b], wide, at[a : b + 1])) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a + 1
+            ]
             if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                x, y = (np.concatenate([f[1][side] for f in found]) for side in (0, 1))
+                again = np.array([key for key, (_, _, more) in found if more], np.int64)
+                key = pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(again)])
+                none = pa.nulls(len(again), pa.int64())
+                a, b = (pa.concat_arrays([pa.array(f(x, y)), none]) for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([key, a, b], ["key", "a", "b"])
 
     order = ("key", "i", "j")
     rows = dealt.select(*[F.col(c).cast("long") for c in fields], "wide")
-    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a BIGINT, b BIGINT")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "key BIGINT, a BIGINT, b BIGINT")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -497,10 +534,15 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     links = written(verified(met.where(F.col("b").isNotNull()), classes, measured, docs, text), "links")
     roots = connected(links)
     members = met.where(F.col("b").isNull()).select("key", "a")
-    if not members.isEmpty():
-        crowded = written(_crowded_pairs(members, roots, measured), "crowded")
-        if not crowded.isEmpty():
-            roots = connected(links.union(verified(crowded, classes, measured, docs, text)))
+    for forest in (True, False):
+        if members.isEmpty():
+            break
+        crowded = written(_crowded_pairs(members, roots, measured, forest), "crowded")
+        pairs = crowded.where(F.col("key").isNull())
+        if not pairs.isEmpty():
+            links = written(links.union(verified(pairs, classes, measured, docs, text)), "links")
+            roots = connected(links)
+        members = members.join(crowded.where(F.col("key").isNotNull()).select("key").distinct(), "key", "left_semi")
     rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
         "class", "doc", F.coalesce("root", "class").alias("root")
     )
