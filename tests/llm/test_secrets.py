@@ -82,3 +82,25 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
         assert r.n_assign + r.n_access + r.n_hex == len(list(filter(None, want.split(","))))
+
+
+LONG = """internationalization counterrevolutionary electroencephalograph uncharacteristically
+Telecommunications-Gesetz Donaudampfschifffahrtsgesellschaft incomprehensibilities institutionalization
+/usr/share/documentation/readme deinstitutionalization INTERNATIONALISATION getElementByIdentifierName""".split()
+
+
+def test_values_planted_in_few_documents(docs):
+    rng = random.Random(11)
+    plain = """the of and to in is that for it as was with be by on not he his but at are this have from which one were all
+    their there been government information development communication responsibility available education national
+    usr share documents element name Identifier Get by read me law 2024 1999 12 international character institution""".split()
+    texts = [" ".join(rng.choices(plain, k=60) + [rng.choice(LONG)] + rng.choices(plain, k=20)) for _ in range(200)]
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [lower + lower.upper() + digits + "+/", lower + lower.upper() + digits, lower, lower + digits, lower.upper() + digits]
+    planted = {7 * i: "".join(rng.choices(a, k=40)) for i, a in enumerate(alphabets, 1)}
+    for i, v in planted.items():
+        texts[i] += f" ({v}) x"
+    texts += ["-" * 60, "ab" * 20, lower, "a/b/c/d/e/f/g/h/i/j/k/l/m/n"]
+    rows = S.scan(docs(*texts)).collect()
+    got = [(r.doc_id, texts[r.doc_id][s.start : s.end]) for r in rows for s in r.spans if s.kind == "random"]
+    assert sorted(got) == sorted(planted.items())
