@@ -1,14 +1,24 @@
 """Quality rules whose cutoffs are chosen under risk control.
 
 ``measure`` counts a few plain signals of each text. ``choose_cutoffs`` looks at labelled
-documents: for each signal and stratum (a band of word counts) it walks a fixed grid from
-the laxest cutoff to the strictest and certifies a cutoff while the exact binomial
-(Clopper-Pearson) upper bound on the share of good documents it would reject stays within
-the allowed risk. Risk and error probability are divided over the signals and strata, so
-with probability ``1 - error`` no stratum loses more than ``risk`` of its good documents to
-all rules together. The grid is tested in fixed order, which needs no further correction.
-Of the certified cutoffs the one with the largest gain (share of bad documents rejected less
-share of good ones) is used; where nothing is certified, or nothing gained, the rule is off.
+documents and walks one combined rule for each stratum (a band of word counts): it begins with
+all signals off, each step takes one signal to its next cutoff of a fixed grid, and the step is
+certified while the exact binomial (Clopper-Pearson) upper bound on the share of good documents
+that the signals together reject stays within the allowed risk. (The sum of the documents over
+each cutoff stands for those over any, which it is never below.) The rules are nested and tested
+in fixed order, so that the walk has the whole risk and the whole error probability of its
+stratum. With probability ``1 - error`` no stratum loses more than ``risk`` of its good documents.
+
+The order of the steps must not depend on the documents it is tested on: one in ``PILOT`` of the
+good ones, by a hash of the id, and the bad ones choose it (most bad documents for the fewest good
+ones first), and only the other good ones are tested. Of the certified steps the one with the
+largest gain (share of bad documents rejected less share of good ones) is used; where nothing is
+certified, or nothing gained, the rule is off.
+
+Strata with too few good documents to certify even a rule that rejects none of them, at the error
+probability of one of all strata, are merged with the next longer one until there are enough, and
+what is left at the end with the one before; only labelled strata count. The guarantee then holds
+for the merged stratum. The error probability is divided over the strata that remain.
 
 Defined results: a null text has no words and fails the base rule, as does an empty one;
 repeated rows are judged each by itself; a document with several labels counts as its lowest
@@ -49,6 +59,8 @@ GRIDS: dict[str, tuple[float, ...]] = {
 #: lower ends of the strata, in words
 BANDS = (0, 100, 200, 400, 800, 1600)
 RISK, ERROR = 0.02, 0.05
+#: one in so many good documents helps to order the steps
+PILOT = 4
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _MARK = np.isin(np.arange(256), np.frombuffer(b"!?", np.uint8))
@@ -156,7 +168,8 @@ def tail(k: int, n: int, p: float) -> float:
 
 def label_counts(measured: DataFrame, labels: DataFrame, key: str = "doc_id", quality: str = "quality") -> DataFrame:
     """Of labelled documents that pass the base rule, how many of each stratum and signal
-    exceed exactly the first ``passed`` cutoffs of the grid (``n_good``, ``n_bad``)."""
+    exceed exactly the last ``exceeded`` cutoffs of the grid (``n_good`` to test, ``n_bad``, and
+    ``n_pilot`` good ones to order the steps)."""
     judged = (
         labels.where(F.col(quality).isNotNull())
         .groupBy(F.col(key).alias("_key"))
@@ -178,41 +191,84 @@ def label_counts(measured: DataFrame, labels: DataFrame, key: str = "doc_id", qu
     )
     return (
         rows.join(judged, "_key")
-        .select("stratum", "_quality", F.explode("_signals").alias("s"))
+        .withColumn("_pilot", F.pmod(F.xxhash64("_key"), F.lit(PILOT)) == 0)
+        .select("stratum", "_quality", "_pilot", F.explode("_signals").alias("s"))
         .groupBy("stratum", "s.signal", "s.exceeded")
         .agg(
-            F.count(F.when(F.col("_quality") > 0, 1)).alias("n_good"),
+            F.count(F.when((F.col("_quality") > 0) & ~F.col("_pilot"), 1)).alias("n_good"),
             F.count(F.when(F.col("_quality") <= 0, 1)).alias("n_bad"),
+            F.count(F.when((F.col("_quality") > 0) & F.col("_pilot"), 1)).alias("n_pilot"),
         )
     )
 
 
+def merged(good: dict[int, int], least: int) -> list[list[int]]:
+    """Neighbouring strata in groups of at least ``least`` good documents, if there are so many."""
+    groups: list[list[int]] = []
+    for s in sorted(good):
+        if groups and sum(good[x] for x in groups[-1]) < least:
+            groups[-1].append(s)
+        else:
+            groups.append([s])
+    if len(groups) > 1 and sum(good[x] for x in groups[-1]) < least:
+        rest = groups.pop()
+        groups[-1] += rest
+    return groups
+
+
+def walk(bad: dict[str, np.ndarray], pilot: dict[str, np.ndarray]) -> Iterator[tuple[str, int]]:
+    """Steps (signal, place of the cutoff) of the combined rule; the counts are of documents over
+    each cutoff."""
+    at = dict.fromkeys(bad, -1)
+    while True:
+        found = []
+        for place, name in enumerate(bad):
+            b, g = bad[name], pilot[name]
+            now = at[name]
+            had, lost = (b[now], g[now]) if now >= 0 else (0, 0)
+            for to in range(now + 1, len(b)):
+                if b[to] > had:
+                    found.append((-(b[to] - had) / (g[to] - lost + 0.5), to, place, name))
+        if not found:
+            return
+        _, to, _, name = min(found)
+        for i in range(at[name] + 1, to + 1):
+            yield name, i
+        at[name] = to
+
+
 def choose_cutoffs(
-    counts: list[tuple[int, str, int, int, int]], risk: float = RISK, error: float = ERROR
+    counts: list[tuple[int, ...]], risk: float = RISK, error: float = ERROR
 ) -> dict[tuple[int, str], float]:
     """The cutoff of each (stratum, signal) that has one.
 
-    ``counts``: rows of ``label_counts``; there are at most strata x signals x grid of them,
-    whatever the size of the input.
+    ``counts``: rows of ``label_counts`` (the pilot's may be left out); there are at most strata x
+    signals x grid of them, whatever the size of the input.
     """
-    table: dict[tuple[int, str], dict[int, tuple[int, int]]] = defaultdict(dict)
-    for s, name, exceeded, good, bad in counts:
-        table[s, name][exceeded] = (good, bad)
-    tests = len(BANDS) * len(GRIDS)
+    table: dict[int, dict[str, np.ndarray]] = defaultdict(lambda: {n: np.zeros((len(c) + 1, 3), int) for n, c in GRIDS.items()})
+    for s, name, exceeded, *numbers in counts:
+        table[s][name][exceeded, : len(numbers)] += numbers
+    totals = {s: np.max([by.sum(axis=0) for by in names.values()], axis=0) for s, names in table.items()}
+    least = math.ceil(math.log(error / len(BANDS)) / math.log1p(-risk))
+    groups = merged({s: int(n[0]) for s, n in totals.items()}, least)
     chosen = {}
-    for key, by in table.items():
-        cuts = GRIDS[key[1]]
-        n_good, n_bad = sum(g for g, _ in by.values()), sum(b for _, b in by.values())
-        best = 0.0
-        good = bad = 0
-        for at, cut in enumerate(cuts):  # a text that exceeds j cutoffs exceeds the last j
-            g, b = by.get(len(cuts) - at, (0, 0))
-            good, bad = good + g, bad + b
-            if n_good == 0 or n_bad == 0 or tail(good, n_good, risk / len(GRIDS)) > error / tests:
+    for group in groups:
+        n_good, n_bad, _ = sum(totals[s] for s in group).tolist()
+        if not n_good or not n_bad:
+            continue
+        # a text that exceeds j cutoffs exceeds the last j
+        over = {name: np.cumsum(sum(table[s][name] for s in group)[:0:-1], axis=0) for name in GRIDS}
+        good, bad, pilot = ({name: n[:, i] for name, n in over.items()} for i in range(3))
+        best, used, at = 0.0, {}, {}
+        for name, i in walk(bad, pilot):
+            at[name] = i
+            rejected = sum(int(good[x][j]) for x, j in at.items())
+            if tail(rejected, n_good, risk) > error / len(groups):
                 break
-            gain = bad / n_bad - good / n_good
+            gain = sum(int(bad[x][j]) for x, j in at.items()) / n_bad - rejected / n_good
             if gain > best:
-                best, chosen[key] = gain, cut
+                best, used = gain, dict(at)
+        chosen |= {(s, name): GRIDS[name][i] for s in group for name, i in used.items()}
     return chosen
 
 

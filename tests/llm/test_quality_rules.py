@@ -77,3 +77,43 @@ def test_query(spark):
         failed = n < 50 or 100 * hit > 50 * n
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, again, hit)
         assert r.base_failed == failed and not (failed and r.kept)
+
+
+def counted(stratum, good, bad, **over):
+    """Rows of all signals: none over any cutoff, but (good, bad) over all cutoffs of those named."""
+    rows = []
+    for name, cuts in Q.GRIDS.items():
+        g, b = over.get(name, (0, 0))
+        rows += [(stratum, name, 0, good - g, bad - b), (stratum, name, len(cuts), g, b)]
+    return rows
+
+
+def test_few_hundred_labels_certify_a_combined_rule():
+    rows = counted(1, 300, 50, symbols_per_word=(0, 30), marks_per_word=(0, 20))
+    assert Q.choose_cutoffs(rows) == {(1, "symbols_per_word"): 2.0, (1, "marks_per_word"): 2.0}
+    # signals that together reject too many good documents are not certified together
+    over = {name: (6, 20) for name in Q.GRIDS}
+    assert 0 < len(Q.choose_cutoffs(counted(1, 1000, 50, **over))) < 3
+
+
+def test_thin_strata_are_merged():
+    assert Q.merged({0: 83, 1: 847, 2: 988, 4: 301, 5: 104}, 237) == [[0, 1], [2], [4, 5]]
+    assert Q.merged({0: 500, 3: 20}, 237) == [[0, 3]] and Q.merged({2: 5}, 237) == [[2]] and Q.merged({}, 237) == []
+    rows = [r for s in range(3) for r in counted(s, 90, 9, symbols_per_word=(0, 9))]
+    assert Q.choose_cutoffs(rows) == {(s, "symbols_per_word"): 2.0 for s in range(3)}
+    assert Q.choose_cutoffs(rows[:16]) == {}
+
+
+def test_walk_takes_cheap_steps_first():
+    bad, pilot = {"a": Q.np.array([5, 9]), "b": Q.np.array([0, 20])}, {"a": Q.np.array([0, 3]), "b": Q.np.array([0, 0])}
+    assert list(Q.walk(bad, pilot)) == [("b", 0), ("b", 1), ("a", 0), ("a", 1)]
+
+
+def test_guarantee_holds_in_simulation():
+    rng = Q.np.random.default_rng(5)
+    failed = 0
+    for _ in range(200):
+        # each of three signals is over its cutoff in 1.1 % of good documents, apart from each other
+        over = {n: (int(g), 20) for n, g in zip(list(Q.GRIDS)[:3], rng.multinomial(600, [0.011] * 3 + [0.967])[:3], strict=True)}
+        failed += len(Q.choose_cutoffs(counted(0, 600, 30, **over))) > 1
+    assert failed <= 200 * (Q.ERROR + 0.03)
