@@ -62,3 +62,26 @@ def test_empty_tables(spark, entries):
     captures = spark.createDataFrame([("http://bad.com/", DAY)], "url string, fetched_on date")
     assert U.evaluate(captures, entries.limit(0)).first().matches == []
     assert U.evaluate(captures.limit(0), entries).count() == 0
+
+
+def test_paths_keep_their_case_and_pages_match(spark):
+    entries = spark.createDataFrame(
+        [(k, k, v, DAY, "add") for k, v in (
+            ("path", "X.net/Movies/"), ("path", "x.net/Watch/Ab"), ("path", "y.net"), ("path", "é.net/Ü"),
+            ("url", "X.net/Page"), ("url", "Z.net"), ("domain", "Big.ORG"),
+        )],
+        "list string, kind string, value string, day date, action string",
+    )
+    want = {
+        "http://x.net/Movies/1": ["path:x.net/Movies/"], "http://X.NET/Movies/": ["path:x.net/Movies/"],
+        "http://x.net/movies/1": [], "http://x.net/Movies": [],
+        "http://x.net/Watch/Abc/d": ["path:x.net/Watch/Ab"], "http://x.net/Watch/Ab": ["path:x.net/Watch/Ab"],
+        "http://x.net/watch/Abc": [], "http://x.net/Watch/A": [],
+        "http://y.net/a": ["path:y.net"], "http://y.net": ["path:y.net"], "http://y.network/": [], "http://a.y.net/": [],
+        "http://é.net/Ü1": ["path:é.net/Ü"], "http://é.net/ü1": [],
+        "http://x.net/Page?q#f": ["url:x.net/Page"], "http://x.net/page": [], "http://x.net/Page/": [], "http://x.net/Page1": [],
+        "http://z.net": ["url:z.net/"], "http://z.net/?q": ["url:z.net/"], "http://z.net/a": [],
+        "http://www.bIg.org/A": ["domain:big.org"],
+    }
+    captures = spark.createDataFrame([(u, DAY) for u in want], "url string, fetched_on date")
+    assert {r.url: r.matches for r in U.evaluate(captures, entries).collect()} == want
