@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune, written
-from . import centroid_lang, line_join, ordinal_quality, parity_join, piece_lattice, quality_rules, secrets, tree_html, url_lists, wu_manber
+from . import centroid_lang, line_join, ordinal_quality, parity_join, piece_lattice, quality_rules, secrets, state_dedup, tree_html, url_lists, wu_manber
 from .registry import query, table
 
 #: a file of a public tokenizer; only the driver reads it
@@ -271,3 +271,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.evaluate(captures, entries).select(
         "page_id", "url", "fetched_on", F.array_join("matches", ",").alias("matches"), "blocked"
     )
+
+
+EXACT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n_chars,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+), g AS (
+  SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n_chars, doc_id)) AS keep_id FROM d GROUP BY text_sha256
+)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, text_sha256
+FROM d JOIN g USING (text_sha256)
+"""
+
+
+@query("op12_state_dedup", EXACT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = state_dedup.dedup(tune(spark), f"{sf_dir.rstrip('/')}/documents.parquet")
+    return found.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
+    )
