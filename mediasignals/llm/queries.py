@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune, written
-from . import centroid_lang, line_join, ordinal_quality, parity_join, piece_lattice, quality_rules, secrets, state_dedup, tree_html, url_lists, wu_manber
+from . import centroid_lang, line_join, ordinal_quality, parity_join, phrase_mining, piece_lattice, quality_rules, secrets, state_dedup, tree_html, url_lists, wu_manber
 from .registry import query, table
 
 #: a file of a public tokenizer; only the driver reads it
@@ -292,3 +292,46 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
+
+
+PHRASES_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+    FROM w, (VALUES (1), (2), (3), (4)) AS s(size) WHERE len(w) >= size
+  )
+), c AS (
+  SELECT lang, size, phrase, string_split(phrase, ' ') AS w, count(*) AS f
+  FROM g GROUP BY lang, size, phrase HAVING count(*) >= 30
+), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+cuts AS (
+  SELECT lang, size, phrase, w, f AS a, unnest(range(1, size)) AS k FROM c WHERE size > 1
+), valued AS (
+  SELECT x.lang, x.phrase, x.a, x.k, y.f AS l, z.f AS r, (2000000 * x.a::HUGEINT) // (y.f + z.f) AS score
+  FROM cuts x
+  JOIN c y ON y.lang = x.lang AND y.phrase = array_to_string(x.w[1:x.k], ' ')
+  JOIN c z ON z.lang = x.lang AND z.phrase = array_to_string(x.w[x.k + 1:x.size], ' ')
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM valued
+), inner_phrases AS (
+  SELECT lang, f, w, m, unnest(range(1, size - m + 2)) AS i
+  FROM (SELECT lang, f, w, size, unnest(range(2, size)) AS m FROM c WHERE size > 2)
+), around AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer FROM inner_phrases GROUP BY 1, 2
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+  FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE place = 1 AND (longer IS NULL OR 100 * longer < 80 * a)
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_mining", PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(table(tune(spark), sf_dir, "documents").select("text", "lang"))
