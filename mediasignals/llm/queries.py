@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune, written
-from . import centroid_lang, line_join, ordinal_quality, parity_join, phrase_mining, piece_lattice, quality_rules, secrets, state_dedup, tree_html, url_lists, wu_manber
+from . import centroid_lang, line_join, ordinal_quality, parity_join, phrase_mining, piece_lattice, quality_rules, secrets, state_dedup, token_align, tree_html, url_lists, wu_manber
 from .registry import query, table
 
 #: a file of a public tokenizer; only the driver reads it
@@ -335,3 +335,13 @@ FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 @query("op11_phrase_mining", PHRASES_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.mine(table(tune(spark), sf_dir, "documents").select("text", "lang"))
+
+
+#: files of public tokenizers; only the driver reads them
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("op13_token_align")
+def op13(spark: SparkSession, sf_dir: str, byte_bpe: str = BYTE_BPE, pieces: str = TOKENIZER) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    return token_align.align(docs, token_align.Tokenizers.load(byte_bpe, pieces))
