@@ -31,13 +31,18 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, written
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore."
+STATE_STORE = {
+    _STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _STATE + "rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores do not each reserve disk ahead
+    _STATE + "rocksdb.allowFAllocate": "false",
+}
 #: files of arrivals that one batch takes in
 FILES_PER_BATCH = 10_000
 #: white space that equality ignores
 IGNORED = " \t\n\x0b\f\r"
 ARRIVAL = "id LONG, digest STRING, n_chars LONG, file STRING, row LONG"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def normal(text: Column) -> Column:
@@ -86,8 +91,9 @@ def absorb(spark: SparkSession, folder: str, files_per_batch: int = FILES_PER_BA
     def changed(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, STATE_STORE)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         arrivals = (
             spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/arrivals")
@@ -101,10 +107,11 @@ def absorb(spark: SparkSession, folder: str, files_per_batch: int = FILES_PER_BA
             .awaitTermination()
         )
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def held(spark: SparkSession, folder: str) -> DataFrame:
