@@ -21,6 +21,34 @@ def _stream(t, name: str, max_files: int | None = None):
     return jobs.read_files(t.spark, t.folder, t(name).schema, f"{name}.parquet", max_files)
 
 
+def _arriving(t, rows, order, steps: int):
+    """Lets ``rows`` arrive in steps by a number column ``order``: the folder, after each step."""
+    folder = shared_dir(t.spark, "arrivals")
+    rows = written(rows.withColumn("_at", order), "to_arrive")
+    low, high = rows.agg(F.coalesce(F.min("_at"), F.lit(0)), F.coalesce(F.max("_at"), F.lit(0))).first()
+    size = (high - low) // steps + 1
+    for i in range(steps):
+        start = low + i * size
+        part = rows.filter((F.col("_at") >= start) & (F.col("_at") < start + size)).drop("_at")
+        part.write.parquet(f"{folder}/step={i}")
+        yield f"{folder}/*"
+
+
+def _windows(t, totals):
+    """Windows over events that arrive in five steps; a third of the rows comes a day late and a
+    third two days."""
+    events = t("events")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(3)).cast("int")
+    path, checkpoint = shared_dir(t.spark, "windows"), shared_dir(t.spark, "checkpoint")
+    for folder in _arriving(t, events, F.unix_date(F.date_add(F.to_date("ts"), late)), 5):
+        stream = jobs.read_files(t.spark, folder, events.schema)
+        jobs.run_available(
+            totals(_signals(stream), "ts", "3 days"), checkpoint,
+            jobs.upsert(path, ["start_day", "end_day"], "start_day"), "update",
+        ).awaitTermination()
+    return t.spark.read.parquet(path).drop("day")
+
+
 def _signals(events):
     kind = F.col("event_type")
     return events.select(
@@ -54,13 +82,14 @@ def k1(t):
 
 @query("k2_streamed_dedup", "select id, url from news_unique")
 def k2(t):
-    rows = _stream(t, "documents").select(
+    rows = t("documents").select(
         F.col("doc_id").alias("id"), F.concat(F.lit("doc://"), F.md5("text")).alias("url"))
-    path = shared_dir(t.spark, "unique")
-    jobs.run_available(
-        rows, shared_dir(t.spark, "checkpoint"), jobs.dedup_against(path, ["url"], "id")
-    ).awaitTermination()
-    return t.spark.read.parquet(path).drop("batch")
+    out, checkpoint = shared_dir(t.spark, "unique"), shared_dir(t.spark, "checkpoint")
+    for folder in _arriving(t, rows, F.col("id"), 3):
+        jobs.run_available(
+            jobs.read_files(t.spark, folder, rows.schema), checkpoint, jobs.dedup_keyed(out, ["url"], "id")
+        ).awaitTermination()
+    return jobs.unique_rows(t.spark, out, rows.schema)
 
 
 @query("k2_dedup_within_watermark", "select distinct event_type, cast(ts as date) as day from events")
@@ -80,12 +109,7 @@ _TOTALS = f"""count(*) as n_articles, {n_where("event_type = 'error'")} as n_ris
 @query("k3_tumbling_days", f"""
     select cast(ts as date) as start_day, cast(ts as date) as end_day, {_TOTALS} from events group by 1, 2""")
 def k3(t):
-    totals = jobs.tumbling_days(_signals(_stream(t, "events")), "ts", "3 days")
-    path = shared_dir(t.spark, "tumbling")
-    jobs.run_available(
-        totals, shared_dir(t.spark, "checkpoint"), jobs.replace_result(path), "complete"
-    ).awaitTermination()
-    return t.spark.read.parquet(path)
+    return _windows(t, jobs.tumbling_days)
 
 
 @query("k3_touched_days", "select * from g_series")
@@ -103,22 +127,23 @@ def k3b(t):
         select event_type, value, cast(ts as date) + cast(unnest(generate_series(0, 6)) as int) as d from events) w
     group by d""")
 def k4(t):
-    totals = jobs.sliding_weeks(_signals(_stream(t, "events")), "ts", "3 days")
-    path = shared_dir(t.spark, "sliding")
-    jobs.run_available(
-        totals, shared_dir(t.spark, "checkpoint"), jobs.replace_result(path), "complete"
-    ).awaitTermination()
-    return t.spark.read.parquet(path)
+    return _windows(t, jobs.sliding_weeks)
 
 
-@query("k5_capped_triggers", "select l_returnflag, count(*) as n from lineitem group by l_returnflag")
+@query("k5_capped_triggers", """
+    select l_returnflag, cast(date_trunc('month', l_shipdate) as date) as ship_month, count(*) as n
+    from lineitem group by 1, 2""")
 def k5(t):
-    counts = _stream(t, "lineitem", max_files=1).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    items = t("lineitem").select("l_returnflag", F.to_date(F.trunc("l_shipdate", "month")).alias("ship_month"))
+    *_, folder = _arriving(t, items, F.month("ship_month"), 4)  # four steps have arrived before the first trigger
+    counts = jobs.read_files(t.spark, folder, items.schema, max_files=1).groupBy(
+        "l_returnflag", "ship_month").agg(F.count("*").alias("n"))
     path = shared_dir(t.spark, "capped")
     jobs.run_available(
-        counts, shared_dir(t.spark, "checkpoint"), jobs.replace_result(path), "complete"
+        counts, shared_dir(t.spark, "checkpoint"),
+        jobs.upsert(path, ["l_returnflag", "ship_month"], "ship_month"), "update",
     ).awaitTermination()
-    return t.spark.read.parquet(path)
+    return t.spark.read.parquet(path).drop("day")
 
 
 # --- M --------------------------------------------------------------------------------

@@ -58,12 +58,26 @@ def replace_all(rollup: DataFrame, path: str) -> None:
     ).partitionBy("day").parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _file_system(spark, path)
+    return files.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of our own; nothing happens if it is absent."""
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+
+
 def drop_days(spark: SparkSession, path: str, days: Iterable[dt.date]) -> None:
     """Remove day partitions of a rollup table (a handful of directories)."""
-    jvm = spark._jvm
     for day in days:
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/day={day.isoformat()}")
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(spark, f"{path}/day={day.isoformat()}")
 
 
 def read_rollup(spark: SparkSession, path: str, schema) -> DataFrame:

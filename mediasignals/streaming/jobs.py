@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import first_per_key
-from ..sources.tables import replace_days
+from ..session import written
+from ..sources.tables import exists, remove, replace_days
 
 
 def read_files(
@@ -52,11 +53,29 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def replace_result(path: str) -> Callable[[DataFrame, int], None]:
-    """For complete mode: the newest batch is the whole (small, aggregated) result."""
+def upsert(path: str, keys: list[str], day: str) -> Callable[[DataFrame, int], None]:
+    """For update mode: changed rows replace the stored ones of the same keys.
+
+    The result is a table partitioned by ``day`` (a copy of the column of that name). Only the
+    partitions of changed days are read and replaced. What a batch will put there is written
+    first, below ``<path>_next``; a batch that is repeated after it began to replace partitions
+    finds it there and puts the same rows.
+    """
 
     def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(path)
+        spark = df.sparkSession
+        stage = f"{path}_next/batch={batch_id}"
+        if not exists(spark, f"{stage}/_SUCCESS"):
+            changed = written(df.withColumn("day", F.col(day)), "changed")
+            rows = changed
+            if exists(spark, path):
+                days = [r["day"] for r in changed.select("day").distinct().collect()]  # of one batch
+                stored = spark.read.schema(changed.schema).parquet(path).filter(F.col("day").isin(days))
+                rows = stored.join(changed, keys, "left_anti").unionByName(changed)
+            rows.write.mode("overwrite").parquet(stage)
+        schema = T.StructType([*df.schema.fields, T.StructField("day", T.DateType())])
+        replace_days(spark.read.schema(schema).parquet(stage), path)
+        remove(spark, f"{path}_next/batch={batch_id - 1}")
 
     return write
 
@@ -66,26 +85,60 @@ def dedup_within(stream: DataFrame, time: str, delay: str, keys: list[str]) -> D
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def dedup_against(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """Exact form: first row per key in the batch, none whose key is stored already.
-
-    The batch's own folder is left out of the comparison, so a retried batch gives the
-    same rows again.
+KEY_VALUE_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+def start_keyed(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start a query whose keyed state lies in RocksDB; other queries keep their provider."""
+    before = {name: spark.conf.get(name, None) for name in KEY_VALUE_STATE}
+    for name, value in KEY_VALUE_STATE.items():
+        spark.conf.set(name, value)
+    try:
+        return start()
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def dedup_keyed(folder: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+    """Exact form: the first row per key of all history, by ``order`` inside a batch.
+
+    A batch keeps one row per key in ``folder/arrived``; an inner query takes these in and looks
+    each key up in its keyed state (RocksDB, written to ``folder/keys``, no expiry). So the work of a
+    batch depends on its own rows, never on how much is stored. Rows with new keys are appended to
+    ``folder/unique``. A batch that is repeated arrives again, and its keys are known by then.
     """
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        fresh = first_per_key(df, keys, [order])
-        if batch_id > 0:
-            stored = spark.read.parquet(path).filter(F.col("batch") < batch_id)
-            fresh = fresh.join(stored.select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        arrived = f"{folder}/arrived"
+        first_per_key(df, keys, [order]).write.mode("overwrite").parquet(f"{arrived}/from={batch_id}")
+        # files that a repeated batch has replaced are passed over; their rows come in the new ones
+        rows = spark.readStream.schema(df.schema).option("ignoreMissingFiles", "true").parquet(arrived)
+        fresh = rows.dropDuplicates(keys)
+        start_keyed(
+            spark, lambda: run_available(fresh, f"{folder}/keys", append_to(f"{folder}/unique"))
+        ).awaitTermination()
 
     return write
 
 
+def unique_rows(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """What ``dedup_keyed`` has let through."""
+    return spark.read.schema(schema).parquet(f"{folder}/unique").select(*schema.fieldNames())
+
+
 def tumbling_days(stream: DataFrame, time: str, delay: str) -> DataFrame:
-    """Daily totals by event time; late rows update their own day until the watermark."""
+    """Daily totals by event time; late rows update their own day until the watermark has
+    passed it, which also drops the day's state."""
     return _windowed(stream.withWatermark(time, delay), F.window(time, "1 day"))
 
 

@@ -10,6 +10,7 @@ from mediasignals.catalog import CHECKS, QUERIES
 from mediasignals.operators import rollup
 from mediasignals.plans import daily
 from mediasignals.session import shared_dir
+from mediasignals.sources import tables
 from mediasignals.streaming import jobs
 
 ENTRY = schemas.FEED_ENTRIES
@@ -94,16 +95,77 @@ def test_touched_days_follow_late_rows(spark, tmp_path):
 
 
 def test_exact_stream_dedup(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for part in ([(1, "u"), (2, "v")], [(3, "u"), (4, "w"), (5, "w")]):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    read, schema = [], None
+    for part in ([(1, "u"), (2, "v")], [(3, "u"), (5, "w"), (4, "w")], [(6, "v"), (7, "w"), (8, "x")]):
         df = spark.createDataFrame(part, "id long, url string")
+        schema = df.schema
         df.coalesce(1).write.mode("append").parquet(source)
-        jobs.run_available(
-            jobs.read_files(spark, source, df.schema), str(tmp_path / "cp"),
-            jobs.dedup_against(out, ["url"], "id"),
-        ).awaitTermination()
-    got = spark.read.parquet(out)
-    assert sorted((r["id"], r["url"]) for r in got.collect()) == [(1, "u"), (2, "v"), (4, "w")]
+        query = jobs.run_available(
+            jobs.read_files(spark, source, schema), checkpoint, jobs.dedup_keyed(out, ["url"], "id"))
+        query.awaitTermination()
+        read.append(sum(p["numInputRows"] for p in query.recentProgress))
+
+    def rows():
+        return sorted((r["id"], r["url"]) for r in jobs.unique_rows(spark, out, schema).collect())
+
+    assert rows() == [(1, "u"), (2, "v"), (4, "w"), (8, "x")]
+    assert read == [2, 3, 3]  # never what is stored
+    # a repeated batch, its files replaced by others, lets nothing through again
+    jobs.dedup_keyed(out, ["url"], "id")(df, 2)
+    assert rows() == [(1, "u"), (2, "v"), (4, "w"), (8, "x")]
+    state = spark.read.format("statestore").load(f"{out}/keys")
+    assert state.count() == 4
+
+
+def stamped(spark, rows):
+    return spark.createDataFrame(
+        [(dt.datetime(2024, 1, d, 12), r, 0) for d, r in rows], "ts timestamp, risk int, opportunity int")
+
+
+def test_windows_take_late_rows_until_the_watermark(spark, tmp_path):
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "windows", "cp"))
+    kept, dropped = [], []
+    # days by arrival; day 3 comes late but within the delay in the third step, day 1 too late in the last
+    for days in ([1, 1, 2], [3, 4, 5], [6, 3], [12], [20], [21, 1]):
+        df = stamped(spark, [(d, d % 2) for d in days])
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.read_files(spark, source, df.schema)
+        query = jobs.run_available(
+            jobs.tumbling_days(stream, "ts", "3 days"), checkpoint,
+            jobs.upsert(path, ["start_day"], "start_day"), "update")
+        query.awaitTermination()
+        states = [p["stateOperators"][0] for p in query.recentProgress]
+        kept.append(states[-1]["numRowsTotal"])
+        dropped.append(sum(s["numRowsDroppedByWatermark"] for s in states))
+    got = {r["start_day"].day: (r["n_articles"], r["n_risk"]) for r in spark.read.parquet(path).collect()}
+    assert got == {1: (2, 2), 2: (1, 0), 3: (2, 2), 4: (1, 0), 5: (1, 1), 6: (1, 0), 12: (1, 0), 20: (1, 0), 21: (1, 1)}
+    assert max(kept) <= 6 and kept[-1] <= 2  # of nine days
+    assert dropped == [0, 0, 0, 0, 0, 1]
+
+
+def test_upsert_replaces_keys_and_survives_a_repeat(spark, tmp_path):
+    path = str(tmp_path / "table")
+    schema = "at date, key string, n long"
+
+    def batch(*rows):
+        return spark.createDataFrame([(dt.date(2024, 1, d), k, n) for d, k, n in rows], schema)
+
+    sink = jobs.upsert(path, ["at", "key"], "at")
+    sink(batch((1, "a", 1), (1, "b", 1), (2, "a", 5)), 0)
+    second = batch((1, "a", 2), (3, "c", 1))
+    sink(second, 1)
+    sink(second, 1)
+    want = [(1, "a", 2), (1, "b", 1), (2, "a", 5), (3, "c", 1)]
+
+    def rows():
+        return sorted((r["at"].day, r["key"], r["n"]) for r in spark.read.parquet(path).collect())
+
+    assert rows() == want
+    # stopped while it replaced partitions: one is gone, the repeated batch puts it back whole
+    tables.remove(spark, f"{path}/day=2024-01-01")
+    sink(second, 1)
+    assert rows() == want
 
 
 def test_every_query_has_a_check():
