@@ -20,7 +20,7 @@ two parts with the lowest ``2000000 * f / (f(first) + f(rest))`` gives the score
 A candidate inside a longer one that occurs at least 0.8 times as often goes. The best of each
 language are ranked in two steps, so that no task sorts a whole language.
 
-A summary holds about twice mass / threshold counters: some 50 MB for 64 MB of texts a hash
+A summary holds about twice mass / threshold counters: some 25 MB for 32 MB of texts a hash
 partition. The bit table has 16 MB whatever the corpus; the fuller it is the less the second pass
 skips.
 
@@ -46,9 +46,12 @@ WORDS = 4
 LEAST = 30
 TOP = 2000
 SLACK = 2
-PIECE = 1 << 22
+PIECE = 1 << 19
+#: occurrences and phrases that a task combines before it sends them
+TOGETHER = 1 << 21
+PENDING = 1 << 18
 #: bytes of text for one hash partition
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
 #: bytes of the bit table
 TABLE_BYTES = 1 << 24
 _SPLITTERS = b".,;:!?\n\x0b\x0c\r"
@@ -171,27 +174,36 @@ def summaries(texts: DataFrame, parts: int, words: int = WORDS) -> DataFrame:
     """(part, kind, mass, ones, many, counts): of each few megabytes of text and hash partition,
     the keys found once, those found more often, and their counts; kind 0 has the mass alone."""
 
+    names = ["part", "kind", "mass", "ones", "many", "counts"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def combined(keys: np.ndarray, mass: np.ndarray) -> pa.RecordBatch:
+        keys.sort()
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(new)
+        keys, counts = keys[at], np.diff(at, append=len(keys))
+        edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1, dtype=np.uint64))
+        rows = []
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            k, c = keys[edges[p] : edges[p + 1]], counts[edges[p] : edges[p + 1]]
+            mass[p] += c.sum()
+            rows.append((p, 1, None, _packed(k[c == 1]), _packed(k[c > 1]), c[c > 1].astype("<u4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass = np.zeros(parts, np.int64)
-        names = ["part", "kind", "mass", "ones", "many", "counts"]
+        waiting, held = [], 0
         for batch, t in pieces(batches, "text", PIECE):
             found = Phrases(t, _langs(batch))
-            keys = np.sort(np.concatenate([found.hashes(n)[1] for n in range(1, words + 1)]) >> np.uint64(16))
-            if not len(keys):
-                continue
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            at = np.flatnonzero(new)
-            keys, counts = keys[at], np.diff(at, append=len(keys))
-            edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1, dtype=np.uint64))
-            rows = []
-            for p in np.flatnonzero(np.diff(edges)).tolist():
-                k, c = keys[edges[p] : edges[p + 1]], counts[edges[p] : edges[p + 1]]
-                mass[p] += c.sum()
-                rows.append((p, 1, None, _packed(k[c == 1]), _packed(k[c > 1]), c[c > 1].astype("<u4").tobytes()))
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            for n in range(1, words + 1):
+                waiting.append(found.hashes(n)[1] >> np.uint64(16))
+                held += len(waiting[-1])
+            if held >= TOGETHER:
+                yield combined(np.concatenate(waiting), mass)
+                waiting, held = [], 0
+        if held:
+            yield combined(np.concatenate(waiting), mass)
         at = np.flatnonzero(mass)
         none = pa.nulls(len(at), pa.binary())
         yield pa.RecordBatch.from_arrays(
@@ -240,7 +252,7 @@ def survivors(summed: DataFrame, parts: int, least: int = LEAST) -> DataFrame:
                 waiting.append((_unpacked(ones), np.ones(len(ones) // 6, np.int64)))
                 waiting.append((_unpacked(many), np.frombuffer(counts, "<u4").astype(np.int64)))
                 held += (len(ones) + len(many)) // 6
-                if held >= summary.capacity:
+                if 2 * held >= summary.capacity:
                     fold()
         if summary is not None:
             yield done()
@@ -249,15 +261,26 @@ def survivors(summed: DataFrame, parts: int, least: int = LEAST) -> DataFrame:
     return met.mapInArrow(run, "part INT, table BINARY")
 
 
+def _same(one: np.ndarray, two: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct pair of hashes and the sum of its counts."""
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    start = np.flatnonzero(new)
+    return order[start], np.add.reduceat(n[order], start)
+
+
 def counted(texts: DataFrame, table: np.ndarray, parts: int, least: int = LEAST, words: int = WORDS) -> DataFrame:
     """(lang, size, phrase, f) of all phrases that occur ``least`` times or more; size 0 has
     the number of words of the language."""
     sent = texts.sparkSession.sparkContext.broadcast(table)
     size = part_bytes(parts)
+    names = ["lang", "size", "phrase", "f"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "size", "phrase", "f"]
         bits = sent.value
+        waiting, held = [], 0
         for batch, t in pieces(batches, "text", PIECE):
             found = Phrases(t, _langs(batch))
             lang = batch.column(batch.schema.get_field_index("lang")).dictionary_encode()
@@ -280,18 +303,24 @@ def counted(texts: DataFrame, table: np.ndarray, parts: int, least: int = LEAST,
             at, one, two, width = (np.concatenate(x) for x in (at, one, two, width))
             if not len(at):
                 continue
-            order = np.lexsort((two, one))
-            one, two = one[order], two[order]
-            new = np.ones(len(one), bool)
-            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            start = np.flatnonzero(new)
-            n, chosen = np.diff(start, append=len(one)), order[start]
-            for low in range(0, len(chosen), 1 << 16):
-                c = chosen[low : low + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([
-                    lang.dictionary.take(pa.array(code[at[c]])), pa.array(width[c], pa.int32()),
-                    found.spelled(at[c], width[c]), pa.array(n[low : low + (1 << 16)], pa.int64()),
-                ], names)
+            chosen, n = _same(one, two, np.ones(len(one), np.int64))
+            waiting.append((
+                one[chosen], two[chosen], n, width[chosen],
+                lang.dictionary.take(pa.array(code[at[chosen]])), found.spelled(at[chosen], width[chosen]),
+            ))
+            held += len(chosen)
+            if held >= PENDING:
+                yield together(waiting)
+                waiting, held = [], 0
+        if held:
+            yield together(waiting)
+
+    def together(waiting: list[tuple]) -> pa.RecordBatch:
+        one, two, n, width = (np.concatenate([w[i] for w in waiting]) for i in range(4))
+        chosen, n = _same(one, two, n)
+        at = pa.array(chosen)
+        lang, phrase = (pa.concat_arrays([w[i] for w in waiting]).take(at) for i in (4, 5))
+        return pa.RecordBatch.from_arrays([lang, pa.array(width[chosen], pa.int32()), phrase, pa.array(n)], names)
 
     rows = texts.mapInArrow(run, "lang STRING, size INT, phrase STRING, f LONG")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0))

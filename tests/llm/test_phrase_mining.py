@@ -82,6 +82,8 @@ def test_many_hash_partitions_and_pieces(frame, monkeypatch):
     rows = corpus(2)
     monkeypatch.setattr(M, "PIECE", 64)
     monkeypatch.setattr(M, "PART_BYTES", 300)
+    monkeypatch.setattr(M, "TOGETHER", 200)
+    monkeypatch.setattr(M, "PENDING", 30)
     monkeypatch.setattr(M, "TABLE_BYTES", 16)
     assert got(M.mine(frame(rows).repartition(5), least=4)) == brute(rows, 4, 2000)
 
