@@ -6,20 +6,26 @@ apart. A line is cut into ``EDITS + 1`` segments of even length; of two near lin
 one contains a segment of the shorter one, unchanged and hardly moved. The index holds each
 line's segments with its length; a line probes it, for its own and each slightly smaller
 length, with those substrings that may still be the segment (the multi-match-aware
-positions). A pair that meets has the parities of its character counts compared, as 64 bits of
-which an edit changes at most two, and is then verified by a banded
+positions). Two lines that meet have the parities of their character counts compared, as 64 bits of
+which an edit changes at most two, and are then verified by a banded
 bit-parallel edit distance: a column of ``2 * EDITS + 1`` cells is one integer.
 
 A line goes if an equal or near line stands earlier, in order of document id and line number;
-the first one stays. Shorter lines are never compared and always stay.
+the first one stays. Equal lines go whatever their length, near ones only from ``MIN_CHARS``
+characters on; blank lines are never compared and always stay.
+
+Only one earlier line has to be found. So under each key a line is first compared with the
+earliest one alone, which is linear and settles a family of near copies; only lines that this leaves
+open are compared with the other earlier ones of their keys, and of these comparisons only
+those that pass the parities become rows.
 
 Only DataFrame functions. Equal lines are one row before the join, so that a line found in a
-third of all documents is joined once. A key of very many lines meets in a sort-merge join
-whose large partitions adaptive execution splits; its pairs are tested in the join, and only
-those that pass become rows.
+third of all documents is joined once. Texts of lines are fetched for those that share a key.
 
 Defined results: a null text has no lines, its row stays as it is; an empty text has one empty
-line; rows that share an id count as one document; input columns with the names of result
+line; a null id comes after all others, and rows with null ids count as rows that share an id;
+rows that share an id are dropped from each by its own text, and equal lines that stand at the same
+place of such rows are one line, so that all of them stay; input columns with the names of result
 columns are replaced. No text is shortened.
 """
 
@@ -27,7 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -36,8 +42,6 @@ EDITS = 2
 MIN_CHARS = 20
 #: an edit replaces one character by another
 BITS_PER_EDIT = 2
-#: up to so many ids of lines in pairs (16 MB) are broadcast; more are joined by a shuffle
-BROADCAST_IDS = 2_000_000
 _DROPS = "_line_drops"
 
 
@@ -54,25 +58,11 @@ def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     return start, size + (i > short).cast("int")
 
 
-def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], parts: int) -> DataFrame:
-    """(key, id, bits) of each line and place: how much smaller the other line is, segment, and
-    how far it has moved. A place per row keeps the compiled code of a key small."""
-    where = F.array(*[F.struct(F.lit(n).alias("less"), F.lit(i).alias("i"), F.lit(m).alias("move")) for n, i, m in places])
-    dealt = lines.select("id", "bits", "line", "size", F.explode(where).alias("p"))
-    other = F.col("size") - F.col("p.less")
-    start, size = _segment(other, F.col("p.i"), parts)
-    at = start + F.col("p.move")
-    key = F.xxhash64("p.i", other, F.substring(F.col("line"), at + 1, size))
-    return dealt.where((other > 0) & (at >= 0) & (at + size <= F.col("size"))).select(key.alias("key"), "id", "bits")
-
-
-def index_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The keys of the lines' own segments."""
-    return _keyed(lines, [(0, i, 0) for i in range(1, edits + 2)], edits + 1)
-
-
-def probe_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The keys under which a line may find a near line of its own or a smaller length."""
+def keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(key, own, id, first): the keys under which a line may find a near line of its own or a
+    smaller length; the ``own`` ones are those of its own segments, where it is found. A place per
+    row (how much smaller the other line is, segment, how far it has moved) keeps the compiled code
+    of a key small."""
     parts = edits + 1
     places = [
         (less, i, move)
@@ -80,7 +70,16 @@ def probe_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         for i in range(1, parts + 1)
         for move in range(max(-(i - 1), less - (parts - i)), min(i - 1, less + (parts - i)) + 1)
     ]
-    return _keyed(lines, places, parts)
+    where = F.array(*[F.struct(F.lit(n).alias("less"), F.lit(i).alias("i"), F.lit(m).alias("move")) for n, i, m in places])
+    dealt = lines.select("id", "first", "line", "size", F.explode(where).alias("p"))
+    other = F.col("size") - F.col("p.less")
+    start, size = _segment(other, F.col("p.i"), parts)
+    at = start + F.col("p.move")
+    key = F.xxhash64("p.i", other, F.substring(F.col("line"), at + 1, size))
+    own = (F.col("p.less") == 0) & (F.col("p.move") == 0)
+    return dealt.where((other > 0) & (at >= 0) & (at + size <= F.col("size"))).select(
+        key.alias("key"), own.alias("own"), "id", "first"
+    )
 
 
 def symbol_parity(line: Column) -> Column:
@@ -153,80 +152,102 @@ def _characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _occurrences(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(doc, pos, line) of lines that are compared."""
+def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, row, pos, line) of all lines that are not blank; ``row`` tells the texts of an id apart."""
     line = F.btrim(F.col("raw"), F.lit(" \t\x0b\f\r"))
     return (
-        docs.select(F.col(key).cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-        .select("doc", "pos", line.alias("line"))
-        .where(F.length("line") >= min_chars)
+        docs.select(
+            F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "raw")
+        )
+        .select("doc", "row", "pos", line.alias("line"))
+        .where(F.length("line") > 0)
     )
 
 
 def _order() -> Column:
-    """Place of a line in the corpus, as one number."""
-    return F.col("doc").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
+    """Place of a line in the corpus, as one number; without an id after all others."""
+    doc = F.coalesce(F.col("doc").cast("decimal(19,0)"), F.lit(str(1 << 63)).cast("decimal(19,0)"))
+    return doc * F.lit(10**10).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs of different lines within the distance: structs x and y of the columns of
-    ``lines``, which are id, line, size (in characters), bits (``symbol_parity``) and others."""
-    left = index_keys(lines, edits).select("key", F.col("id").alias("x"), F.col("bits").alias("xb"))
-    right = probe_keys(lines, edits).select("key", F.col("id").alias("y"), F.col("bits").alias("yb"))
+def near_later(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Ids of the lines with an earlier near line. ``lines``: id, line, size (in characters), first (a
+    number that orders them)."""
+    key = Window.partitionBy("key")
+    place = F.struct("first", "id")
     met = written(
-        left.join(right, "key")
-        .where((F.col("x") != F.col("y")) & (F.bit_count(F.col("xb").bitwiseXOR(F.col("yb"))) <= BITS_PER_EDIT * edits))
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        .distinct(),
-        "line_pairs",
+        keyed(lines, edits)
+        .select(
+            "key", "own", "id", "first",
+            F.min("id").over(key).alias("low"), F.max("id").over(key).alias("high"),
+            F.min(F.when(F.col("own"), place)).over(key).alias("o"), F.min(place).over(key).alias("a"),
+        )
+        .where((F.col("low") != F.col("high")) & F.col("o").isNotNull())
+        .select("key", "own", "id", "first", "o", "a"),
+        "met_lines",
     )
-    ids = written(met.select(F.col("x").alias("id")).union(met.select("y")).distinct(), "line_ids")
-    small = ids.count() <= BROADCAST_IDS
-    texts = lines.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    whole = [F.struct(*[F.col(c) for c in lines.columns])]
-    return (
-        met.join(texts.select(F.col("id").alias("x"), whole[0].alias("_a")), "x")
-        .join(texts.select(F.col("id").alias("y"), whole[0].alias("_b")), "y")
-        .where(within(F.col("_a.line"), F.col("_b.line"), edits))
-        .select(F.col("_a").alias("x"), F.col("_b").alias("y"))
+    texts = written(
+        lines.join(met.select("id").distinct(), "id", "left_semi").select("id", "line", symbol_parity(F.col("line")).alias("bits")),
+        "met_texts",
     )
 
+    def alike(x: Column, y: Column) -> Column:
+        return F.bit_count(x.bitwiseXOR(y)) <= BITS_PER_EDIT * edits
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = texts.select("id", F.col("line").alias("b"), F.col("bits").alias("b_bits"))
+        other = texts.select(F.col("id").alias("x"), F.col("line").alias("a"), F.col("bits").alias("a_bits"))
+        both = pairs.join(one, "id").join(other, "x")
+        return both.where(alike(F.col("a_bits"), F.col("b_bits")) & within(F.col("a"), F.col("b"), edits)).select("id").distinct()
+
+    earliest = met.where("o.first < first").select("id", F.col("o.id").alias("x")).union(
+        met.where("own AND a.first < first").select("id", F.col("a.id").alias("x"))
+    )
+    settled = written(verified(earliest.distinct()), "settled_lines")
+    parity = texts.select("id", "bits")
+    # a line without an earlier one under any key is settled, too
+    left = met.where("a.first < first").join(settled, "id", "left_anti").join(parity, "id")
+    before = met.join(parity, "id").select(
+        "key", F.col("id").alias("x"), F.col("own").alias("x_own"), F.col("first").alias("x_first"), F.col("bits").alias("x_bits")
+    )
+    compared = (F.col("x") == F.col("o.id")) | (F.col("own") & (F.col("x") == F.col("a.id")))
+    further = left.join(before, "key").where(
+        (F.col("x_first") < F.col("first")) & (F.col("own") | F.col("x_own")) & ~compared & alike(F.col("bits"), F.col("x_bits"))
+    )
+    return settled.union(verified(written(further.select("id", "x").distinct(), "line_pairs")))
+
 
 def dedup(
     docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS
 ) -> DataFrame:
     """All columns of ``docs`` with the kept lines as text, and ``n_lines``, ``n_equal`` and
     ``n_near`` (lines dropped as equal to or near an earlier one; equal comes first)."""
+    identity = [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check")]
     lines = written(
-        _occurrences(docs, key, text, min_chars)
+        _occurrences(docs, key, text)
         .groupBy("line")
         .agg(F.min(_order()).alias("first"), F.count("pos").alias("n"))
-        .select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("size"), symbol_parity(F.col("line")).alias("bits"), "first", "n"),
+        .select(*identity, "line", F.length("line").alias("size"), "first", "n"),
         "lines",
     )
-    near = near_lines(lines, edits)
-    later = (
-        near.select(F.when(F.col("x.first") < F.col("y.first"), F.col("y.id")).otherwise(F.col("x.id")).alias("id"))
-        .distinct()
-        .withColumn("near", F.lit(True))
-    )
+    later = near_later(lines.where(F.col("size") >= min_chars), edits).withColumn("near", F.lit(True))
     doomed = written(
-        lines.select("id", "first", "n").join(later, "id", "left")
+        lines.select("id", "check", "first", "n").join(later, "id", "left")
         .where((F.col("n") > 1) | F.col("near"))
-        .select("id", "first", F.coalesce("near", F.lit(False)).alias("near")),
+        .select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near")),
         "doomed_lines",
     )
     drops = (
-        _occurrences(docs, key, text, min_chars)
-        .select("doc", "pos", F.xxhash64("line").alias("id"))
-        .join(doomed, "id")
+        _occurrences(docs, key, text)
+        .select("doc", "row", "pos", *identity)
+        .join(doomed, ["id", "check"])
         .withColumn("again", _order() != F.col("first"))
         .where(F.col("again") | F.col("near"))
-        .select("doc", "pos", "again")
-        .distinct()  # rows may share an id
-        .groupBy("doc")
+        .select("doc", "row", "pos", "again")
+        .distinct()  # rows may be repeated
+        .groupBy("doc", "row")
         .agg(
-            F.collect_list("pos").alias("at"),  # of one document
+            F.collect_list("pos").alias("at"),  # of one text
             F.count_if("again").alias("n_equal"),
             F.count_if(~F.col("again")).alias("n_near"),
         )
@@ -238,9 +259,10 @@ def dedup(
         places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(f"{_DROPS}.at"))
         return F.array_join(F.transform(places, lambda i: F.get(all_lines, i)), "\n")
 
-    return docs.alias("d").join(drops.alias(_DROPS), F.col(f"d.{key}").cast("long") == F.col(f"{_DROPS}.doc"), "left").select(
+    same = F.col(f"d.{key}").cast("long").eqNullSafe(F.col(f"{_DROPS}.doc")) & (F.xxhash64(f"d.{text}") == F.col(f"{_DROPS}.row"))
+    return docs.alias("d").join(drops.alias(_DROPS), same, "left").select(
         *[F.col(f"d.{c}") for c in rest],
-        F.when(F.col(f"{_DROPS}.doc").isNull(), F.col(f"d.{text}")).otherwise(let(split, kept)).alias(text),
+        F.when(F.col(f"{_DROPS}.at").isNull(), F.col(f"d.{text}")).otherwise(let(split, kept)).alias(text),
         F.when(F.col(f"d.{text}").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
         F.coalesce(f"{_DROPS}.n_equal", F.lit(0)).alias("n_equal"),
         F.coalesce(f"{_DROPS}.n_near", F.lit(0)).alias("n_near"),

@@ -147,11 +147,11 @@ WITH occ AS (
     FROM documents
   )
 ), lines AS (
-  SELECT line, min((doc_id, pos)) AS first FROM occ WHERE length(line) >= 20 GROUP BY line
+  SELECT line, min((doc_id, pos)) AS first FROM occ WHERE line <> '' GROUP BY line
 ), near AS (
   SELECT DISTINCT y.line
-  FROM (SELECT line, first, unnest(range(length(line) - 2, length(line) + 3)) AS size FROM lines) x
-  JOIN lines y ON x.size = length(y.line) AND x.first < y.first
+  FROM (SELECT line, first, unnest(range(length(line) - 2, length(line) + 3)) AS size FROM lines WHERE length(line) >= 20) x
+  JOIN lines y ON length(y.line) >= 20 AND x.size = length(y.line) AND x.first < y.first
   WHERE levenshtein(x.line, y.line) <= 2
 ), judged AS (
   SELECT o.doc_id, o.pos, l.first IS NOT NULL AND (o.doc_id, o.pos) <> l.first AS again, n.line IS NOT NULL AS near

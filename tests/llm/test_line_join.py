@@ -40,19 +40,30 @@ def test_banded_distance(spark):
             assert r.w == (distance(r.a, r.b) <= k), (r.a, r.b, k)
 
 
-def test_near_lines_match_brute_force(spark):
+def test_later_near_lines_match_brute_force(spark):
     rng = random.Random(4)
     found = set()
     for _ in range(12):
         base = "".join(rng.choices("abcd 12ñ", k=rng.randint(6, 30)))
-        found |= {edited(rng, base, rng.randint(0, 3), "abcd 12ñ") for _ in range(5)}
+        found |= {edited(rng, base, rng.randint(0, 3), "abcd 12ñ") for _ in range(8)}
     rows = list(enumerate(sorted(x for x in found if len(x) > 3)))
-    lines = spark.createDataFrame(rows, "id long, line string").withColumns(
-        {"size": F.length("line"), "bits": L.symbol_parity(F.col("line"))}
-    )
+    rng.shuffle(rows)  # the order is not that of the ids
+    frame = [(100 - i, line, at) for at, (i, line) in enumerate(rows)]
+    lines = spark.createDataFrame(frame, "id long, line string, first int").withColumn("size", F.length("line"))
     for k in (1, 2):
-        got = {tuple(sorted((r.x.id, r.y.id))) for r in L.near_lines(lines, k).collect()}
-        assert got == {(i, j) for i, a in rows for j, b in rows if i < j and distance(a, b) <= k}
+        got = sorted(r.id for r in L.near_later(lines, k).collect())
+        assert got == sorted(i for i, b, y in frame if any(x < y and distance(a, b) <= k for _, a, x in frame))
+
+
+def test_family_without_its_earliest_as_centre(spark):
+    """Copies two edits from a centre that comes last: most are far from the earliest one."""
+    rng = random.Random(5)
+    base = "the quick brown fox jumps over the lazy dog"
+    rows = [edited(rng, base, 2) for _ in range(150)] + [base]
+    frame = [(i, line, i) for i, line in enumerate(dict.fromkeys(rows))]
+    lines = spark.createDataFrame(frame, "id long, line string, first int").withColumn("size", F.length("line"))
+    got = sorted(r.id for r in L.near_later(lines).collect())
+    assert got == [i for i, b, y in frame if any(x < y and distance(a, b) <= 2 for _, a, x in frame)]
 
 
 def brute(rows, edits=2, least=20):
@@ -62,13 +73,18 @@ def brute(rows, edits=2, least=20):
     )
     first = {}
     for place, line in order:
-        if len(line) >= least:
+        if line:
             first.setdefault(line, place)
-    drop = {
-        place for place, line in order if len(line) >= least and (
-            first[line] != place
-            or any(f < place and m != line and distance(line, m) <= edits for m, f in first.items()))
+    sized = {}
+    for line, place in first.items():
+        if len(line) >= least:
+            sized.setdefault(len(line), []).append((line, place))
+    near = {
+        line for line, place in first.items() if len(line) >= least and any(
+            f < place and m != line and distance(line, m) <= edits
+            for n in range(len(line) - edits, len(line) + edits + 1) for m, f in sized.get(n, ()))
     }
+    drop = {place for place, line in order if line and (first[line] != place or line in near)}
     return {
         doc: None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if (doc, i) not in drop)
         for doc, text in rows
@@ -97,3 +113,28 @@ def test_repeated_rows_and_empty_table(docs):
     rows = L.dedup(docs(line, line, f"x\n{line}.", ids=[1, 1, 2])).collect()
     assert sorted((r.doc_id, r.text) for r in rows) == [(1, line), (1, line), (2, "x")]
     assert L.dedup(docs("a").limit(0)).count() == 0
+
+
+def test_short_equal_lines_go(docs):
+    rows = L.dedup(docs("short\nA.\n\n ", "A.\nshort\nshore\n\n")).collect()
+    assert {r.doc_id: (r.text, r.n_equal, r.n_near) for r in rows} == {
+        0: ("short\nA.\n\n ", 0, 0), 1: ("shore\n\n", 2, 0)}
+
+
+def test_null_and_shared_ids(docs):
+    line, other = "a line of more than twenty characters", "another line of some thirty characters"
+    rows = L.dedup(docs(line, f"{line}\n{other}", f"{other}\nx", None, ids=[None, 7, None, None])).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in rows) == sorted(
+        [("None", ""), ("7", f"{line}\n{other}"), ("None", "x"), ("None", "None")])
+    # texts of one id are told apart: what goes from one stays in the other
+    rows = L.dedup(docs(f"{line}\nalpha", "beta\ngamma", f"delta\n{line}", ids=[1, 2, 2])).collect()
+    assert sorted(r.text for r in rows) == sorted([f"{line}\nalpha", "beta\ngamma", "delta"])
+
+
+def test_clashing_names_and_long_lines(spark):
+    long = "word " * 30_000
+    rows = [(1, long, 5, "a", "b", "c"), (2, f"{long[:70_000]}x{long[70_000:]}\nend", 6, "a", "b", "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_equal string, n_near string, line string")
+    got = {r.doc_id: r for r in L.dedup(frame).collect()}
+    assert got[1].text == long and got[2].text == "end" and got[2].line == "c"
+    assert (got[2].n_lines, got[2].n_equal, got[2].n_near) == (2, 0, 1)
