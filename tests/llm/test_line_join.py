@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -78,11 +79,11 @@ def brute(rows, edits=2, least=20):
     sized = {}
     for line, place in first.items():
         if len(line) >= least:
-            sized.setdefault(len(line), []).append((line, place))
+            sized.setdefault(len(line), []).append((line, Counter(line), place))
     near = {
-        line for line, place in first.items() if len(line) >= least and any(
-            f < place and m != line and distance(line, m) <= edits
-            for n in range(len(line) - edits, len(line) + edits + 1) for m, f in sized.get(n, ()))
+        line for n, same in sized.items() for line, letters, place in same if any(
+            f < place and sum((letters - other).values()) <= edits and distance(line, m) <= edits
+            for k in range(n - edits, n + edits + 1) for m, other, f in sized.get(k, ()))
     }
     drop = {place for place, line in order if line and (first[line] != place or line in near)}
     return {

@@ -1,6 +1,9 @@
+import pytest
+
 import corpus_pipeline as C
-from mediasignals.llm.queries import TOKENIZER
 from mediasignals.llm.piece_lattice import Vocabulary
+from mediasignals.llm.queries import TOKENIZER
+from mediasignals.session import written
 
 from .conftest import SF
 from .test_line_join import brute as kept_lines
@@ -9,45 +12,69 @@ from .test_quality_rules import brute as counts
 from .test_wu_manber import brute as hits
 
 
-def test_stages_match_brute_force(spark):
+@pytest.fixture(scope="module")
+def stages(spark):
+    """Each stage written once: name -> frame."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r.doc_id: r for r in docs.collect()}
-    columns = docs.columns
+    made = {"documents": docs}
+    for name, stage in C.STAGES:
+        docs = made[name] = written(stage(spark, docs, SF), "tested")
+    return made
+
 
+def texts_of(frame):
+    return {r.doc_id: r.text for r in frame.collect()}
+
+
+def test_quality(stages):
+    before, good = texts_of(stages["documents"]), texts_of(stages["quality rules"])
     # too few labels here to certify a cutoff: the base rule decides
-    good = C.quality(spark, docs, SF)
-    n = {i: counts(r.text) for i, r in rows.items()}
-    want = {i for i in rows if n[i][0] >= 50 and 100 * n[i][4] <= 50 * n[i][0]}
-    assert good.columns == columns and {r.doc_id for r in good.collect()} == want
-
-    lines = C.lines(spark, good, SF)
-    texts = {i: t for i, t in kept_lines([(i, rows[i].text) for i in sorted(want)]).items() if t.strip()}
-    got = {r.doc_id: r for r in lines.collect()}
-    assert lines.columns == columns and {i: r.text for i, r in got.items()} == texts
-    assert all(r.n_chars == len(r.text) for r in got.values() if r.text != rows[r.doc_id].text)
-
-    single = C.near_duplicates(spark, lines, SF)
-    texts = {i: texts[i] for i, _, least in groups(sorted(texts.items())) if i == least}
-    assert single.columns == columns and {r.doc_id: r.text for r in single.collect()} == texts
-
-    clean = C.decontamination(spark, single, SF)
+    n = {i: counts(t) for i, t in before.items()}
+    assert good == {i: t for i, t in before.items() if n[i][0] >= 50 and 100 * n[i][4] <= 50 * n[i][0]}
+    assert stages["quality rules"].columns == stages["documents"].columns
+
+
+def test_lines(stages):
+    before, rows = texts_of(stages["quality rules"]), {r.doc_id: r for r in stages["line dedup"].collect()}
+    want = {i: t for i, t in kept_lines(sorted(before.items())).items() if t.strip()}
+    assert {i: r.text for i, r in rows.items()} == want
+    assert all(r.n_chars == len(r.text) for r in rows.values() if r.text != before[r.doc_id])
+    assert stages["line dedup"].columns == stages["documents"].columns
+
+
+def test_near_duplicates(stages):
+    before = texts_of(stages["line dedup"])
+    want = {i: before[i] for i, _, least in groups(sorted(before.items())) if i == least}
+    assert texts_of(stages["n-gram Jaccard join"]) == want
+    assert stages["n-gram Jaccard join"].columns == stages["documents"].columns
+
+
+def test_decontamination(spark, stages):
+    before = texts_of(stages["n-gram Jaccard join"])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    texts = {i: t for (i, t), (_, hit, _) in zip(texts.items(), hits(texts.values(), items), strict=True) if not hit}
-    assert clean.columns == columns and {r.doc_id: r.text for r in clean.collect()} == texts
+    want = {i: t for (i, t), (_, hit, _) in zip(before.items(), hits(before.values(), items), strict=True) if not hit}
+    assert texts_of(stages["benchmark decontamination"]) == want
+    assert stages["benchmark decontamination"].columns == stages["documents"].columns
+
+
+def test_tokens(stages):
+    before, vocabulary = texts_of(stages["benchmark decontamination"]), Vocabulary.load(TOKENIZER)
+    out = {r.doc_id: r for r in stages["SentencePiece encoding"].collect()}
+    assert set(out) == set(before)
+    assert all(r.exact and vocabulary.decode(r.ids) == before[i] for i, r in out.items())
+
 
-    vocabulary = Vocabulary.load(TOKENIZER)
-    out = {r.doc_id: r for r in C.tokens(spark, clean, SF).collect()}
-    assert set(out) == set(texts)
-    assert all(r.exact and vocabulary.decode(r.ids) == texts[i] for i, r in out.items())
-    assert {r.doc_id for r in C.run(spark, SF).collect()} == set(texts)
+def test_run_chains_the_stages(spark, stages):
+    got = {r.doc_id: r.ids for r in C.run(spark, SF).select("doc_id", "ids").collect()}
+    assert got == {r.doc_id: r.ids for r in stages["SentencePiece encoding"].select("doc_id", "ids").collect()}
 
 
-def test_stages_take_odd_rows(spark):
+@pytest.mark.parametrize("name, stage", C.STAGES, ids=[n for n, _ in C.STAGES])
+def test_stage_takes_odd_rows(spark, name, stage):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "x " * 60, "en", "s", 1), (3, "long line " * 9, None, "s", 5)]
     odd = spark.createDataFrame(rows + rows[3:], schema)
-    for _, stage in C.STAGES:
-        assert stage(spark, odd.limit(0), SF).count() == 0
-        stage(spark, odd, SF).collect()
-    assert {r.doc_id for r in C.near_duplicates(spark, odd, SF).collect()} == {1, 2, 3, None}
-    assert C.near_duplicates(spark, odd, SF).count() == 4
+    assert stage(spark, odd.limit(0), SF).count() == 0
+    kept = stage(spark, odd, SF).select("doc_id").collect()
+    if name == "n-gram Jaccard join":
+        assert {r.doc_id for r in kept} == {1, 2, 3, None} and len(kept) == 4
