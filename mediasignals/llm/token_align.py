@@ -13,6 +13,11 @@ shuffled once for each block and not for each link, also those of the most commo
 over the corpus, and the highest count of each id of B, come back to the blocks that hold the pair;
 the measures of each text go to its documents by the SHA-256 of the text.
 
+Neither tokenizer joins what stands before a space to the space, unless a piece of B says otherwise:
+the pre-tokens of A end before a space that follows a letter, digit or sign, and so do the pieces of B.
+A text is therefore cut there, and a chunk (a word, mostly) that a worker remembers is not
+tokenised and aligned again. A text with a chunk whose bytes differ is encoded as a whole.
+
 Defined results: null and empty texts, and texts whose bytes the tokens do not give back (B may
 change them), have no tokens: zeros and an empty group column; equal texts have equal measures;
 rows that share an id and repeated rows are counted and returned as they stand; an empty table gives
@@ -23,6 +28,7 @@ are never shortened; a very long one is a block by itself.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -40,7 +46,10 @@ from .text_np import pieces
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1 << 16
 #: bytes of text that are tokenised at once
-STEP_BYTES = 1 << 18
+STEP_BYTES = 1 << 19
+#: a space that follows a printed sign, and is not the last character
+CUT = re.compile("(?s)(?<=[!-~\u00a1-\u024f])(?= .)")
+_REMEMBERED = 600_000
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -88,6 +97,83 @@ class Pair:
         ]
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        # a piece of B that goes on after a space would join two chunks
+        self.chunked = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.groups: list[str | None] = []
+        self.sizes, self.start, self.links = np.zeros((0, 3), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the groups and links of chunks, each with its space in front."""
+        sizes, flat, ends = [], [], []
+        found = self.a.encode_batch_fast(chunks, add_special_tokens=False)
+        for c, a, b in zip(chunks, found, self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True):
+            a, raw = a.ids, c.encode()
+            parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+            self.index[c] = len(self.groups)
+            if b"".join(parts_a) != raw or b"".join(parts_b) != raw or b"" in parts_a or b"" in parts_b:
+                self.groups.append(None)
+                sizes.append((0, 0, 0))
+            else:
+                groups, i, j, p, q = [], 0, 0, 0, 0
+                at_a = at_b = 0
+                while p < len(a):
+                    at_a += len(parts_a[p])
+                    p += 1
+                    while at_b < at_a:
+                        at_b += len(parts_b[q])
+                        q += 1
+                    if at_a == at_b:
+                        groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
+                        flat.append(b[q - 1] << 32 | a[p - 1])
+                        i, j = p, q
+                self.groups.append(";".join(groups))
+                sizes.append((len(a), len(b), len(groups)))
+            ends.append(len(flat))
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.array(ends, np.int64)])
+        self.links = np.concatenate([self.links, np.array(flat, np.int64)])
+
+    def measure(self, texts: list[str]) -> Iterator[tuple[int, int, int, str | None, np.ndarray]]:
+        """Of each text: tokens of A and B, groups, the groups spelled out (none without tokens), and
+        the links as ``b << 32 | a``."""
+        if not self.chunked:
+            yield from map(self.whole, texts)
+            return
+        if len(self.index) > _REMEMBERED:
+            self._forget()
+        parts = [CUT.split(f" {t}") if t else [] for t in texts]
+        chunks = [c for p in parts for c in p]
+        new = list({c for c in chunks if c not in self.index})
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        begin, size = self.start[at], self.start[at + 1] - self.start[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        links = self.links[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(self.sizes[at], axis=0)])
+        groups = [self.groups[i] for i in at.tolist()]
+        low = 0
+        for t, p in zip(texts, parts, strict=True):
+            high = low + len(p)
+            spelled = groups[low:high]
+            if not p or None in spelled:
+                yield self.whole(t)
+            else:
+                n_a, n_b, n = (sums[high] - sums[low]).tolist()
+                yield n_a, n_b, n, ";".join(spelled), links[ends[low] : ends[high]]
+            low = high
+
+    def whole(self, text: str) -> tuple[int, int, int, str | None, np.ndarray]:
+        """The same of one text at once."""
+        (a, b), = self.encode([text])
+        if not a:
+            return 0, 0, 0, None, np.zeros(0, np.int64)
+        count, groups, link_a, link_b = self.align(a, b)
+        return len(a), len(b), count, groups, link_b << 32 | link_a
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of each text by A and B; no ids where their bytes are not the text's."""
@@ -164,12 +250,11 @@ def blocks(texts: DataFrame, tokenizers: Tokenizers) -> DataFrame:
             plain = batch.column(batch.schema.get_field_index("text")).to_pylist()
             weight = batch.column(batch.schema.get_field_index("n")).to_numpy(zero_copy_only=False)
             rows, codes, times = [], [], []
-            for t, (a, b) in zip(plain, _steps(pair, plain), strict=True):
-                count, groups, link_a, link_b = pair.align(a, b) if a else (0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-                own, n = np.unique((link_b << 32) | link_a, return_counts=True)
+            for t, (n_a, n_b, count, groups, links) in zip(plain, _steps(pair, plain), strict=True):
+                own, n = np.unique(links, return_counts=True)
                 codes.append(own), times.append(n)
-                spelled = hashlib.sha256(groups.encode()).hexdigest() if a else ""
-                rows.append((hashlib.sha256(t.encode()).digest(), len(a), len(b), count, len(link_a), spelled))
+                spelled = "" if groups is None else hashlib.sha256(groups.encode()).hexdigest()
+                rows.append((hashlib.sha256(t.encode()).digest(), n_a, n_b, count, len(links), spelled))
             flat = np.concatenate(codes)
             pairs, place = np.unique(flat, return_inverse=True)
             weights = np.zeros(len(pairs), np.int64)
@@ -188,14 +273,14 @@ def blocks(texts: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     return texts.select("text", "n").mapInArrow(run, _BLOCK)
 
 
-def _steps(pair: Pair, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+def _steps(pair: Pair, texts: list[str]) -> Iterator[tuple[int, int, int, str | None, np.ndarray]]:
     low = 0
     while low < len(texts):
         size, high = 0, low
         while high < len(texts) and (high == low or size + len(texts[high]) <= STEP_BYTES):
             size += len(texts[high])
             high += 1
-        yield from pair.encode(texts[low:high])
+        yield from pair.measure(texts[low:high])
         low = high
 
 

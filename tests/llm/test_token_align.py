@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -108,6 +109,20 @@ def test_odd_texts_match_brute_force(spark, models):
     assert token_align.align(frame.limit(0), files).count() == 0
 
 
+def test_chunks_give_what_whole_texts_give():
+    pair = token_align.Pair(token_align.Tokenizers.load(BYTE_BPE, TOKENIZER))
+    assert pair.chunked
+    rng = random.Random(3)
+    signs = [" ", "  ", "a", "é", "ß", "\n", "\t", "\u00a0", "\u3000", "\u2581", "x's", ".", "12", "\u00ad", "\u0301", "日", "\U0001f642", "\x85", "'ll", "\u2009"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(3000)] + [t for t in ODD if t]
+    for t, (n_a, n_b, n, groups, links) in zip(texts, pair.measure(texts), strict=True):
+        whole = pair.whole(t)
+        assert (n_a, n_b, n, groups, links.tolist()) == (*whole[:4], whole[4].tolist()), repr(t)
+    pair._forget()
+    pair.chunked = False
+    assert [x[:4] for x in pair.measure(texts[:50])] == [pair.whole(t)[:4] for t in texts[:50]]
+
+
 def test_small_blocks_change_nothing(spark, models, monkeypatch):
     monkeypatch.setattr(token_align, "BLOCK_BYTES", 300)
     monkeypatch.setattr(token_align, "STEP_BYTES", 50)
