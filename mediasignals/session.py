@@ -72,7 +72,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     """Write ``df`` as a shared table and read it back: lineage ends at durable files.
 
     Used where one expensive frame feeds several jobs. Unlike a cached frame the
-    table survives lost executors.
+    table survives lost executors. ``discard`` removes it when its last reader has been written.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
@@ -80,4 +80,14 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frame = spark.read.schema(df.schema).parquet(path)
+    frame._written_to = path
+    return frame
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of ``written`` frames; nothing that is still to run may read them."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame._written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
