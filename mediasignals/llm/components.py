@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def connected(links: DataFrame) -> DataFrame:
     links = written(links.where("a <> b").select("a", "b").distinct(), "links")
     before = None
     while True:
-        links = written(_stars(_stars(links, large=True), large=False), "links")
+        former, links = links, written(_stars(_stars(links, large=True), large=False), "links")
+        discard(former)
         # the same links again: every node points at its root
         state = links.agg(F.count("a"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:

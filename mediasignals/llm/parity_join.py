@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 from .components import connected
 from .text_np import SPACED_LOWER, Texts, mix, owners, pieces, windows
 
@@ -396,7 +396,9 @@ def verified(pairs: DataFrame, classes: DataFrame, measured: DataFrame, docs: Da
     )
     common = F.size(F.array_intersect("x", "y"))
     joined = F.size("x") + F.size("y") - common
-    return both.where(SHARE[1] * common >= SHARE[0] * joined).select("a", "b")
+    linked = written(both.where(SHARE[1] * common >= SHARE[0] * joined).select("a", "b"), "linked_pairs")
+    discard(near, closer, sets)
+    return linked
 
 
 def _members(pairs: DataFrame) -> DataFrame:
@@ -420,30 +422,43 @@ def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarr
 
 
 def _crowded_pairs(members: DataFrame, roots: DataFrame, measured: DataFrame, forest: bool) -> DataFrame:
-    """Near pairs of different components among the members of large keys: (key, a, b), key
+    """Near pairs of different components among the members of large keys, written: (key, a, b), key
     null. Where ``forest`` leaves out pairs of a key, a row has that key and no pair."""
     labelled = (
         members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left")
         .select("key", F.col("a").alias("class"), F.coalesce("root", "a").alias("root"))
     )
+    # of each key the component with most members, and how many members it and the others have
+    most = (
+        labelled.groupBy("key", "root").agg(F.count("class").alias("m"))
+        .groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("all"))
+        .where(F.col("all") > F.col("main.m"))
+    )
+    marks = labelled.groupBy("key").agg(
+        F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")
+    )
     sizes = (
-        labelled.groupBy("key")
-        .agg(
-            F.count("class").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"),
-            F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"),
+        most.join(marks, "key")
+        .groupBy("all", "x", "y").agg(F.min(F.struct("key", "main")).alias("first"))  # keys with the same members
+        .select(
+            "first.key", F.col("first.main.root").alias("main"),
+            F.ceil(F.col("first.main.m") / BLOCK).cast("int").alias("inside"),
+            F.ceil((F.col("all") - F.col("first.main.m")) / BLOCK).cast("int").alias("outside"),
         )
-        .where("low <> high")
-        .groupBy("m", "x", "y").agg(F.min("key").alias("key"))  # keys with the same members
-        .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     )
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     left = written(labelled.join(sizes, "key"), "crowds")
     sketched = measured.select("class", "n", "wide").join(left.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+    # members of the main component, in blocks of their own, meet the blocks of the others only;
+    # these meet all blocks
+    is_main = F.col("root") == F.col("main")
+    hashed = F.xxhash64("class")
+    own = F.when(is_main, F.pmod(hashed, "inside")).otherwise(F.col("inside") + F.pmod(hashed, "outside")).cast("int")
+    low = F.when(is_main, F.col("inside")).otherwise(F.lit(0))
     dealt = (
         left
         .join(sketched, "class")
-        .withColumn("own", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(low, F.col("inside") + F.col("outside") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     )
     fields = ["key", "i", "j", "own", "class", "root", "n"]
@@ -515,7 +530,10 @@ def _crowded_pairs(members: DataFrame, roots: DataFrame, measured: DataFrame, fo
 
     order = ("key", "i", "j")
     rows = dealt.select(*[F.col(c).cast("long") for c in fields], "wide")
-    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "key BIGINT, a BIGINT, b BIGINT")
+    met = rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "key BIGINT, a BIGINT, b BIGINT")
+    crowded = written(met, "crowded")
+    discard(left)
+    return crowded
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -531,18 +549,23 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         keyed(docs, common_slots(docs, text), text).repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meet, "key BIGINT, a BIGINT, b BIGINT"),
         "meetings",
     )
-    links = written(verified(met.where(F.col("b").isNotNull()), classes, measured, docs, text), "links")
+    links = verified(met.where(F.col("b").isNotNull()), classes, measured, docs, text)
     roots = connected(links)
     members = met.where(F.col("b").isNull()).select("key", "a")
+    spent = [met]
     for forest in (True, False):
         if members.isEmpty():
             break
-        crowded = written(_crowded_pairs(members, roots, measured, forest), "crowded")
+        crowded = _crowded_pairs(members, roots, measured, forest)
+        spent.append(crowded)
         pairs = crowded.where(F.col("key").isNull())
         if not pairs.isEmpty():
-            links = written(links.union(verified(pairs, classes, measured, docs, text)), "links")
+            more = verified(pairs, classes, measured, docs, text)
+            former, links = links, written(links.union(more), "links")
+            discard(former, more)
             roots = connected(links)
         members = members.join(crowded.where(F.col("key").isNotNull()).select("key").distinct(), "key", "left_semi")
+    discard(*spent)
     rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
         "class", "doc", F.coalesce("root", "class").alias("root")
     )
