@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mediasignals.llm import line_join, parity_join, piece_lattice, quality_rules, wu_manber
 from mediasignals.llm.queries import TOKENIZER
 from mediasignals.llm.registry import table
-from mediasignals.session import tune, written
+from mediasignals.session import discard, tune, written
 
 #: token ids cannot be made in SQL; tests compare every stage with a brute-force version
 ORACLE_SQL = None
@@ -75,7 +75,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(tune(spark), sf_dir, "documents")
+    docs, former = table(tune(spark), sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if former is not None:
+            discard(former)
+        former = docs
     return docs
