@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_range
@@ -62,25 +64,35 @@ def d7(t):
     return rollup_of(t, "daily_source")
 
 
-@query("d8_rollup_all", f"""
-    select 'daily_global' as name, count(*) as n_rows, {big('sum(n_articles)')} as n_articles from g_star
-        where day {_RANGE}
-    union all select 'daily_topic', count(*), {big('sum(n_articles)')} from t_star where day {_RANGE}
-    union all select 'daily_region', count(*), {big('sum(n_articles)')} from r_star where day {_RANGE}
-    union all select 'daily_entity', count(*), {big('sum(mentions)')} from e_star where day {_RANGE}
-    union all select 'daily_source', count(*), {big('sum(n_articles)')} from s_star where day {_RANGE}""")
+_ALL_COLUMNS = {
+    "daily_global": {"n_relevant": "n_relevant", "n_mixed": "n_mixed", "n_sources": "n_sources", "n_deep": "n_deep"},
+    "daily_topic": {"id": "topic_id", "avg_score": "avg_score"},
+    "daily_region": {"id": "region_id", "key": "geo_level"},
+    "daily_entity": {"id": "entity_id", "n_articles": "mentions", "freq_total": "freq_total"},
+    "daily_source": {"key": "source", "n_relevant": "n_relevant"},
+}
+_ALL_TYPES = {
+    "id": "bigint", "key": "string", "n_articles": "bigint", "n_relevant": "bigint", "n_risk": "bigint",
+    "n_opportunity": "bigint", "n_mixed": "bigint", "n_sources": "bigint", "n_deep": "bigint",
+    "freq_total": "bigint", "avg_score": "double",
+}
+
+
+def _all_columns(name: str) -> str:
+    """Select list that puts every column of a rollup into the common form."""
+    own = {"n_articles": "n_articles", "n_risk": "n_risk", "n_opportunity": "n_opportunity"} | _ALL_COLUMNS[name]
+    return f"'{name}' as name, day, " + ", ".join(
+        f"cast({own.get(c, 'null')} as {kind}) as {c}" for c, kind in _ALL_TYPES.items())
+
+
+@query("d8_rollup_all", " union all ".join(
+    f"select {_all_columns(name)} from {rows} where day {_RANGE}"
+    for name, rows in zip(rollup.ROLLUPS, ("g_star", "t_star", "r_star", "e_star", "s_star"), strict=True)))
 def d8(t):
     days = date_range(t("articles"), _A, _B).select("day").distinct()
     made = rollup.rollup_all(t("articles"), t("article_topic"), t("article_entity"), days)
-    parts = []
-    for name, df in made.items():
-        measure = "mentions" if name == "daily_entity" else "n_articles"
-        parts.append(df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"),
-                            F.sum(measure).alias("n_articles")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return reduce(lambda x, y: x.union(y), [
+        df.selectExpr(*_all_columns(name).split(", ")) for name, df in made.items()])
 
 
 @query("d9_count_by_topic", f"""

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import classify, entities, frames, rollup
 from ..plans import daily, report
 from ..session import shared_dir, written
-from ..sources import tables
+from ..sources import reports, tables
+from ..sources.publish import Version
 from ..streaming import jobs
 from .frames_of import export_frame, local_frame, rollup_of
-from .q_relations import SUBREGION, _news_topic_table
+from .q_relations import _TOPIC_IDS, SUBREGION, _news_topic_table
 from .registry import query
 from .sql import any_of, big, fold, n_where, norm, pct, topic_list
 from .views import NEWS_AS_OF, NEWS_OPPORTUNITY, NEWS_RISK, NEWS_TOPICS
@@ -239,12 +242,57 @@ def _run(t) -> str:
     return root
 
 
-@query("n1_daily_run", """
-    select day, n_articles, n_relevant, n_risk, n_opportunity, n_mixed, n_sources from g_news""")
+_TOPIC_LINKS = f"""(select n.id as article_id, n.day, k.id as topic_id, n.risk
+    from (select id, day, risk, unnest(string_split(topics, ',')) as name from news_classified) n
+    join ({_TOPIC_IDS}) k on n.name = k.name)"""
+
+
+# every table and export of the run: rows of a day and one sum
+@query("n1_daily_run", f"""
+    select 'articles' as name, day, count(*) as n, {big('sum(relevant)')} as m from news_classified group by day
+    union all select 'article_topic', day, count(*), {big('sum(topic_id)')} from {_TOPIC_LINKS} l group by day
+    union all select 'daily_global', day, n_articles, n_sources from g_news
+    union all select 'daily_topic', day, count(*), {big('sum(risk)')} from {_TOPIC_LINKS} l group by day
+    union all select 'daily_region', day, {n_where('relevant = 1')}, {big('sum(opportunity)')}
+        from news_classified group by day having sum(relevant) > 0
+    union all select 'daily_source', day, count(*), count(distinct source) from news_classified group by day
+    union all select 'signals_csv', day, count(*), {big('sum(score)')} from news_classified
+        where risk = 1 or opportunity = 1 group by day
+    union all select 'dashboard_csv', day, count(*), {big('sum(risk)')} from news_classified
+        where relevant = 1 group by day
+    union all select 'payload', day, n_articles, n_risk from g_news
+    union all select 'warehouse_articles', day, count(*), {big('sum(score)')} from news_classified group by day
+    union all select 'warehouse_article_topic', day, count(*), {big('sum(topic_id)')} from {_TOPIC_LINKS} l group by day""")
 def n1(t):
-    root = _run(t)
-    stored = tables.read_rollup(t.spark, f"{root}/daily_global", schemas.DAILY_GLOBAL)
-    return stored.drop("n_deep")
+    version = Version.open(t.spark, _run(t))
+
+    def figures(name, rows, n, m):
+        return rows.groupBy("day").agg(F.lit(name).alias("name"), n.cast("long").alias("n"), m.cast("long").alias("m"))
+
+    def table(name, schema, n, m):
+        return figures(name, version.read(name, schema), n, m)
+
+    rows, total = F.count("*"), F.sum("n_articles")
+    dated = F.to_date("day").alias("day")
+    payload = reports.read_payload(t.spark, *version.paths("payload"))
+    metric = {n: F.sum(F.get_json_object("payload", f"$.metrics.{n}").cast("long")) for n in ("n_articles", "n_risk")}
+    board = frames.parse_dashboard_csv(reports.read_dashboard_csv(t.spark, *version.paths("dashboard_csv")))
+    parts = [
+        table("articles", schemas.ARTICLES, rows, F.sum("relevant")),
+        table("article_topic", daily.LINKED_TOPIC, rows, F.sum("topic_id")),
+        table("daily_global", schemas.DAILY_GLOBAL, total, F.sum("n_sources")),
+        table("daily_topic", schemas.DAILY_TOPIC, total, F.sum("n_risk")),
+        table("daily_region", schemas.DAILY_REGION, total, F.sum("n_opportunity")),
+        table("daily_source", schemas.DAILY_SOURCE, total, rows),
+        figures("signals_csv", reports.read_signal_csv(t.spark, *version.paths("signals_csv")), rows, F.sum("score")),
+        figures("dashboard_csv", board, rows, F.sum("risk")),
+        figures("payload", payload, metric["n_articles"], metric["n_risk"]),
+        figures("warehouse_articles", t.spark.read.parquet(*version.paths("warehouse_articles")).withColumn("day", dated),
+                rows, F.sum("score")),
+        figures("warehouse_article_topic", t.spark.read.parquet(*version.paths("warehouse_article_topic")),
+                rows, F.sum("topic_id")),
+    ]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @query("n2_backfill", f"""
@@ -258,11 +306,9 @@ def n2(t):
     rows = t("series").select(*[
         F.col(c).cast(k).alias(c) if c in t("series").columns else F.lit(None).cast(k).alias(c)
         for c, k in columns.items()])
-    store = daily.Store(t.spark, root, "first")
-    store.put("articles", rows.filter("risk = 1"), by_day=True)
-    daily.Store(t.spark, root, "second").put("articles", rows.filter("risk = 0"), by_day=True)
-    empty = {"article_topic": schemas.ARTICLE_TOPIC, "article_entity": schemas.ARTICLE_ENTITY}
-    for name, schema in empty.items():
-        store.put(name, t.spark.createDataFrame([], schema))
+    for run, part in (("first", "risk = 1"), ("second", "risk = 0")):
+        version = Version.open(t.spark, root, run)
+        version.put("articles", rows.filter(part), by_day=True)
+        version.publish()
     made = daily.run_backfill(t.spark, root, "2024-01-05", "2024-01-20")
     return made["daily_source"]

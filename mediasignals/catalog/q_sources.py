@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import dates, text
 from ..operators import counts, dims, frames, geo, ingest, listing, rollup
-from ..session import shared_dir
+from ..plans import report
+from ..session import shared_dir, written
 from ..sources import feeds, reports, tables
 from .frames_of import export_frame, news_classified, rollup_of, series_global
 from .registry import query
@@ -36,24 +37,52 @@ def a1(t):
     )
 
 
-@query("a2_source_catalogue", """
-    select source as name, lang as kind, count(*) as n_entries from documents
-    where lang = 'en' group by source, lang""")
+# one feed of each source and language; a broken line and one without a name for each language
+_FEEDS = """(select distinct source as name, lang as kind, case when source < 'm' then 'norte' else 'sur' end as region
+    from documents where source is not null and lang is not null) f"""
+
+
+@query("a2_source_catalogue", f"""
+    select 'kind' as chosen_by, name, kind, region from {_FEEDS} where kind = 'en'
+    union all select 'region', name, kind, region from {_FEEDS} where region = 'norte'
+    union all select 'tag', name, kind, region from {_FEEDS} where kind = 'de' and region = 'sur'
+    union all select 'rejected', kind || ' {{"name":', null, null from {_FEEDS} group by kind
+    union all select 'rejected', '{{"url":"u","kind":"' || kind || '"}}', null, null from {_FEEDS} group by kind""")
 def a2(t):
-    catalogue = t("documents").groupBy(F.col("source").alias("name"), F.col("lang").alias("kind")).agg(
-        F.count("*").alias("n_entries"), F.array(F.first("lang")).alias("tags")
-    )
-    return feeds.feeds_matching(catalogue, kind="en", tag="en").drop("tags")
+    path = shared_dir(t.spark, "catalogue")
+    rows = t.sql("""select distinct source, lang from documents where source is not null and lang is not null""")
+    region = F.when(F.col("source") < "m", "norte").otherwise("sur")
+    feed = F.struct(
+        F.col("source").alias("name"), F.concat(F.lit("feed://"), "source").alias("url"), F.col("lang").alias("kind"),
+        region.alias("region"), F.array("lang", F.concat("lang", F.lit("-"), region)).alias("tags"))
+    langs = rows.select("lang").distinct()
+    rows.select(F.to_json(feed).alias("value")).union(
+        langs.select(F.concat("lang", F.lit(' {"name":')))
+    ).union(langs.select(F.to_json(F.struct(F.lit("u").alias("url"), F.col("lang").alias("kind"))))).write.text(path)
+    feeds_ = feeds.read_catalogue(t.spark, path)
+    found = [
+        feeds.feeds_matching(feeds_, **by).select(F.lit(name).alias("chosen_by"), "name", "kind", "region")
+        for name, by in (("kind", {"kind": "en"}), ("region", {"region": "norte"}), ("tag", {"tag": "de-sur"}))
+    ]
+    none = F.lit(None).cast("string")
+    rejected = feeds.catalogue_rejects(t.spark, path).select(
+        F.lit("rejected"), "record", none.alias("kind"), none.alias("region"))
+    return found[0].union(found[1]).union(found[2]).union(rejected)
 
 
 @query("a3_dictionary_load", f"""
     select kind, grp as "group", {norm('term')} as term, min(ord) as first_ord
-    from keyword_rows group by 1, 2, 3""")
+    from keyword_rows group by 1, 2, 3
+    union all select 'rejected', null, '{{"kind": "topic", "group": "' || grp, null from keyword_rows group by grp""")
 def a3(t):
+    path = shared_dir(t.spark, "dictionary")
     rows = t("keyword_rows").withColumnRenamed("grp", "group")
-    return rows.groupBy("kind", "group", text.normalize_text("term").alias("term")).agg(
-        F.min("ord").alias("first_ord")
-    )
+    broken = rows.select(F.concat(F.lit('{"kind": "topic", "group": "'), "group")).distinct()
+    rows.select(F.to_json(F.struct("kind", "group", "term", "ord")).alias("value")).union(broken).write.text(path)
+    loaded = feeds.read_keywords(t.spark, path).groupBy(
+        "kind", "group", text.normalize_text("term").alias("term")).agg(F.min("ord").alias("first_ord"))
+    return loaded.union(feeds.keyword_rejects(t.spark, path).select(
+        F.lit("rejected"), F.lit(None).cast("string"), "record", F.lit(None).cast("int")))
 
 
 @query("a4_municipality_keys", f"""
@@ -138,10 +167,8 @@ def a8(t):
     totals = series_global(t).select(
         "day", F.concat(F.lit("total "), F.col("n_articles").cast("string")).alias("text"))
     totals.write.partitionBy("day").text(path)
-    files = t.spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"day=(\d{4}-\d{2}-\d{2})", 1)
-        .cast("date").alias("day"), F.btrim("value", F.lit("\n")).alias("text"))
-    return reports.latest_report(files, "2024-02-01")
+    latest = reports.latest_report(reports.read_reports(t.spark, path), "2024-02-01")
+    return latest.select("day", F.btrim("text", F.lit("\n")).alias("text"))
 
 
 @query("a9_signal_csv", f"""
@@ -150,9 +177,7 @@ def a8(t):
 def a9(t):
     path = shared_dir(t.spark, "signals")
     reports.write_signal_csv(news_classified(t), path)
-    schema = "day date, source string, title string, topics string, kind string, score int"
-    back = t.spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-    return back.option("multiLine", True).option("escape", '"').csv(path)
+    return reports.read_signal_csv(t.spark, path)
 
 
 @query("a10_dashboard_export", """
@@ -165,8 +190,12 @@ def a10(t):
     rows = t("articles").withColumns(
         {c: F.array().cast("array<string>") for c in ("persons", "orgs", "places")}
     )
-    out = counts.exported_articles(rows, t("article_topic"), t("topics"))
-    return out.drop("persons", "orgs", "places")
+    path = shared_dir(t.spark, "dashboard")
+    reports.write_dashboard_csv(
+        counts.exported_articles(rows, t("article_topic"), t("topics"), ordered=False), path, "year")
+    back = frames.parse_dashboard_csv(reports.read_dashboard_csv(t.spark, path))
+    return back.withColumns({c: F.nullif(c, F.lit("")) for c in ("topics", "geo_level")}).drop(
+        "persons", "orgs", "places", "kind")
 
 
 @query("a11_warehouse_reload", """
@@ -203,15 +232,29 @@ def a12(t):
     return tables.read_rollup(t.spark, path, schemas.DAILY_SOURCE)
 
 
-@query("a13_payload_sink", """
-    select day, 'total ' || cast(n_articles as string) as payload from g_series""")
+@query("a13_payload_sink", f"""
+    select day, n_articles, n_relevant, n_risk, n_opportunity, n_mixed, n_sources, best.url as top_url
+    from g_news left join (
+        select day as d, url from (
+            select day, url, row_number() over (partition by day order by score desc, id) as rn
+            from news_classified where relevant = 1) x where rn = 1) best on day = d""")
 def a13(t):
     path = shared_dir(t.spark, "payload")
-    text_rows = series_global(t).select(
-        "day", F.concat(F.lit("total "), F.col("n_articles").cast("string")).alias("payload"))
-    reports.write_payload(text_rows, path)
-    return t.spark.read.schema("value string, day date").text(path).select(
-        "day", F.col("value").alias("payload"))
+    none = F.lit(None)
+    rows = news_classified(t).withColumns(
+        {"deep_analysis": F.lit(0), "region_id": none.cast("long"), "geo_level": none.cast("string")})
+    rows = written(rows, "news_rows")
+    links = rows.select(F.col("id").alias("article_id"), F.explode("topics").alias("name"))
+    topics = links.select(F.xxhash64("name").alias("id"), "name").distinct()
+    made = rollup.rollup_all(
+        rows, links.select("article_id", F.xxhash64("name").alias("topic_id"), F.lit(1).cast("long").alias("score")),
+        t.spark.createDataFrame([], schemas.ARTICLE_ENTITY))
+    payload = report.daily_payload(rows, made, topics, t("regions"), t.spark.createDataFrame([], schemas.ENTITIES))
+    reports.write_payload(payload, path)
+    names = ["n_articles", "n_relevant", "n_risk", "n_opportunity", "n_mixed", "n_sources"]
+    return reports.read_payload(t.spark, path).select(
+        "day", *[F.get_json_object("payload", f"$.metrics.{n}").cast("long").alias(n) for n in names],
+        F.get_json_object("payload", "$.highlights[0].url").alias("top_url"))
 
 
 # --- B --------------------------------------------------------------------------------

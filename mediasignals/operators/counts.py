@@ -193,9 +193,10 @@ def period_summary(articles: DataFrame, start: Day, end: Day) -> DataFrame:
 
 
 def exported_articles(
-    articles: DataFrame, article_topic: DataFrame, topics: DataFrame
+    articles: DataFrame, article_topic: DataFrame, topics: DataFrame, ordered: bool = True
 ) -> DataFrame:
-    """Relevant articles with their topics joined by '|' (null without any).
+    """Relevant articles with their topics joined by '|' (null without any), newest first unless
+    the writer orders them.
 
     Names are concatenated on the bridge first, so long article rows are shuffled once and
     never multiplied.
@@ -207,7 +208,8 @@ def exported_articles(
         "deep_analysis", "risk", "opportunity",
     ]
     rows = articles.filter("relevant = 1").select(*columns)
-    return rows.join(joined, "id", "left").orderBy(F.desc("day"), "id")
+    whole = rows.join(joined, "id", "left")
+    return whole.orderBy(F.desc("day"), "id") if ordered else whole
 
 
 def topic_text() -> Column:

@@ -110,20 +110,43 @@ def parse_model_answers(answers: DataFrame) -> DataFrame:
     )
 
 
-def resolve_keys(mentions: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
+#: places of mentions inside an article that keep their order
+_PLACES = 10**9
+
+
+def first_mentions(mentions: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    """(key, surface, kind) of the first mention of each key, by ``turn`` (smallest first, see
+    ``turns``: article_id, turn), article and place.
+
+    The order is one number of a fixed width, so its minimum is found by a hash aggregate that is
+    combined before the shuffle; the surface and kind of the winner are fetched by key and order
+    afterwards.
+    """
+    keyed = computed_once(mentions, key=text.normalize_key("surface")).filter("key <> ''")
+    turn = F.lit(0).cast("decimal(9,0)")
+    if turns is not None:
+        keyed = keyed.join(turns, "article_id")
+        turn = F.coalesce("turn", F.lit(999_999_999)).cast("decimal(9,0)")
+    # turn, article and place side by side
+    article = F.col("article_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    place = (turn * F.lit("100000000000000000000").cast("decimal(21,0)") + article).cast("decimal(29,0)")
+    order = (place * F.lit(_PLACES).cast("decimal(10,0)")).cast("decimal(38,0)")
+    keyed = keyed.withColumn("_order", (order + F.col("pos").cast("decimal(9,0)")).cast("decimal(38,0)"))
+    first = keyed.groupBy("key").agg(F.min("_order").alias("_order"))
+    # mentions of one article and place are the same mention
+    return keyed.join(first, ["key", "_order"], "left_semi").select("key", "surface", "kind").dropDuplicates(["key"])
+
+
+def resolve_keys(
+    mentions: DataFrame, aliases: DataFrame, entities: DataFrame, turns: DataFrame | None = None
+) -> DataFrame:
     """One row per distinct mention key: (key, entity_id, name, kind, is_new).
 
     Known alias -> its entity. Otherwise a new entity named and typed like the first
-    mention of the key; an existing entity of that very name is reused. Joins see each
-    key once, however often it is mentioned. New ids are hashes of the key.
+    mention of the key (in the order of ``first_mentions``); an existing entity of that very name is
+    reused. Joins see each key once, however often it is mentioned. New ids are hashes of the key.
     """
-    first = (
-        computed_once(mentions, key=text.normalize_key("surface"))
-        .filter("key <> ''")
-        .groupBy("key")
-        .agg(F.min(F.struct("article_id", "pos", "surface", "kind")).alias("f"))
-        .select("key", "f.surface", "f.kind")
-    )
+    first = first_mentions(mentions, turns)
     # an alias or name listed twice counts for the smallest id
     by_alias = aliases.groupBy(F.col("alias").alias("key")).agg(F.min("entity_id").alias("alias_id"))
     by_name = entities.groupBy(F.col("name").alias("surface")).agg(F.min("id").alias("name_id"))

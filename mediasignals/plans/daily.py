@@ -17,6 +17,7 @@ from ..operators import classify, entities, geo, ingest, rollup
 from ..operators.counts import exported_articles
 from ..session import written
 from ..sources import reports, tables
+from ..sources.publish import Version
 from .report import daily_payload
 
 log = logging.getLogger(__name__)
@@ -34,57 +35,19 @@ class Rules:
 DEFAULT_RULES = Rules(lexicon.TOPICS, lexicon.RISK_TERMS, lexicon.OPPORTUNITY_TERMS)
 
 
-@dataclass
-class Store:
-    """Folder layout of the tables below one root."""
-
-    spark: SparkSession
-    root: str
-    run: str = ""
-
-    def path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
-
-    def exists(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-    def read(self, name: str, schema, earlier_only: bool = False) -> DataFrame:
-        """All stored rows; only those of other runs for ``earlier_only``."""
-        if not self.exists(name):
-            return self.spark.createDataFrame([], schema)
-        with_run = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
-        rows = self.spark.read.schema(with_run).parquet(self.path(name))
-        if earlier_only:
-            rows = rows.filter(F.col("run") != self.run)
-        return rows.select(*[f.name for f in schema])
-
-    def days_of_run(self) -> list[dt.date]:
-        """Days of the articles that this run holds so far."""
-        name = f"articles/run={self.run}"
-        if not self.exists(name):
-            return []
-        rows = self.spark.read.schema(schemas.ARTICLES).parquet(self.path(name))
-        return [r["day"] for r in rows.select("day").distinct().collect()]
-
-    def put(self, name: str, df: DataFrame, by_day: bool = False) -> None:
-        """Write the rows of this run; repeating a run replaces its own rows only."""
-        target = f"{self.path(name)}/run={self.run}"
-        if by_day:
-            # one place per day, large days split by the adaptive planner: few, even files
-            df.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(target)
-        else:
-            df.write.mode("overwrite").parquet(target)
-
-
-class Outcome(dict[str, str]):
-    """Table and export names -> paths; ``failed`` has the exports that failed, and why."""
-
-    def __init__(self, paths: dict[str, str]):
-        super().__init__(paths)
+class Outcome(dict[str, list[str]]):
+    """Table and export names -> the folders that make them up in the version of the run; ``failed``
+    has the exports that failed, and why."""
+
+    def __init__(self, version: Version):
+        super().__init__({name: version.paths(name) for name in version.parts})
+        self.number = version.number
         self.failed: dict[str, str] = {}
 
 
+_DAY = T.StructField("day", T.DateType())
+LINKED_TOPIC = T.StructType([*schemas.ARTICLE_TOPIC.fields, _DAY])
+LINKED_ENTITY = T.StructType([*schemas.ARTICLE_ENTITY.fields, _DAY])
 ROLLUP_SCHEMAS = {
     "daily_global": schemas.DAILY_GLOBAL,
     "daily_topic": schemas.DAILY_TOPIC,
@@ -134,94 +97,113 @@ def run_daily(
 ) -> Outcome:
     """Ingest landed entries, classify, link, roll up the days touched, export.
 
-    Every stage starts from a written table, so a lost executor repeats one stage only. A
-    run repeated under the same ``run`` name (default: ``as_of``) replaces what it wrote; days
-    that only its former rows touched are rolled up anew too. Export stages may fail without
-    losing the run: the outcome maps tables to paths and says which exports failed.
+    The run writes to folders of its own and publishes all of them in one step: readers of the
+    newest version see every table, rollup and export of the run, or none. A run repeated under
+    the same ``run`` name (default: ``as_of``) replaces what it put; days that only its former rows
+    touched are rolled up and exported anew too. Exports are kept by day, those of the warehouse
+    by run, so that a run writes what it touched. An export may fail without losing the run: its
+    former state stays, and the outcome says so.
     """
-    store = Store(spark, root, run or str(as_of))
+    version = Version.open(spark, root, run or str(as_of))
     dated = ingest.article_rows(entries, as_of)
-    stored = store.read("articles", schemas.ARTICLES, earlier_only=True)
+    stored = version.read("articles", schemas.ARTICLES, earlier_only=True)
     fresh = ingest.with_ids(ingest.new_articles(dated, stored)).withColumn(
         "ingested_at", F.lit(str(as_of)).cast("timestamp")
     )
-    batch = classified_articles(fresh, gazetteer, regions, rules).select(
-        *[f.name for f in schemas.ARTICLES]
+    former = version.days("articles")
+    version.put(
+        "articles",
+        classified_articles(fresh, gazetteer, regions, rules).select(*schemas.ARTICLES.fieldNames()),
+        by_day=True,
     )
-    former = store.days_of_run()
-    store.put("articles", batch, by_day=True)
-    batch = spark.read.schema(schemas.ARTICLES).parquet(f"{store.path('articles')}/run={store.run}")
+    folder = version.parts["articles"][version.run]
+    batch = spark.read.schema(schemas.ARTICLES).parquet(f"{version.root}/{folder}")
 
-    known = store.read("entities", schemas.ENTITIES, earlier_only=True)
-    aliases = store.read("entity_alias", schemas.ENTITY_ALIAS, earlier_only=True)
+    known = version.read("entities", schemas.ENTITIES, earlier_only=True)
+    aliases = version.read("entity_alias", schemas.ENTITY_ALIAS, earlier_only=True)
     mentions = entities.mentions_of(batch)
-    resolved = written(entities.resolve_keys(mentions, aliases, known), "resolved")
-    store.put("article_topic", classify.topic_links(batch, topics))
-    store.put("article_entity", entities.entity_links(mentions, resolved))
-    store.put("entity_alias", entities.new_aliases(resolved))
-    store.put("entities", entities.new_entities(resolved))
-
-    days = batch.select("day").distinct()
-    touched = days.union(spark.createDataFrame([(d,) for d in former], "day date")).distinct()
-    rollups = refresh_rollups(store, touched)
-    all_articles = store.read("articles", schemas.ARTICLES)
-    reports.write_signal_csv(all_articles, store.path("signals_csv"))
-    export_steps = {
-        "payload": lambda: reports.write_payload(
-            daily_payload(
-                all_articles, rollups, topics, regions,
-                store.read("entities", schemas.ENTITIES), days,
-            ),
-            store.path("payload"),
-        ),
-        "dashboard_csv": lambda: reports.write_dashboard_csv(
-            exported_articles(
-                all_articles, store.read("article_topic", schemas.ARTICLE_TOPIC), topics
-            ),
-            store.path("dashboard_csv"),
-        ),
-        "warehouse": lambda: tables.reload_warehouse(
-            {
-                "articles": all_articles,
-                "topics": topics,
-                "regions": regions,
-                "entities": store.read("entities", schemas.ENTITIES),
-                "article_topic": store.read("article_topic", schemas.ARTICLE_TOPIC),
-                "article_entity": store.read("article_entity", schemas.ARTICLE_ENTITY),
-            },
-            store.path("warehouse"),
+    resolved = written(entities.resolve_keys(mentions, aliases, known, newest_first(batch)), "resolved")
+    days_of = batch.select(F.col("id").alias("article_id"), "day")
+    version.put("article_topic", classify.topic_links(batch, topics).join(days_of, "article_id"), by_day=True)
+    version.put("article_entity", entities.entity_links(mentions, resolved).join(days_of, "article_id"), by_day=True)
+    version.put("entity_alias", entities.new_aliases(resolved))
+    version.put("entities", entities.new_entities(resolved))
+
+    touched = sorted({*former, *version.days("articles")})
+    rollups = refresh_rollups(version, touched)
+    failed = export_days(version, touched, rollups, topics, regions)
+    version.publish()
+    outcome = Outcome(version)
+    outcome.failed = failed
+    return outcome
+
+
+def newest_first(articles: DataFrame) -> DataFrame:
+    """(article_id, turn): the order in which entity work takes articles, newest days first."""
+    turn = -F.unix_date("day").cast("long")
+    return articles.select(F.col("id").alias("article_id"), turn.alias("turn"))
+
+
+def export_days(
+    version: Version, days: list[dt.date], rollups: dict[str, DataFrame], topics: DataFrame, regions: DataFrame
+) -> dict[str, str]:
+    """The exports of the touched days, and the warehouse rows of the run; returns what failed."""
+    articles = rollup.on_days(version.read("articles", schemas.ARTICLES), days)
+    links = rollup.on_days(version.read("article_topic", LINKED_TOPIC), days)
+    names = version.read("entities", schemas.ENTITIES)
+    payload = daily_payload(articles, rollups, topics, regions, names, days)
+    steps = {
+        "signals_csv": lambda at: reports.write_signal_csv(articles, at),
+        "payload": lambda at: reports.write_payload(payload, at),
+        "dashboard_csv": lambda at: reports.write_dashboard_csv(
+            exported_articles(articles, links.drop("day"), topics, ordered=False), at
         ),
     }
-    outcome = Outcome({name: store.path(name) for name in ("articles", *rollup.ROLLUPS)})
-    for name, step in export_steps.items():
+    failed = {}
+    for name, step in steps.items():
         try:
-            step()
-            outcome[name] = store.path(name)
+            version.put_days(name, step, days)
         except Exception as problem:
             log.exception("export %s failed; the run goes on", name)
-            outcome.failed[name] = str(problem)
-    return outcome
-
-
-def refresh_rollups(store: Store, days: DataFrame | None) -> dict[str, DataFrame]:
+            failed[name] = str(problem)
+    whole = {"topics": topics, "regions": regions}
+    own = {
+        "articles": schemas.ARTICLES, "entities": schemas.ENTITIES,
+        "article_topic": LINKED_TOPIC, "article_entity": LINKED_ENTITY,
+    }
+    try:
+        for name, columns in tables.WAREHOUSE_TABLES.items():
+            if name in whole:
+                version.put_whole(f"warehouse_{name}", tables.with_parsed_times(whole[name], columns))
+            else:
+                rows = rows_of_run(version, name, own[name])
+                version.put(f"warehouse_{name}", tables.with_parsed_times(rows, columns))
+    except Exception as problem:
+        log.exception("export warehouse failed; the run goes on")
+        failed["warehouse"] = str(problem)
+    return failed
+
+
+def rows_of_run(version: Version, name: str, schema: T.StructType) -> DataFrame:
+    """The rows that the run has put into a table."""
+    folder = version.parts[name][version.run]
+    return version.spark.read.schema(schema).parquet(f"{version.root}/{folder}")
+
+
+def refresh_rollups(version: Version, days: list[dt.date] | None) -> dict[str, DataFrame]:
     """Recompute the five rollups for ``days`` (all days for None) and replace those days, also
-    where nothing is left of one."""
-    requested = None if days is None else [r["day"] for r in days.distinct().collect()]
+    where nothing is left of one. Only the day folders of articles and bridges are read."""
     fresh = rollup.rollup_all(
-        store.read("articles", schemas.ARTICLES),
-        store.read("article_topic", schemas.ARTICLE_TOPIC),
-        store.read("article_entity", schemas.ARTICLE_ENTITY),
+        version.read("articles", schemas.ARTICLES),
+        version.read("article_topic", LINKED_TOPIC),
+        version.read("article_entity", LINKED_ENTITY),
         days,
     )
     for name, df in fresh.items():
-        if requested is None:
-            tables.replace_all(df, store.path(name))
-        else:
-            tables.replace_days(df, store.path(name), requested)
-    return {
-        name: tables.read_rollup(store.spark, store.path(name), schema)
-        for name, schema in ROLLUP_SCHEMAS.items()
-    }
+        version.put_days(
+            name, lambda at, df=df: df.hint("rebalance", "day").write.partitionBy("day").parquet(at), days
+        )
+    return {name: version.read(name, schema) for name, schema in ROLLUP_SCHEMAS.items()}
 
 
 def run_backfill(
@@ -230,14 +212,14 @@ def run_backfill(
     start: str | dt.date | None = None,
     end: str | dt.date | None = None,
 ) -> dict[str, DataFrame]:
-    """Rebuild the rollups of a range of days, or of everything, in one job per rollup."""
-    store = Store(spark, root)
-    if start is None and end is None:
-        return refresh_rollups(store, None)
-    stored = [store.read("articles", schemas.ARTICLES)]
-    stored += [
-        tables.read_rollup(spark, store.path(name), schema)
-        for name, schema in ROLLUP_SCHEMAS.items() if store.exists(name)
-    ]
-    days = reduce(DataFrame.union, [date_range(rows, start, end).select("day") for rows in stored])
-    return refresh_rollups(store, days.distinct())
+    """Rebuild the rollups of a range of days, or of everything, and publish them."""
+    version = Version.open(spark, root, "backfill")
+    days = None
+    if start is not None or end is not None:
+        stored = [version.read("articles", schemas.ARTICLES)]
+        stored += [version.read(name, schema) for name, schema in ROLLUP_SCHEMAS.items()]
+        held = reduce(DataFrame.union, [date_range(rows, start, end).select("day") for rows in stored])
+        days = sorted(r["day"] for r in held.distinct().collect())
+    made = refresh_rollups(version, days)
+    version.publish()
+    return made

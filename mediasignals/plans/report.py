@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +12,14 @@ from ..operators import frames, listing, rollup, trends
 from ..operators.counts import entity_names, region_names, topic_names
 
 
-def _top_per_day(rows: DataFrame, order: list[Column], limit: int, name: str, *fields: Column) -> DataFrame:
-    """(day, array of the first ``limit`` structs): ranked, cut, and only then collected."""
+def _top_per_day(
+    rows: DataFrame, order: list[Column], limit: int, name: str, *fields: Column,
+    named: Callable[[DataFrame], DataFrame] = lambda cut: cut,
+) -> DataFrame:
+    """(day, array of the first ``limit`` structs): ranked and cut on ids, only then named and
+    collected, so that names are joined to a few rows a day."""
     w = Window.partitionBy("day").orderBy(*order)
-    ranked = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= limit)
+    ranked = named(rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= limit))
     item = F.struct("_rank", F.struct(*fields).alias("item"))
     ordered = F.transform(F.array_sort(F.collect_list(item)), lambda s: s["item"])
     return ranked.groupBy("day").agg(ordered.alias(name))
@@ -41,19 +45,23 @@ def daily_payload(
     change = trends.day_over_day(rollups["daily_global"]).select(
         "day", F.struct("pct_n_articles", "pct_n_risk", "pct_n_opportunity").alias("change")
     )
+    def known(rows: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+        return rows.join(dim.select(F.col("id").alias(key)), key, "left_semi")
+
     top_topics = _top_per_day(
-        topic_names(chosen["daily_topic"], topics), [F.desc("n_articles"), F.col("topic_id")], 3,
+        known(chosen["daily_topic"], topics, "topic_id"), [F.desc("n_articles"), F.col("topic_id")], 3,
         "top_topics", *[F.col(c) for c in ("topic", "n_articles", "n_risk", "n_opportunity")],
+        named=lambda cut: topic_names(cut, topics),
     )
     top_regions = _top_per_day(
-        region_names(chosen["daily_region"], regions, F.col("geo_level")),
-        [F.desc("n_articles"), F.col("region_id"), F.col("geo_level")], 3,
+        chosen["daily_region"], [F.desc("n_articles"), F.col("region_id"), F.col("geo_level")], 3,
         "top_regions", *[F.col(c) for c in ("region", "geo_level", "n_articles", "n_risk")],
+        named=lambda cut: region_names(cut, regions, F.col("geo_level")),
     )
     top_entities = _top_per_day(
-        entity_names(chosen["daily_entity"], entities),
-        [F.desc("mentions"), F.col("entity_id")], 5,
+        known(chosen["daily_entity"], entities, "entity_id"), [F.desc("mentions"), F.col("entity_id")], 5,
         "top_entities", *[F.col(c) for c in ("entity", "kind", "mentions", "n_risk")],
+        named=lambda cut: entity_names(cut, entities),
     )
     highlights = _top_per_day(
         of_days.filter("relevant = 1"), [F.desc("score"), F.col("id")], 3,

@@ -10,7 +10,8 @@ from mediasignals.catalog import CHECKS, QUERIES
 from mediasignals.operators import rollup
 from mediasignals.plans import daily
 from mediasignals.session import shared_dir
-from mediasignals.sources import tables
+from mediasignals.sources import reports, tables
+from mediasignals.sources.publish import Conflict, Version, of_version, sweep
 from mediasignals.streaming import jobs
 
 ENTRY = schemas.FEED_ENTRIES
@@ -36,7 +37,7 @@ def run(spark, root, rows, as_of, dims):
 
 
 def globals_of(spark, root):
-    df = spark.read.schema(schemas.DAILY_GLOBAL).parquet(f"{root}/daily_global")
+    df = of_version(spark, root, "daily_global", schemas.DAILY_GLOBAL)
     return {r["day"].isoformat(): (r["n_articles"], r["n_relevant"], r["n_risk"]) for r in df.collect()}
 
 
@@ -51,27 +52,77 @@ def test_daily_run(spark, dims):
             ("B", "El clima", "http://3", "sol", MON)]
     run(spark, root, day1, "2024-01-15", dims)
     assert globals_of(spark, root) == {"2024-01-15": (3, 2, 1)}
-    first = spark.read.schema(schemas.ARTICLES).parquet(f"{root}/articles").filter("url = 'http://1'").first()
+    first = of_version(spark, root, "articles", schemas.ARTICLES).filter("url = 'http://1'").first()
     assert (first["orgs"], first["places"], first["region_id"]) == (["Tesla"], ["Coahuila"], 7)
     assert (first["geo_level"], first["deep_analysis"], first["opportunity"]) == ("estatal", 1, 1)
     # the same run again changes nothing
     run(spark, root, day1, "2024-01-15", dims)
     assert globals_of(spark, root) == {"2024-01-15": (3, 2, 1)}
-    links = spark.read.schema(schemas.ARTICLE_ENTITY).parquet(f"{root}/article_entity")
-    assert links.count() == 2
+    assert of_version(spark, root, "article_entity", schemas.ARTICLE_ENTITY).count() == 2
     # the next run brings a new day, a stored url, and a late row for the first day
     day2 = [("C", "Tesla crece", "http://4", "expansión de Tesla", TUE),
             ("C", "repetida", "http://1", "x", TUE), ("C", "tardía", "http://5", "huelga", MON)]
     run(spark, root, day2, "2024-01-16", dims)
     assert globals_of(spark, root) == {"2024-01-15": (4, 3, 2), "2024-01-16": (1, 1, 0)}
-    names = spark.read.schema(schemas.ENTITIES).parquet(f"{root}/entities")
-    assert names.filter("name = 'Tesla'").count() == 1
-    payload = spark.read.schema("value string, day date").text(f"{root}/payload")
-    assert payload.count() == 2
+    assert of_version(spark, root, "entities", schemas.ENTITIES).filter("name = 'Tesla'").count() == 1
+    version = Version.open(spark, root)
+    payload = reports.read_payload(spark, *version.paths("payload"))
+    assert sorted(r["day"].isoformat() for r in payload.collect()) == ["2024-01-15", "2024-01-16"]
     made = daily.run_backfill(spark, root)
     assert {r["day"].isoformat(): r["n_articles"] for r in made["daily_global"].collect()} == {
         "2024-01-15": 4, "2024-01-16": 1}
-    assert spark.read.option("header", True).csv(f"{root}/dashboard_csv").count() == 4
+    assert reports.read_dashboard_csv(spark, *version.paths("dashboard_csv")).count() == 4
+    # each day's export is a folder of its own; the first day was written again for the late row
+    assert [p.rsplit("=", 1)[1] for p in version.paths("dashboard_csv")] == ["2024-01-15", "2024-01-16"]
+    assert len(sweep(spark, root, keep=1)) > 0
+    assert globals_of(spark, root) == {"2024-01-15": (4, 3, 2), "2024-01-16": (1, 1, 0)}
+
+
+def test_a_run_that_dies_between_two_writes_changes_nothing(spark, dims, monkeypatch):
+    root = shared_dir(spark, "run")
+    run(spark, root, [("A", "huelga", "http://1", "despidos y huelga", MON)], "2024-01-15", dims)
+    before = Version.open(spark, root)
+    more = [("A", "crisis", "http://2", "crisis y huelga", MON), ("A", "Tesla", "http://3", "inversión de Tesla", TUE)]
+    puts = Version.put_days
+
+    def dies(self, name, write, days):
+        if name == "daily_source":
+            raise KeyboardInterrupt  # articles, links and three rollups are written by now
+        puts(self, name, write, days)
+
+    monkeypatch.setattr(Version, "put_days", dies)
+    with pytest.raises(KeyboardInterrupt):
+        run(spark, root, more, "2024-01-16", dims)
+    after = Version.open(spark, root)
+    assert (after.number, after.parts) == (before.number, before.parts)
+    assert globals_of(spark, root) == {"2024-01-15": (1, 1, 1)}
+    assert of_version(spark, root, "articles", schemas.ARTICLES).count() == 1
+    monkeypatch.undo()
+    run(spark, root, more, "2024-01-16", dims)
+    assert globals_of(spark, root) == {"2024-01-15": (2, 2, 2), "2024-01-16": (1, 1, 0)}
+    left = sweep(spark, root, keep=1)
+    assert any(f.startswith("articles/run=2024-01-16") for f in left)  # of the run that died
+    assert globals_of(spark, root) == {"2024-01-15": (2, 2, 2), "2024-01-16": (1, 1, 0)}
+
+
+def test_two_runs_cannot_publish_one_version(spark):
+    root = shared_dir(spark, "run")
+    rows = spark.createDataFrame([(1,)], "id long")
+    one, two = Version.open(spark, root, "a"), Version.open(spark, root, "b")
+    one.put("t", rows)
+    two.put("t", rows)
+    assert one.publish() == 1
+    with pytest.raises(Conflict):
+        two.publish()
+    assert set(Version.open(spark, root).parts["t"]) == {"a"}
+
+
+def test_an_export_that_fails_keeps_its_former_state(spark, dims, monkeypatch):
+    root = shared_dir(spark, "run")
+    run(spark, root, [("A", "huelga", "http://1", "despidos y huelga", MON)], "2024-01-15", dims)
+    monkeypatch.setattr(reports, "write_payload", lambda *_: 1 / 0)
+    done = run(spark, root, [("A", "crisis", "http://2", "crisis y huelga", TUE)], "2024-01-16", dims)
+    assert set(done.failed) == {"payload"} and len(done["payload"]) == 1 and len(done["signals_csv"]) == 2
 
 
 def rows_of_day(spark, rows):

@@ -33,6 +33,45 @@ def test_xml_feed_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_feed_order_is_the_same_however_it_is_read(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for name in "abcdefg":
+        items = "".join(f"<item><title>{name}{i}</title><link>http://x/{i % 4}</link></item>" for i in range(6))
+        (source / f"{name}.xml").write_text(f"<rss><channel>{items}</channel></rss>", encoding="utf-8")
+
+    def winners(entries):
+        rows = ingest.article_rows(entries, "2024-02-01")
+        return {r["url"]: (r["title"], r["seq"]) for r in ingest.new_articles(rows, None).collect()}
+
+    files = spark.read.text(str(source), wholetext=True)
+    want = winners(feeds.xml_entries(files))
+    assert len(want) == 4 and {t[0][1:] for t in want.values()} == {"0", "1", "2", "3"}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("300", "100000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            read = feeds.read_xml_feeds(spark, str(source))
+            assert read.rdd.getNumPartitions() in (1, 7) or size == "300"
+            assert winners(read) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    stream = feeds.stream_xml_feeds(spark, str(source), 3)
+    stream.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert winners(spark.read.parquet(out)) == want
+
+
+def test_malformed_records_go_to_the_reject_table(spark, tmp_path):
+    (tmp_path / "feeds.json").write_text(
+        '{"name":"a","url":"u","kind":"k","region":"r","tags":["x"]}\nnot json\n{"url":"u"}\n{"name":"b","url":"u","tags":"x"}\n')
+    assert [r["name"] for r in feeds.read_catalogue(spark, str(tmp_path)).collect()] == ["a"]
+    records = [r["record"] for r in feeds.catalogue_rejects(spark, str(tmp_path)).collect()]
+    assert sorted(records) == ['not json', '{"name":"b","url":"u","tags":"x"}', '{"url":"u"}']
+
+
 def test_catalogue_filters(spark, tmp_path):
     (tmp_path / "feeds.json").write_text(
         '{"name":"a","url":"u","kind":"regional","region":"norte","tags":["x"]}\n'
@@ -61,7 +100,7 @@ def test_signal_csv_starts_with_mark(spark, tmp_path):
         [(1, dt.date(2024, 1, 2), "m", "t", ["a", "b"], 1, 0, 2)],
         "id long, day date, source string, title string, topics array<string>, risk int, opportunity int, score int")
     reports.write_signal_csv(rows, str(tmp_path / "s"))
-    part = next((tmp_path / "s").glob("part-*.csv")).read_bytes()
+    part = next((tmp_path / "s" / "of_day=2024-01-02").glob("part-*.csv")).read_bytes()
     assert part.startswith(b"\xef\xbb\xbfday,source,title,topics,kind,score")
     assert b'"a,b",RIESGO,2' in part
 
