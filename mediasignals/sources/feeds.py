@@ -51,10 +51,10 @@ def read_xml_feeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_xml_feeds(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.option("wholetext", True)
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return xml_entries(reader.text(path))
+    return xml_entries(reader.text(path, wholetext=True))
 
 
 def read_entries(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
