@@ -26,6 +26,8 @@ HEADLINE = [
     "d37_municipality_counts", "d41_topic_day_pivot", "d43_name_counts", "d49_anomalies",
     "d50_feed_profile", "c6_top_entity_series", "c10_region_lookup", "c14_subregion",
     "e3_headlines_per_topic", "m1_daily_payload", "k3_touched_days",
+    "b9_stored_metrics", "b16_stored_source_series", "d29_stored_compare", "d30_stored_day_over_day",
+    "d31_stored_kpis", "d49_stored_anomalies",
 ]
 
 

@@ -219,6 +219,17 @@ def test_upsert_replaces_keys_and_survives_a_repeat(spark, tmp_path):
     assert rows() == want
 
 
+@pytest.mark.parametrize("name", ["b9_stored_metrics", "b16_stored_source_series", "d29_stored_compare", "d31_stored_kpis"])
+def test_serving_reads_only_the_days_it_needs(spark, name):
+    from mediasignals.catalog import runnable
+
+    df = runnable(name)(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
+    assert filters and all("day#" in line.split("PartitionFilters: ")[1].split("]")[0] for line in filters)
+    assert df.count() > 0
+
+
 def test_every_query_has_a_check():
     assert set(QUERIES) == set(CHECKS)
     assert len(QUERIES) > 150
