@@ -36,7 +36,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 
 EDITS = 2
 MIN_CHARS = 20
@@ -59,10 +59,10 @@ def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
 
 
 def keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(key, own, id, first): the keys under which a line may find a near line of its own or a
-    smaller length; the ``own`` ones are those of its own segments, where it is found. A place per
-    row (how much smaller the other line is, segment, how far it has moved) keeps the compiled code
-    of a key small."""
+    """(key, tag): the keys under which a line may find a near line of its own or a smaller length. The
+    tag is the id, which has 63 bits, and a last bit for the keys of the line's own segments, where
+    it is found. A place per row (how much smaller the other line is, segment, how far it has moved)
+    keeps the compiled code of a key small."""
     parts = edits + 1
     places = [
         (less, i, move)
@@ -71,15 +71,14 @@ def keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         for move in range(max(-(i - 1), less - (parts - i)), min(i - 1, less + (parts - i)) + 1)
     ]
     where = F.array(*[F.struct(F.lit(n).alias("less"), F.lit(i).alias("i"), F.lit(m).alias("move")) for n, i, m in places])
-    dealt = lines.select("id", "first", "line", "size", F.explode(where).alias("p"))
+    dealt = lines.select("id", "line", "size", F.explode(where).alias("p"))
     other = F.col("size") - F.col("p.less")
     start, size = _segment(other, F.col("p.i"), parts)
     at = start + F.col("p.move")
     key = F.xxhash64("p.i", other, F.substring(F.col("line"), at + 1, size))
     own = (F.col("p.less") == 0) & (F.col("p.move") == 0)
-    return dealt.where((other > 0) & (at >= 0) & (at + size <= F.col("size"))).select(
-        key.alias("key"), own.alias("own"), "id", "first"
-    )
+    tag = F.shiftleft("id", 1).bitwiseOR(own.cast("long"))
+    return dealt.where((other > 0) & (at >= 0) & (at + size <= F.col("size"))).select(key.alias("key"), tag.alias("tag"))
 
 
 def symbol_parity(line: Column) -> Column:
@@ -171,25 +170,26 @@ def _order() -> Column:
 
 
 def near_later(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Ids of the lines with an earlier near line. ``lines``: id, line, size (in characters), first (a
-    number that orders them)."""
+    """Ids of the lines with an earlier near line. ``lines``: id (of 63 bits), line, size (in
+    characters), first (a number that orders them)."""
     key = Window.partitionBy("key")
-    place = F.struct("first", "id")
-    met = written(
+    of_tag = F.shiftrightunsigned("tag", 1)
+    shared = written(
         keyed(lines, edits)
-        .select(
-            "key", "own", "id", "first",
-            F.min("id").over(key).alias("low"), F.max("id").over(key).alias("high"),
-            F.min(F.when(F.col("own"), place)).over(key).alias("o"), F.min(place).over(key).alias("a"),
-        )
-        .where((F.col("low") != F.col("high")) & F.col("o").isNotNull())
-        .select("key", "own", "id", "first", "o", "a"),
-        "met_lines",
+        .select("key", "tag", F.min(of_tag).over(key).alias("low"), F.max(of_tag).over(key).alias("high"))
+        .where(F.col("low") != F.col("high"))
+        .select("key", of_tag.alias("id"), (F.col("tag").bitwiseAND(F.lit(1)) == 1).alias("own")),
+        "shared_keys",
     )
+    # a merge join at every size
+    ids = shared.select("id").distinct().hint("merge")
     texts = written(
-        lines.join(met.select("id").distinct(), "id", "left_semi").select("id", "line", symbol_parity(F.col("line")).alias("bits")),
-        "met_texts",
+        lines.join(ids, "id", "left_semi").select("id", "first", "line", symbol_parity(F.col("line")).alias("bits")), "met_texts"
     )
+    placed = shared.join(texts.select("id", "first"), "id")
+    place = F.struct("first", "id")
+    earliest_of = placed.groupBy("key").agg(F.min(F.when(F.col("own"), place)).alias("o"), F.min(place).alias("a")).where("o IS NOT NULL")
+    met = written(placed.join(earliest_of, "key").select("key", "own", "id", "first", "o", "a"), "met_lines")
 
     def alike(x: Column, y: Column) -> Column:
         return F.bit_count(x.bitwiseXOR(y)) <= BITS_PER_EDIT * edits
@@ -214,7 +214,10 @@ def near_later(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     further = left.join(before, "key").where(
         (F.col("x_first") < F.col("first")) & (F.col("own") | F.col("x_own")) & ~compared & alike(F.col("bits"), F.col("x_bits"))
     )
-    return settled.union(verified(written(further.select("id", "x").distinct(), "line_pairs")))
+    pairs = written(further.select("id", "x").distinct(), "line_pairs")
+    later = written(settled.union(verified(pairs)), "near_lines")
+    discard(shared, met, texts, settled, pairs)
+    return later
 
 
 def dedup(
@@ -222,7 +225,9 @@ def dedup(
 ) -> DataFrame:
     """All columns of ``docs`` with the kept lines as text, and ``n_lines``, ``n_equal`` and
     ``n_near`` (lines dropped as equal to or near an earlier one; equal comes first)."""
-    identity = [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check")]
+    identity = [
+        F.shiftrightunsigned(F.xxhash64("line"), 1).alias("id"), F.xxhash64(F.lit(1), "line").alias("check"),
+    ]
     lines = written(
         _occurrences(docs, key, text)
         .groupBy("line")
@@ -230,13 +235,14 @@ def dedup(
         .select(*identity, "line", F.length("line").alias("size"), "first", "n"),
         "lines",
     )
-    later = near_later(lines.where(F.col("size") >= min_chars), edits).withColumn("near", F.lit(True))
+    later = near_later(lines.where(F.col("size") >= min_chars), edits)
     doomed = written(
-        lines.select("id", "check", "first", "n").join(later, "id", "left")
+        lines.select("id", "check", "first", "n").join(later.withColumn("near", F.lit(True)), "id", "left")
         .where((F.col("n") > 1) | F.col("near"))
         .select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near")),
         "doomed_lines",
     )
+    discard(lines, later)
     drops = (
         _occurrences(docs, key, text)
         .select("doc", "row", "pos", *identity)
