@@ -9,6 +9,7 @@ from .. import lexicon
 from ..functions import text
 from ..functions.matching import word_list
 from ..functions.once import computed_once
+from ..session import written
 
 KIND_COLUMNS = (("persons", "PER"), ("orgs", "ORG"), ("places", "LOC"))
 
@@ -51,7 +52,8 @@ def extract_by_gazetteer(articles: DataFrame, gazetteer: DataFrame) -> DataFrame
     ).filter(F.size("_name") > 0).distinct()
     spots = names.select("surface", "kind", "_name", F.posexplode("_name").alias("_at", "word"))
     spread = listed.select("article_id", F.posexplode("_words").alias("_place", "word"))
-    held = spread.join(spots.select("word").distinct(), "word", "left_semi")
+    # places of words of the names, for the counts and for the hits
+    held = written(spread.join(spots.select("word").distinct(), "word", "left_semi"), "held_words")
     counts = held.groupBy("word").agg(F.count("article_id").alias("n"))
     anchors = (
         spots.join(counts, "word", "left")
