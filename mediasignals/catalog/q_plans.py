@@ -21,7 +21,8 @@ from .views import NEWS_AS_OF, NEWS_OPPORTUNITY, NEWS_RISK, NEWS_TOPICS
 
 
 def _stream(t, name: str, max_files: int | None = None):
-    return jobs.read_files(t.spark, t.folder, t(name).schema, f"{name}.parquet", max_files)
+    # as a pattern, since a table is either one file or a folder of files
+    return jobs.read_files(t.spark, f"{t.folder}/{{{name}}}.parquet", t(name).schema, max_files=max_files)
 
 
 def _arriving(t, rows, order, steps: int):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediasignals import schemas
-from mediasignals.catalog import CHECKS, QUERIES
+from mediasignals.catalog import CHECKS, QUERIES, runnable
 from mediasignals.operators import rollup
 from mediasignals.plans import daily
 from mediasignals.session import shared_dir
@@ -258,3 +258,12 @@ def test_rollups_survive_a_hot_key(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.index("HashAggregate") < plan.index("Exchange") < plan.rindex("HashAggregate")
     assert df.first()["n_articles"] == 200000
+
+
+@pytest.mark.parametrize("table, name", [
+    ("documents", "k1_streamed_classification"), ("events", "k2_dedup_within_watermark"), ("events", "k3_touched_days")])
+def test_streams_read_a_table_of_several_files(spark, tmp_path, table, name):
+    one = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{one}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    made, expected = (runnable(name)(spark, folder) for folder in (str(tmp_path), one))
+    assert sorted(map(str, made.collect())) == sorted(map(str, expected.collect()))
