@@ -13,19 +13,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from .once import computed_once
 from .text import _col
 
 GRAM = 3
 POINT_BITS = 21
 #: bits of the table of dictionary grams, as a power of two (512 KB)
 TABLE_BITS = 22
-GRAM_ROWS = 1 << 12
+#: bytes of text whose grams are held at a time; a longer text stands alone
+GRAM_BYTES = 1 << 18
 
 
 def minimal_terms(terms: Iterable[str]) -> list[str]:
@@ -102,6 +103,18 @@ def _listed(batch: pa.RecordBatch, kept: list[str], row, place, gram) -> pa.Reco
     return pa.RecordBatch.from_arrays([*columns, pa.array(gram[first]), places], [*kept, "gram", "at"])
 
 
+def _bounded(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of ``GRAM_BYTES`` of text at most, or of one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+    ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + GRAM_BYTES, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _gram_rows(
     frame: DataFrame, column: str, kept: list[str], sizes: list[int] | None = None, table: np.ndarray | None = None
 ) -> DataFrame:
@@ -110,8 +123,7 @@ def _gram_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, GRAM_ROWS):
-                batch = whole.slice(low, GRAM_ROWS)
+            for batch in _bounded(whole, column):
                 plain = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
                 row, place, gram = _packed(plain, sizes)
                 if table is not None:
@@ -155,19 +167,21 @@ def gram_pairs(texts: DataFrame, terms: DataFrame) -> DataFrame:
     fixed size. From the index come the number of texts that hold a gram and then the candidates:
     every term is anchored at the one of its grams that the fewest texts hold (with a gram that
     none holds it is out), and compared with the text at the places of that gram alone. Texts and
-    grams meet by id and gram, so neither side is ever copied to every task.
+    grams meet by id and gram, so neither side is ever copied to every task. Texts, term grams and
+    anchors are written, so that no later plan repeats what made them.
     """
-    texts = computed_once(texts, text=F.col("text"))
-    parts = _gram_rows(terms.select("term_id", "term"), "term", ["term_id", "term"])
+    texts = written(texts.select("text_id", "text"), "gram_texts")
+    parts = written(_gram_rows(terms.select("term_id", "term"), "term", ["term_id", "term"]), "term_grams")
     table, sizes = _bit_table(parts)
-    index = written(_gram_rows(texts.select("text_id", "text"), "text", ["text_id"], sizes, table), "gram_index")
+    index = written(_gram_rows(texts, "text", ["text_id"], sizes, table), "gram_index")
     counts = index.groupBy("gram").agg(F.count("text_id").alias("n"))
-    anchors = (
+    anchors = written(
         parts.join(counts, "gram", "left")
         .groupBy("term_id", "term")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", F.get("at", F.lit(0)).alias("inside"))).alias("least"))
         .filter("least.n > 0")
-        .select("term_id", "term", "least.gram", "least.inside")
+        .select("term_id", "term", "least.gram", "least.inside"),
+        "anchors",
     )
     candidates = index.join(anchors, "gram").select("text_id", "at", "term_id", "term", "inside")
 
@@ -175,7 +189,7 @@ def gram_pairs(texts: DataFrame, terms: DataFrame) -> DataFrame:
         start = place - F.col("inside")
         return (start >= 0) & (F.substr(F.col("text"), start + 1, F.length("term")) == F.col("term"))
 
-    return candidates.join(texts.select("text_id", "text"), "text_id").filter(F.exists("at", hit)).select("text_id", "term_id")
+    return candidates.join(texts, "text_id").filter(F.exists("at", hit)).select("text_id", "term_id")
 
 
 def matching_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -42,3 +43,19 @@ def test_word_grams(spark):
     empty = spark.createDataFrame([("",)], "x string").select(
         matching.word_grams(matching.word_list("x"), 2).alias("g"))
     assert empty.first()["g"] == []
+
+
+def test_grams_are_made_of_bounded_slices():
+    """A slice holds a bounded number of bytes of text, however long the texts of a batch are."""
+    texts = ["é" * 60_000] * 9 + [None, "", "x" * (1 << 20), "y"]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    slices = [s.column(0).to_pylist() for s in matching._bounded(batch, "text")]
+    assert [t for s in slices for t in s] == texts
+    assert all(len(s) == 1 or sum(len((t or "").encode()) for t in s) <= matching.GRAM_BYTES for s in slices)
+
+
+def test_the_joined_plan_does_not_repeat_its_inputs(spark):
+    left = spark.createDataFrame([(1, "abcd")], "text_id long, text string")
+    right = spark.createDataFrame([(1, "bc")], "term_id long, term string")
+    plan = matching.gram_pairs(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" not in plan and "ArrowEvalPython" not in plan
