@@ -11,6 +11,7 @@ from .. import lexicon
 from ..functions import text
 from ..functions.matching import any_item_in, contains_any, gram_pairs
 from ..functions.once import computed_once
+from ..session import written
 
 FOREIGN = [c for c in lexicon.COUNTRIES if c != lexicon.HOME_COUNTRY]
 
@@ -191,7 +192,11 @@ def attributed_articles(
 
 def subregion_order(municipalities: DataFrame) -> DataFrame:
     """(subregion, ord) in order of first appearance."""
-    return keyword_variants(municipalities).groupBy("subregion").agg(F.min("ord").alias("ord"))
+    return _first_ord(keyword_variants(municipalities))
+
+
+def _first_ord(variants: DataFrame) -> DataFrame:
+    return variants.groupBy("subregion").agg(F.min("ord").alias("ord"))
 
 
 def with_subregion(
@@ -203,7 +208,7 @@ def with_subregion(
 ) -> DataFrame:
     """Adds ``subregion``: any municipality in title or places, first sub-region in order;
     else the mining sub-region for mining words in a state or national title."""
-    variants = keyword_variants(municipalities)
+    variants = written(keyword_variants(municipalities), "variants")  # read three times
     places = F.array_join(F.coalesce("places", F.array().cast("array<string>")), ",")
     folded = articles.withColumn("_title", F.coalesce(text.fold("title"), F.lit("")))
     folded = folded.withColumn("_where", F.concat("_title", F.lit(" "), text.fold(places)))
@@ -217,7 +222,7 @@ def with_subregion(
     )
     first = (
         pairs.join(variants.select(F.col("key").alias("term_id"), "subregion"), "term_id")
-        .join(subregion_order(municipalities), "subregion")
+        .join(_first_ord(variants), "subregion")
         .groupBy(F.col("text_id").alias("id"))
         .agg(F.min_by("subregion", "ord").alias("_named"))
     )

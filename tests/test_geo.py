@@ -104,3 +104,12 @@ def test_attribution_prefers_source(spark):
     out = geo.attributed_articles(rows, dims.municipality_table(spark))
     assert {r["id"]: (r["municipality"], r["subregion"]) for r in out.collect()} == {
         1: ("Parras", "Sureste"), 2: ("Torreón", "Laguna")}
+
+
+def test_subregion_plan_reads_each_table_once(spark):
+    """What feeds the dictionary join is written, so that the plan the driver holds stays short."""
+    articles = spark.createDataFrame([(1, "Saltillo", ["x"], "estatal")], "id long, title string, places array<string>, geo_level string")
+    towns = spark.createDataFrame([(1, "Saltillo", "Sureste")], "ord int, municipality string, subregion string")
+    df = geo.with_subregion(articles, towns)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") == 1
+    assert [r.subregion for r in df.collect()] == ["Sureste"]
