@@ -34,7 +34,9 @@ def _arriving(t, rows, order, steps: int):
     for i in range(steps):
         start = low + i * size
         part = rows.filter((F.col("_at") >= start) & (F.col("_at") < start + size)).drop("_at")
-        part.write.parquet(f"{folder}/step={i}")
+        # files by size: else each split of the table leaves a small one in every step, and a trigger
+        # costs the same however small its file is
+        part.hint("rebalance").write.parquet(f"{folder}/step={i}")
         yield f"{folder}/*"
 
 

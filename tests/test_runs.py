@@ -267,3 +267,16 @@ def test_streams_read_a_table_of_several_files(spark, tmp_path, table, name):
     spark.read.parquet(f"{one}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
     made, expected = (runnable(name)(spark, folder) for folder in (str(tmp_path), one))
     assert sorted(map(str, made.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_arrivals_are_files_by_size(spark):
+    """Many small splits of a table arrive in few files, so that capped triggers stay few."""
+    from types import SimpleNamespace
+
+    from mediasignals.catalog.q_plans import _arriving
+
+    rows = spark.range(0, 4000, numPartitions=16).withColumn("kind", F.col("id") % 4)
+    *_, folder = _arriving(SimpleNamespace(spark=spark), rows, F.col("kind"), 4)
+    arrived = spark.read.parquet(folder)
+    assert len(arrived.inputFiles()) == 4
+    assert sorted(r["id"] for r in arrived.collect()) == list(range(4000))
