@@ -15,7 +15,7 @@ from .frames_of import (
 )
 from .registry import query
 from .sql import any_of, fold, kind, n_where, norm, pct
-from .views import NEWS_TOPICS, STAR_AS_OF
+from .views import NEWS_OPPORTUNITY, NEWS_RISK, NEWS_TOPICS, STAR_AS_OF
 
 _DAY = "date '1999-06-15'"
 
@@ -160,7 +160,9 @@ def c11(t):
 def _news_topic_table(t):
     """Ids 1, 2, ... for the topics that occur, except the last one of the dictionary."""
     known = list(NEWS_TOPICS)[:-1]
-    seen = news_classified(t).select(F.explode("topics").alias("name")).distinct()
+    # rows of one url have one text and so the same topics: which of them stays does not matter
+    scored = classify.classify(t("news"), NEWS_TOPICS, NEWS_RISK, NEWS_OPPORTUNITY)
+    seen = scored.select(F.explode("topics").alias("name")).distinct()
     position = F.array_position(F.array(*[F.lit(n) for n in known]), F.col("name"))
     return seen.select(position.alias("id"), "name").filter("id > 0")
 

@@ -37,8 +37,8 @@ def extract_by_gazetteer(articles: DataFrame, gazetteer: DataFrame) -> DataFrame
     """Gazetteer names (surface, kind) standing as whole words in title or description.
 
     A name is anchored at the one of its words that the fewest places of the texts hold; each
-    word of a text meets the anchors by an equi-join, and the name's words are compared at that
-    place. The cost follows the text, whatever the length of the longest name. Returns
+    word of a text meets the anchors by an equi-join, and the name's other words are looked up at
+    the places beside. The cost follows the text, whatever the length of the longest name. Returns
     (article_id, surface, kind, pos), one row per article and name, ``pos`` being the first
     occurrence.
     """
@@ -52,8 +52,10 @@ def extract_by_gazetteer(articles: DataFrame, gazetteer: DataFrame) -> DataFrame
     ).filter(F.size("_name") > 0).distinct()
     spots = names.select("surface", "kind", "_name", F.posexplode("_name").alias("_at", "word"))
     spread = listed.select("article_id", F.posexplode("_words").alias("_place", "word"))
+    # written first, so that Spark knows its size before it decides how all words of the texts meet it
+    known = written(spots.select("word").distinct(), "name_words")
     # places of words of the names, for the counts and for the hits
-    held = written(spread.join(spots.select("word").distinct(), "word", "left_semi"), "held_words")
+    held = written(spread.join(known, "word", "left_semi"), "held_words")
     counts = held.groupBy("word").agg(F.count("article_id").alias("n"))
     anchors = (
         spots.join(counts, "word", "left")
@@ -69,10 +71,16 @@ def extract_by_gazetteer(articles: DataFrame, gazetteer: DataFrame) -> DataFrame
         .filter("_begin >= 0")
     )
     alone = hits.filter(F.size("_name") == 1).select("article_id", "surface", "kind", "_begin")
+    # the other words of a name are held words too: texts are not read again for them
+    due = hits.filter(F.size("_name") > 1).select(
+        "article_id", "surface", "kind", "_begin", F.size("_name").alias("_n"), F.posexplode("_name").alias("_i", "word")
+    )
     longer = (
-        hits.filter(F.size("_name") > 1)
-        .join(listed.select("article_id", "_words"), "article_id")
-        .filter(F.slice("_words", F.col("_begin") + 1, F.size("_name")) == F.col("_name"))
+        due.withColumn("_place", F.col("_begin") + F.col("_i"))
+        .join(held, ["article_id", "_place", "word"])
+        .groupBy("article_id", "surface", "kind", "_begin", "_n")
+        .agg(F.collect_set("_i").alias("_met"))  # as many as the name has words, at most
+        .filter(F.size("_met") == F.col("_n"))
         .select("article_id", "surface", "kind", "_begin")
     )
     return (

@@ -84,3 +84,15 @@ def test_add_links_ignores_stored(spark):
     links = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "article_id long, topic_id long")
     stored = spark.createDataFrame([(3, 4)], "article_id long, topic_id long")
     assert classify.add_links(stored, links, ["article_id", "topic_id"]).collect() == [(1, 2)]
+
+
+def test_names_of_several_words_do_not_read_the_texts_again(spark):
+    articles = spark.createDataFrame(
+        [(1, "Acme Steel Works", "steel of Acme; Acme steel"), (2, "Steel Acme", "works, steel")],
+        "id long, title string, description string")
+    gazetteer = spark.createDataFrame([("Acme Steel", "ORG"), ("Steel Works", "ORG"), ("Acme", "PER")], "surface string, kind string")
+    found = entities.extract_by_gazetteer(articles, gazetteer)
+    assert found._jdf.queryExecution().executedPlan().toString().count("title#") == 0
+    assert {tuple(r) for r in found.collect()} == {
+        (1, "Acme Steel", "ORG", 1), (1, "Steel Works", "ORG", 2), (1, "Acme", "PER", 1),
+        (2, "Acme", "PER", 2)}
