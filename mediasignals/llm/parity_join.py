@@ -15,10 +15,12 @@ similar one there could be large enough. In a band, the positions of a very long
 dealt to a fixed number of parts, and a part's bits are kept as the exclusive or of a 64-bit
 number for each toggled position. Each differing shingle changes one part, so that a set with more
 useful parts (with a shingle that is not common) than possible differences shares one of
-them, unchanged, with every similar set: these parts are the join keys. If two similar sets
-share none, both have few useful parts; such sets are also keyed by their first shingles, common
-ones last and otherwise in hash order, of which similar sets share at least one. No key
-stands for an empty part.
+them, unchanged, with every similar set: these parts are the join keys. A set sends one more of
+them than may differ, those with most useful shingles first and otherwise in hash order: what
+stands before the first shared part, in the list of either set, has changed, so that both send
+that part. If two similar sets share none, both have few useful parts; such sets send all of them
+and are also keyed by their first shingles, common ones last and otherwise in hash order, of which
+similar sets share at least one. No key stands for an empty part.
 
 Joining. Texts with equal sets form one class, and only classes are joined. Rows are sorted by
 key within their partition and read as a stream. Up to ``SMALL`` classes of a key give all their
@@ -175,15 +177,21 @@ def join_keys(text: np.ndarray, value: np.ndarray, n: int, common: np.ndarray) -
         begin = np.ones(len(to), bool)
         begin[1:] = (to[1:] != to[:-1]) | (po[1:] != po[:-1])
         at = np.flatnonzero(begin)
-        useful = np.add.reduceat((~frequent[rows][order]).astype(np.int64), at) > 0
+        telling = np.add.reduceat((~frequent[rows][order]).astype(np.int64), at)
         codes = mix(np.bitwise_xor.reduceat(word, at) ^ mix(po[at].astype(_U) ^ salt[to[at]]))
-        at = at[useful]
-        out_text.append(to[at])
-        out_key.append(codes[useful])
-        # sets whose useful parts may all change
-        filled = np.bincount(to[at], minlength=n)
+        useful = telling > 0
+        owner, telling, codes = to[at[useful]], telling[useful], codes[useful]
+        filled = np.bincount(owner, minlength=n)
         partner = np.minimum(size * SHARE[1] // SHARE[0], high)
         differ = (size + partner) * (SHARE[1] - SHARE[0]) // (SHARE[0] + SHARE[1])
+        # one part more than may change, in an order that only the part's contents decide
+        place = (_U(15) - np.minimum(telling, 15).astype(_U)) << _U(28) | codes >> _U(36)
+        listed = np.argsort((owner << 32) | place.astype(np.int64), kind="stable")
+        until = np.cumsum(filled) - filled
+        taken = listed[np.arange(len(owner)) - until[owner] <= differ[owner]]
+        out_text.append(owner[taken])
+        out_key.append(codes[taken])
+        # sets whose useful parts may all change
         few = comes & (filled <= differ)
         if few.any():
             lead = size - -(-size * SHARE[0] // SHARE[1]) + 1

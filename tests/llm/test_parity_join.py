@@ -78,6 +78,45 @@ def test_keys_are_complete():
                 assert set(keys[text == 0]) & set(keys[text == 1])
 
 
+def sets_of(*sets):
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return own, np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in sets])
+
+
+def test_keys_are_no_more_than_needed():
+    """A set sends one part more than may differ in each band it visits."""
+    rng = random.Random(4)
+    for n in (64, 95, 200, 1024, 1500, 2000):
+        own, value = sets_of({rng.getrandbits(64) for _ in range(n)})
+        _, keys = P.join_keys(own, value, 1, np.zeros(1 << 16, np.uint64))
+        band = 1 << (n.bit_length() - 1)
+        most = (n + min(n * 4 // 3, 2 * band - 1)) // 7 + 1
+        if 4 * n >= 3 * 2 * band:  # the next band
+            most += (n + n * 4 // 3) // 7 + 1
+        assert len(keys) <= most
+
+
+def test_sets_that_just_link_share_a_key():
+    """With as many differences as a link allows, on either side of a band's border."""
+    rng = random.Random(5)
+    sets = []
+    for n in [*range(1, 40), 63, 64, 65, 96, 127, 128, 129, 170, 255, 256, 500, 512, 700, 1023]:
+        for _ in range(12):
+            base = [rng.getrandbits(64) for _ in range(n)]
+            out = rng.randint(0, n // 4)
+            put = (4 * (n - out) - 3 * n) // 3  # of shingles in one set only, with those left out
+            sets += [set(base), set(base[out:]) | {rng.getrandbits(64) for _ in range(rng.choice([0, put]))}]
+    own, value = sets_of(*sets)
+    for word in (0, 2**64 - 1, 0x5555555555555555, 0xFFFF0000FFFF0000, 0x7FFFFFFFFFFFFFFF):
+        text, keys = P.join_keys(own, value, len(sets), np.full(1 << 16, word, np.uint64))
+        of = [set() for _ in sets]
+        for t, k in zip(text.tolist(), keys.tolist(), strict=True):
+            of[t].add(k)
+        for i in range(0, len(sets), 2):
+            assert 4 * len(sets[i] & sets[i + 1]) >= 3 * len(sets[i] | sets[i + 1])
+            assert of[i] & of[i + 1]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (8, 7), (7, 7), (20, 21), (21, 22), (22, 20)], "a long, b long")
     got = {tuple(r) for r in connected(links).collect()}
