@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon
@@ -79,17 +79,24 @@ def top_entities(
     articles: DataFrame, article_entity: DataFrame, entities: DataFrame,
     kind: str | None = None, limit: int = 20, start: Day = None, end: Day = None,
 ) -> DataFrame:
-    """Most mentioned entities with mentions and distinct articles."""
+    """Most mentioned entities with mentions and distinct articles.
+
+    Links of other kinds go first. The rest is sorted by article, where a link's first row counts
+    its article: a sort takes less memory for a link than a hash table of links.
+    """
     dim = _dim(entities if kind is None else entities.filter(F.col("kind") == kind),
                "entity_id", entity="name", kind="kind")
     links = article_entity.select("article_id", "entity_id")
+    if kind is not None:
+        links = links.join(dim.select("entity_id"), "entity_id", "left_semi")
     if start is not None or end is not None:
         ids = date_range(articles, start, end).select(F.col("id").alias("article_id"))
     else:
         ids = articles.select(F.col("id").alias("article_id"))
     links = links.join(ids, "article_id", "left_semi")
-    per_id = links.groupBy("entity_id").agg(
-        F.count("*").alias("mentions"), F.countDistinct("article_id").alias("articles")
+    nth = F.row_number().over(Window.partitionBy("article_id", "entity_id").orderBy("entity_id"))
+    per_id = links.withColumn("nth", nth).groupBy("entity_id").agg(
+        F.count("*").alias("mentions"), F.count_if(F.col("nth") == 1).alias("articles")
     )
     named = per_id.join(dim, "entity_id")
     return named.orderBy(F.desc("mentions"), "entity_id").limit(limit)

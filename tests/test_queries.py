@@ -1,6 +1,7 @@
 """The small star fixture: three articles, two topics, two regions, two entities."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ def test_top_entities(star):
     assert [r["entity"] for r in got] == ["General Motors"]
 
 
+def test_top_entities_hold_no_table_of_links(spark, star):
+    links = spark.createDataFrame(
+        [(3, 1), (3, 1), (1, 1), (2, 2), (2, 2), (2, 2), (2, 3), (9, 1), (None, 1), (1, None)], "article_id long, entity_id long")
+    entities = star["entities"].union(spark.createDataFrame([(3, "Ana", "PER", 0, "b")], star["entities"].schema))
+    got = counts.top_entities(star["articles"], links, entities, "ORG", 20, BEFORE, TODAY)
+    assert [(r["entity_id"], r["mentions"], r["articles"]) for r in got.collect()] == [(1, 3, 2), (2, 3, 1)]
+    every = counts.top_entities(star["articles"], links, entities).collect()
+    assert [(r["entity_id"], r["mentions"], r["articles"]) for r in every] == [(1, 3, 2), (2, 3, 1), (3, 1, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Aggregate\(keys=\[([^\]]*)", plan)
+    assert keys and not any("article_id" in k for k in keys)
+
+
 def test_region_counts(star):
     got = counts.count_by_region(star["articles"], star["regions"]).collect()
     assert [(r["region"], r["total"]) for r in got] == [("Coahuila", 2), ("Nuevo León", 1)]
