@@ -34,7 +34,8 @@ the join that follows. No candidate is capped or dropped.
 
 Defined results: null texts and texts without words have an empty set and are linked with
 nothing; repeated rows belong to one class; columns other than id and text are not read.
-Sets and keys use 64-bit hashes.
+Sets use 64-bit hashes. Keys hold 48 bits of one: equal keys stay equal, and sets that meet by
+chance are told apart like any other pair.
 """
 
 from __future__ import annotations
@@ -58,6 +59,8 @@ PARTS = 0.36
 #: share of a task's documents that makes a slot of shingles common, and the bits of a slot
 COMMON = 0.002
 SLOT_BITS = 22
+#: bits of a key: zero bytes compress in shuffle files, and a chance meeting is one more pair to filter
+KEY_BITS = 48
 SMALL = 16
 BLOCK = 1024
 WORDS = 8  # of a sketch
@@ -200,7 +203,8 @@ def join_keys(text: np.ndarray, value: np.ndarray, n: int, common: np.ndarray) -
             out_key.append(mix(value[pick] ^ mix(salt[text[pick]] + _U(5))))
     if not out_text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_text), np.concatenate(out_key).view(np.int64)
+    keys = np.concatenate(out_key) & _U((1 << KEY_BITS) - 1)
+    return np.concatenate(out_text), keys.view(np.int64)
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

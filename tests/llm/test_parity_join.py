@@ -94,6 +94,7 @@ def test_keys_are_no_more_than_needed():
         if 4 * n >= 3 * 2 * band:  # the next band
             most += (n + n * 4 // 3) // 7 + 1
         assert len(keys) <= most
+        assert keys.min() >= 0 and keys.max() < 1 << 48  # zero bytes compress
 
 
 def test_sets_that_just_link_share_a_key():
