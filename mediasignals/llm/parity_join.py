@@ -28,9 +28,9 @@ pairs. For a key with more, all are compared with one of them; components of the
 found so far follow, and only members of different components remain to be compared: in
 blocks of bounded size, by sketches of at least four positions a shingle that come with them,
 and the pairs within the bound go on. All pairs are then filtered by size, by sketches of 512
-positions and by the wider ones, and verified on the full sets. Those are made anew from the texts
-whose class is in a bitmap of fixed size; a class that only seems to be in it is dropped by
-the join that follows. No candidate is capped or dropped.
+positions and by the wider ones, and verified on the full sets. Those are made anew from one text
+of each class: the texts whose hash is in a bitmap of fixed size are cut into shingles; a class
+that only seems to be in it is dropped by the join that follows. No candidate is capped or dropped.
 
 Defined results: null texts and texts without words have an empty set and are linked with
 nothing; repeated rows belong to one class; columns other than id and text are not read.
@@ -72,19 +72,20 @@ def shingles(t: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of each distinct shingle, in that order."""
     starts, ends, first = t.spans(SPACED_LOWER)
     words = t.hashes(starts, ends, SPACED_LOWER)
-    own, count = owners(first), np.diff(first)
-    at, codes = windows(words, first, size)
-    texts, values = [own[at]], [codes]
+    count = np.diff(first)
+    bounds = np.concatenate([[0], np.cumsum(np.where(count < size, count > 0, count - size + 1))])
+    text = owners(bounds)
+    value = np.empty(len(text), _U)
+    value[count[text] >= size] = windows(words, first, size)[1]
     for k in range(1, size):
         short = np.flatnonzero(count == k)
         if len(short):
-            at, codes = windows(words, first, k)
-            at_first = np.isin(at, first[short])
-            texts.append(own[at[at_first]])
-            values.append(mix(codes[at_first] + _U(k)))
-    text, value = np.concatenate(texts), np.concatenate(values)
-    order = np.lexsort((value, text))
-    text, value = text[order], value[order]
+            at = (first[short][:, None] + np.arange(k)).ravel()
+            codes = windows(words[at], np.arange(len(short) + 1) * k, k)[1]
+            value[bounds[short]] = mix(codes + _U(k))
+    long = np.flatnonzero(count > size)
+    for low, high in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True):
+        value[low:high].sort()
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
     return text[new], value[new]
@@ -136,29 +137,15 @@ def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
     return words.view(_U)
 
 
-def common_slots(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The bitmap of common slots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, sent = np.zeros(1 << SLOT_BITS, np.int32), 0, set()
-        for _, t in pieces(batches, text):
-            own, value = shingles(t)
-            new = _unsent(_classes(value, _per_text(own, t.n)), sent)
-            np.add.at(counts, (value[new[own]] & _U((1 << SLOT_BITS) - 1)).astype(np.int64), 1)
-            n += int(new.sum())
-        yield pa.RecordBatch.from_pydict({"slot": np.flatnonzero(counts > 10 + COMMON * n)})
-
-    return _bitmap(docs.select(text).mapInArrow(run, "slot BIGINT"), SLOT_BITS)
+def common_slots(measured: DataFrame) -> np.ndarray:
+    """The bitmap of common slots, from the rows of ``measure``."""
+    return _bitmap(measured.where(F.col("slot").isNotNull()).select("slot"), SLOT_BITS)
 
 
 def join_keys(text: np.ndarray, value: np.ndarray, n: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) rows of the sets of ``n`` texts."""
     first = _per_text(text, n)
     frequent = _in_bitmap(common, value & _U((1 << SLOT_BITS) - 1))
-    # shingles of a text come in hash order; common ones go last
-    rare_first = np.lexsort((frequent, text))
-    rank = np.empty(len(text), np.int64)
-    rank[rare_first] = np.arange(len(text)) - first[text[rare_first]]
     size = np.diff(first)
     level = np.frexp(np.maximum(size, 1))[1].astype(np.int64) - 1  # 2^level <= size
     out_text, out_key = [], []
@@ -175,7 +162,7 @@ def join_keys(text: np.ndarray, value: np.ndarray, n: int, common: np.ndarray) -
         parts = np.maximum(1, np.ceil(PARTS * high)).astype(np.int64)
         salt = mix(band.astype(_U) + _U(77))
         part = (mix(v ^ salt[t]) % parts[t].astype(_U)).astype(np.int64)
-        order = np.argsort((t << 32) | part, kind="stable")  # parts number less than 2^32
+        order = np.argsort((t << 32) | part)  # parts number less than 2^32
         to, po, word = t[order], part[order], mix(v[order] + _U(0x27D4EB2F))
         begin = np.ones(len(to), bool)
         begin[1:] = (to[1:] != to[:-1]) | (po[1:] != po[:-1])
@@ -198,9 +185,14 @@ def join_keys(text: np.ndarray, value: np.ndarray, n: int, common: np.ndarray) -
         few = comes & (filled <= differ)
         if few.any():
             lead = size - -(-size * SHARE[0] // SHARE[1]) + 1
-            pick = few[text] & (rank < lead[text])
-            out_text.append(text[pick])
-            out_key.append(mix(value[pick] ^ mix(salt[text[pick]] + _U(5))))
+            rows = few[text]
+            t, v, late = text[rows], value[rows], frequent[rows]
+            # shingles of a text come in hash order; common ones go last
+            last = np.lexsort((late, t))
+            t, v = t[last], v[last]
+            pick = np.arange(len(t)) - np.searchsorted(t, t) < lead[t]
+            out_text.append(t[pick])
+            out_key.append(mix(v[pick] ^ mix(salt[t[pick]] + _U(5))))
     if not out_text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys = np.concatenate(out_key) & _U((1 << KEY_BITS) - 1)
@@ -208,28 +200,43 @@ def join_keys(text: np.ndarray, value: np.ndarray, n: int, common: np.ndarray) -
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n, class, sketch words, wide sketch) of every row; class is null for an empty
-    set."""
+    """(doc, n, class, sketch words, wide sketch, mark) of every row; class is null for an empty
+    set, the mark is a hash of the text. At the end of each task follow its common slots: rows
+    with nothing but ``slot``, which is null in the others."""
+    columns = ["doc", "mark", "n", "class", *_SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n, sent = np.zeros(1 << SLOT_BITS, np.int32), 0, set()
         for batch, t in pieces(batches, text):
             own, value = shingles(t)
             first = _per_text(own, t.n)
             size = np.diff(first)
             sketch = _sketches(own, value, t.n)
+            classes = _classes(value, first)
+            new = _unsent(classes, sent)
+            slots = (value[new[own]] & _U((1 << SLOT_BITS) - 1)).astype(np.int64)
+            np.add.at(counts, slots, np.ones(len(slots), np.int32))  # of one type, or it is slow
+            n += int(new.sum())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(size, pa.int64()),
-                    pa.array(_classes(value, first), pa.int64(), mask=size == 0),
+                    batch.column(0), batch.column(1), pa.array(size, pa.int64()),
+                    pa.array(classes, pa.int64(), mask=size == 0),
                     *[pa.array(sketch[:, i], pa.int64()) for i in range(WORDS)],
-                    _wide_sketches(own, value, t.n),
+                    _wide_sketches(own, value, t.n), pa.nulls(t.n, pa.int64()),
                 ],
-                ["doc", "n", "class", *_SKETCH, "wide"],
+                [*columns, "wide", "slot"],
             )
+        common = np.flatnonzero(counts > 10 + COMMON * n)
+        none = [pa.nulls(len(common), pa.int64())] * len(columns)
+        wide = pa.nulls(len(common), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*none, wide, pa.array(common, pa.int64())], [*columns, "wide", "slot"])
+
+    schema = ", ".join(f"{s} BIGINT" for s in columns) + ", wide ARRAY<BIGINT>, slot BIGINT"
+    return docs.select(F.col(key).cast("long").alias("doc"), _mark(text), text).mapInArrow(run, schema)
 
-    fields = ", ".join(f"{s} BIGINT" for s in ("n", "class", *_SKETCH))
-    schema = f"doc BIGINT, {fields}, wide ARRAY<BIGINT>"
-    return docs.select(F.col(key).cast("long").alias("doc"), text).mapInArrow(run, schema)
+
+def _mark(text: str) -> Column:
+    return F.xxhash64(text).alias("mark")
 
 
 def _unsent(classes: np.ndarray, sent: set[int]) -> np.ndarray:
@@ -356,28 +363,32 @@ def _wide_near(x: Column, y: Column, total: Column) -> Column:
     return total * (SHARE[1] - SHARE[0]) >= apart * (SHARE[0] + SHARE[1])
 
 
-#: bits of the bitmap of wanted classes: 1 MB, whatever the number of classes
+#: bits of the bitmap of wanted texts: 1 MB, whatever the number of texts
 _BITMAP = 23
 
 
 def _sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
-    """(class, items) of the needed classes."""
-    slot = F.col("class").bitwiseAND(F.lit((1 << _BITMAP) - 1))
+    """(class, items) of the needed classes: one text of each, with the mark given for it, is read."""
+    slot = F.col("mark").bitwiseAND(F.lit((1 << _BITMAP) - 1))
     sent_bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(needed.select(slot.alias("slot")), _BITMAP))
 
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.asarray(batch.column(0)).view(_U) & _U((1 << _BITMAP) - 1)
+            yield batch.filter(pa.array(_in_bitmap(sent_bitmap.value, slots)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for _, t in pieces(batches, text):
+        for _, t in pieces(wanted(batches), text):
             own, value = shingles(t)
             first = _per_text(own, t.n)
             classes = _classes(value, first)
-            wanted = _in_bitmap(sent_bitmap.value, classes.view(_U) & _U((1 << _BITMAP) - 1))
-            wanted[wanted] = _unsent(classes[wanted], sent)
-            bounds = np.concatenate([[0], np.cumsum(np.diff(first)[wanted])])
-            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value[wanted[own]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(classes[wanted]), sets], ["class", "items"])
+            new = _unsent(classes, sent)
+            bounds = np.concatenate([[0], np.cumsum(np.diff(first)[new])])
+            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value[new[own]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(classes[new]), sets], ["class", "items"])
 
-    found = docs.select(text).mapInArrow(run, "class BIGINT, items ARRAY<BIGINT>")
+    found = docs.select(_mark(text), text).mapInArrow(run, "class BIGINT, items ARRAY<BIGINT>")
     return found.join(needed, "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -401,7 +412,8 @@ def verified(pairs: DataFrame, classes: DataFrame, measured: DataFrame, docs: Da
         .select("a", "b"),
         "closer_pairs",
     )
-    sets = written(_sets(docs, text, _members(closer)), "sets")
+    needed = classes.select("class", "mark").join(_members(closer), "class", "left_semi")
+    sets = written(_sets(docs, text, needed), "sets")
     both = (
         closer.join(sets.select(F.col("class").alias("a"), F.col("items").alias("x")), "a")
         .join(sets.select(F.col("class").alias("b"), F.col("items").alias("y")), "b")
@@ -550,15 +562,16 @@ def _crowded_pairs(members: DataFrame, roots: DataFrame, measured: DataFrame, fo
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    measured = written(measure(docs, key, text), "sets_measured")
+    read = written(measure(docs, key, text), "sets_measured")
+    measured = read.where(F.col("slot").isNull()).drop("slot")
     classes = written(
         measured.where(F.col("class").isNotNull())
         .groupBy("class")
-        .agg(F.min("doc").alias("doc"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in _SKETCH]),
+        .agg(*[F.min(s).alias(s) for s in ("doc", "mark", "n", *_SKETCH)]),
         "classes",
     )
     met = written(
-        keyed(docs, common_slots(docs, text), text).repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meet, "key BIGINT, a BIGINT, b BIGINT"),
+        keyed(docs, common_slots(read), text).repartition("key").sortWithinPartitions("key", "class").mapInArrow(_meet, "key BIGINT, a BIGINT, b BIGINT"),
         "meetings",
     )
     links = verified(met.where(F.col("b").isNotNull()), classes, measured, docs, text)

@@ -118,6 +118,35 @@ def test_sets_that_just_link_share_a_key():
             assert of[i] & of[i + 1]
 
 
+def test_texts_are_cut_twice_and_those_of_pairs_once_more(docs, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(200)]
+    texts += [texts[0] + " more", texts[0].upper(), texts[0]]  # near, of equal set, equal
+    cut, log = P.shingles, tmp_path / "cut"
+
+    def counted(t, size=P.SHINGLE):
+        with open(log, "a") as out:
+            out.write(f"{t.n}\n")
+        return cut(t, size)
+
+    monkeypatch.setattr(P, "shingles", counted)
+    got = P.components(docs(*texts)).collect()
+    assert sorted(map(tuple, got)) == brute(list(enumerate(texts)))
+    # one text, or its copy too, of each of the two classes that are compared
+    assert 2 * len(texts) + 2 <= sum(map(int, log.read_text().split())) <= 2 * len(texts) + 3
+
+
+def test_common_shingles_are_found_while_measuring(docs):
+    common = "a line that many documents share"
+    texts = [f"{common} u{i} v{i} w{i} x{i} y{i}" for i in range(60)]
+    measured = P.measure(docs(*texts, None).coalesce(1))
+    _, value = P.shingles(column_texts(pa.array([common])))
+    slots = {r.slot for r in measured.where("slot IS NOT NULL").collect()}
+    assert slots == {int(v) & (1 << P.SLOT_BITS) - 1 for v in value}
+    assert sorted(r.doc for r in measured.where("slot IS NULL").collect()) == list(range(61))
+    assert P._in_bitmap(P.common_slots(measured), value & np.uint64((1 << P.SLOT_BITS) - 1)).all()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (8, 7), (7, 7), (20, 21), (21, 22), (22, 20)], "a long, b long")
     got = {tuple(r) for r in connected(links).collect()}
