@@ -12,6 +12,8 @@ from ..functions.once import computed_once
 from ..session import written
 
 KIND_COLUMNS = (("persons", "PER"), ("orgs", "ORG"), ("places", "LOC"))
+#: bytes of names up to which every task gets all anchors of a gazetteer
+ANCHOR_BYTES = 1 << 20
 
 
 def _typed(column: str, kind: str) -> Column:
@@ -38,8 +40,9 @@ def extract_by_gazetteer(articles: DataFrame, gazetteer: DataFrame) -> DataFrame
 
     A name is anchored at the one of its words that the fewest places of the texts hold; each
     word of a text meets the anchors by an equi-join, and the name's other words are looked up at
-    the places beside. The cost follows the text, whatever the length of the longest name. Returns
-    (article_id, surface, kind, pos), one row per article and name, ``pos`` being the first
+    the places beside. The cost follows the text, whatever the length of the longest name. Word
+    places of the texts are never copied to every task; anchors are, up to ``ANCHOR_BYTES`` of names.
+    Returns (article_id, surface, kind, pos), one row per article and name, ``pos`` being the first
     occurrence.
     """
     whole = F.concat_ws(" ", "title", text.strip_html(F.coalesce("description", F.lit(""))))
@@ -57,16 +60,20 @@ def extract_by_gazetteer(articles: DataFrame, gazetteer: DataFrame) -> DataFrame
     # places of words of the names, for the counts and for the hits
     held = written(spread.join(known, "word", "left_semi"), "held_words")
     counts = held.groupBy("word").agg(F.count("article_id").alias("n"))
-    anchors = (
+    anchors = written(
         spots.join(counts, "word", "left")
         .groupBy("surface", "kind", "_name")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_at", "word")).alias("least"))
         .filter("least.n > 0")
-        .select("surface", "kind", "_name", "least._at", "least.word")
+        .select("surface", "kind", "_name", "least._at", "least.word"),
+        "anchors",
     )
+    # Spark's own size check goes by files, and those of held words are far smaller than their rows
+    # in memory: without these hints it copies all of them to the driver and every task
+    size = anchors.agg(F.sum(F.octet_length("surface") + 16)).first()[0] or 0
     begin = F.col("_place") - F.col("_at")
     hits = (
-        held.join(anchors, "word")
+        held.join(anchors.hint("broadcast" if size <= ANCHOR_BYTES else "merge"), "word")
         .select("article_id", "surface", "kind", "_name", begin.alias("_begin"))
         .filter("_begin >= 0")
     )
@@ -77,7 +84,7 @@ def extract_by_gazetteer(articles: DataFrame, gazetteer: DataFrame) -> DataFrame
     )
     longer = (
         due.withColumn("_place", F.col("_begin") + F.col("_i"))
-        .join(held, ["article_id", "_place", "word"])
+        .join(held.hint("merge"), ["article_id", "_place", "word"])
         .groupBy("article_id", "surface", "kind", "_begin", "_n")
         .agg(F.collect_set("_i").alias("_met"))  # as many as the name has words, at most
         .filter(F.size("_met") == F.col("_n"))

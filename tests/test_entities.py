@@ -1,3 +1,5 @@
+import pytest
+
 from mediasignals import schemas
 from mediasignals.operators import classify, dims, entities, quality
 
@@ -96,3 +98,36 @@ def test_names_of_several_words_do_not_read_the_texts_again(spark):
     assert {tuple(r) for r in found.collect()} == {
         (1, "Acme Steel", "ORG", 1), (1, "Steel Works", "ORG", 2), (1, "Acme", "PER", 1),
         (2, "Acme", "PER", 2)}
+
+
+def _broadcast(frame):
+    """The lines of the plan that stand below a broadcast."""
+    found, level = [], None
+    for line in frame._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if level is not None and depth > level:
+            found.append(line)
+        elif "BroadcastExchange" in line:
+            level = depth
+        else:
+            level = None
+    return found
+
+
+@pytest.mark.parametrize("most", [entities.ANCHOR_BYTES, 0])
+def test_word_places_of_texts_are_never_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(entities, "ANCHOR_BYTES", most)
+    articles = spark.createDataFrame(
+        [(i, f"Acme Steel {i % 7}", "steel, acme steel works") for i in range(200)],
+        "id long, title string, description string")
+    gazetteer = spark.createDataFrame(
+        [("Acme Steel", "ORG"), ("Steel Works", "ORG"), ("Acme", "PER"), ("3", "LOC"), ("Steel 3", "LOC"), ("none", "LOC")],
+        schemas.GAZETTEER)
+    found = entities.extract_by_gazetteer(articles, gazetteer)
+    assert [line for line in _broadcast(found) if "_place#" in line] == []
+    assert any("_name#" in line for line in _broadcast(found)) == (most > 0)
+    rows = [tuple(r) for r in found.collect()]
+    assert [line for line in _broadcast(found) if "_place#" in line] == []
+    every = [(i, *name) for i in range(200) for name in (("Acme Steel", "ORG", 1), ("Steel Works", "ORG", 6), ("Acme", "PER", 1))]
+    threes = [(i, *name) for i in range(3, 200, 7) for name in (("3", "LOC", 3), ("Steel 3", "LOC", 2))]
+    assert sorted(rows) == sorted([*every, *threes])
